@@ -106,10 +106,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 def spans(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of codes[start:end], each code a random odd-or-even 64-bit value of its symbol: prefix sums of
     code * BASE**i, shifted back by the inverse power, then mixed with the length."""
+    return hasher(codes)(starts, ends)
+
+
+def hasher(codes: np.ndarray):
+    """spans() of one array for several starts and ends."""
     up, down = powers(len(codes) + 1)
     total = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum(codes * up[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return lambda starts, ends: mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def windows(codes: np.ndarray, n: int) -> np.ndarray:
@@ -124,13 +129,14 @@ class Words:
 
     _codes = rng_table(11)
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, lower: bool = False) -> None:
-        """is_word: for each byte value, whether it is part of words. lower: A-Z count as a-z."""
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, lower: bool = False, prefixes: tuple[int, ...] = ()) -> None:
+        """is_word: for each byte value, whether it is part of words. lower: A-Z count as a-z. prefixes: lengths in bytes for
+        which self.prefixes has the hashes of the words' first bytes, 0 for words that are no longer."""
         self.data, self.offsets = data, offsets
         codes = self._codes.copy()
         if lower:
             codes[65:91] = codes[97:123]
-        starts, ends, hashes, lo = [], [], [], 0
+        starts, ends, hashes, heads, lo = [], [], [], [[] for _ in prefixes], 0
         first = np.zeros(len(data) + 1, bool)
         first[offsets] = True
         while lo < len(data):
@@ -146,13 +152,17 @@ class Words:
             after[-1], after[:-1] = False, inside[1:]
             after &= ~first[lo + 1 : hi + 1]
             s, e = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-            hashes.append(spans(codes[data[lo:hi]], s, e))
+            of = hasher(codes[data[lo:hi]])
+            hashes.append(of(s, e))
+            for k, n in enumerate(prefixes):
+                heads[k].append(np.where(e - s > n, of(s, np.minimum(e, s + n)) ^ np.uint64(n), np.uint64(0)))
             starts.append(s + lo)
             ends.append(e + lo)
             lo = hi
         none = np.zeros(0, np.int64)
         self.starts, self.ends = (np.concatenate(x) if x else none for x in (starts, ends))
         self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        self.prefixes = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in heads]
         self.bounds = np.searchsorted(self.starts, offsets)
         self.rows = np.repeat(np.arange(len(offsets) - 1), np.diff(self.bounds))
 

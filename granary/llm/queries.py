@@ -22,6 +22,30 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), is_contaminated().alias("contaminated"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify, learn_prototypes
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, learn_prototypes(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import learn, tag
+
+    docs = table(spark, sf_dir, "documents")
+    found = tag(docs, learn(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import learn, score
+
+    docs = table(spark, sf_dir, "documents")
+    found = score(docs, learn(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rules import line_rules
 
@@ -48,5 +72,3 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return dict(sql.SQL)
 
-
-__all__ = ["held_out", "oracle_sql", "queries"]
