@@ -252,3 +252,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         .select("doc_id", "n_shingles", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", most_sent: int = 1_000_000) -> DataFrame:
+    """The rows of docs, with all their columns, without those that near_duplicates() doesn't keep: the document of the least
+    id of each component stays. Of rows with the same id and text one stays."""
+    found = stored(near_duplicates(docs, width, percent, id_col, text_col, most_sent=most_sent).select(F.col("doc_id").alias("_id"), "kept"), "verdicts")
+    gone = found.where(~F.col("kept")).select("_id").distinct()
+    few = gone.count() <= most_sent
+    left = docs.join(F.broadcast(gone) if few else gone, docs[id_col].eqNullSafe(F.col("_id")), "left_anti")
+    again = stored(found.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").select("_id"), "again")
+    if not (n := again.count()):
+        return left
+    again = F.broadcast(again) if n <= most_sent else again
+    same = left[id_col].eqNullSafe(F.col("_id"))
+    return left.join(again, same, "left_anti").union(left.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))

@@ -287,7 +287,7 @@ def _cut_rows(docs: DataFrame, length: int, text_col: str, most_sent: int, most_
 
 def _kept(raw: bytes, spans) -> bytes:
     at, kept = 0, []
-    for span in spans or ():
+    for span in () if spans is None else spans:
         kept.append(raw[at : span["start"]])
         at = span["end"]
     return b"".join([*kept, raw[at:]])
