@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 DECIMAL = "decimal(38,10)"
 #: White space as the table grammar means it: with the ideographic space, without the non-breaking ones.
 SPACE = r"\t-\r\x1c-\x20" + "".join(map(chr, [0x1680, *range(0x2000, 0x2007), 0x2008, 0x2009, 0x200A, 0x2028, 0x2029, 0x205F, 0x3000]))
-_PLAIN = r"^[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d{1,3})?$"
+_NUMBER = r"^[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d{1,3})?$"
 _THOUSANDS = r"^[+-]?\d{1,3}(,\d{3})+(\.\d+)?$"
 _STRICT = r"^[+-]?(?:\d+|\d{1,3}(?:,\d{3})+)(?:\.\d+)?$"
 
@@ -22,38 +22,48 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
-def _cell(c: Column) -> tuple[Column, Column, Column]:
-    """(digits, whether a per cent, whether it is a number at all) of a cell of the table grammar."""
-    s = F.regexp_replace(strip(c), r"^[￥¥$]\s*", "")
-    percent = s.endswith("%")
-    s = F.when(percent, F.regexp_replace(s, "%$", "")).otherwise(s)
-    s = F.when(s.rlike(_THOUSANDS), F.replace(s, F.lit(","), F.lit(""))).otherwise(s)
-    return s, percent, s.rlike(_PLAIN)
+def _let(c: Column, use) -> Column:
+    """use(c) with c evaluated once, however often use names it: otherwise generated code would grow with every mention."""
+    return F.transform(F.array(c), use)[0]
+
+
+def _bare(c: Column) -> Column:
+    return F.regexp_replace(strip(c), r"^[￥¥$]\s*", "")
+
+
+def _plain(s: Column) -> Column:
+    """A cell of the table grammar without its per cent sign and its thousands' commas."""
+    s = F.regexp_replace(s, "%$", "")
+    return F.when(s.rlike(_THOUSANDS), F.replace(s, F.lit(","), F.lit(""))).otherwise(s)
 
 
 def number(c: Column) -> Column:
     """The value of a table cell, or null: a leading ￥ ¥ $, strict thousands, an exponent of up to three digits, a trailing
     per cent sign."""
-    s, percent, valid = _cell(c)
-    value = F.when(valid, s.try_cast("decimal(38,12)"))
-    return F.when(percent, (value * F.lit("0.01").cast("decimal(3,2)")).cast(DECIMAL)).otherwise(value.cast(DECIMAL))
+
+    def value(s: Column) -> Column:
+        parsed = _let(_plain(s), lambda p: F.when(p.rlike(_NUMBER), p.try_cast("decimal(38,12)")))
+        return _let(parsed, lambda v: F.when(s.endswith("%"), (v * F.lit("0.01").cast("decimal(3,2)")).cast(DECIMAL)).otherwise(v.cast(DECIMAL)))
+
+    return _let(_bare(c), value)
 
 
 def overflows(c: Column) -> Column:
     """Whether a cell is a number by its grammar, but one that DECIMAL doesn't hold."""
-    return F.coalesce(_cell(c)[2], F.lit(False)) & number(c).isNull()
+    return F.coalesce(_plain(_bare(c)).rlike(_NUMBER), F.lit(False)) & number(c).isNull()
 
 
 def strict_number(c: Column) -> Column:
     """The value of a cell of audited statistics, or null: parentheses for negatives, a sign before a currency sign, strict
     thousands; no per cent and no exponent."""
-    s = strip(c)
-    negative = s.startswith("(") & s.endswith(")")
-    s = F.when(negative, F.regexp_replace(s, r"^\(|\)$", "")).otherwise(s)
-    s = F.regexp_replace(s, r"^([+-]?)[£$¥￥€]\s*", "$1")
-    valid = s.rlike(_STRICT) & ~(negative & s.rlike(r"^[+-]"))
-    value = F.when(valid, F.replace(s, F.lit(","), F.lit("")).try_cast(DECIMAL))
-    return F.when(negative, -value).otherwise(value).cast(DECIMAL)
+
+    def value(s: Column) -> Column:
+        negative = s.startswith("(") & s.endswith(")")
+        digits = F.regexp_replace(F.when(negative, F.regexp_replace(s, r"^\(|\)$", "")).otherwise(s), r"^([+-]?)[£$¥￥€]\s*", "$1")
+        parsed = _let(digits, lambda d: F.when(d.rlike(_STRICT) & ~(negative & d.rlike(r"^[+-]")), F.replace(d, F.lit(","), F.lit("")).try_cast(DECIMAL)))
+        return _let(parsed, lambda v: F.when(negative, -v).otherwise(v).cast(DECIMAL))
+
+    return _let(strip(c), value)
 
 
 def claim_number(c: Column) -> Column:

@@ -88,7 +88,7 @@ def interleave(branches: DataFrame, k: int) -> DataFrame:
 
 def anchored_tables(chunks: DataFrame, query: str, k: int = 8) -> DataFrame:
     """Chunks with a caption line of the one table that the query names."""
-    number = F.regexp_replace(X.table_reference(F.lit(query)), r"\.", r"\\\\.")
+    number = F.regexp_replace(X.table_reference(F.lit(query)), r"\.", r"\\.")
     pattern = F.concat(F.lit(r"(?im)^(?:Table\s*|表\s*)"), number, F.lit(r"([^A-Za-z0-9.]|$)"))
     return chunks.where(F.coalesce(F.regexp_like("content", pattern), F.lit(False))).orderBy("ordinal", "id").limit(k)
 

@@ -115,13 +115,14 @@ def classify(rows: DataFrame, plan: StatisticsPlan, fields: list[str], order: li
         reason = reason.when(N.blank(key), "the key is blank").when(again & same, "the same key and the same cells").when(again, F.concat(F.lit("other cells under the same key: "), key))
     if plan.operation != "COUNT":
         value = F.col(plan.value_field)
-        bad = N.strict_number(value).isNull() | _unit_conflict(plan, value, fields) if plan.numeric else N.blank(value)
+        df = df.withColumn("_number", N.strict_number(value)) if plan.numeric else df
+        bad = F.col("_number").isNull() | _unit_conflict(plan, value, fields) if plan.numeric else N.blank(value)
         decision, reason = decision.when(bad, "INVALID"), reason.when(bad, f"no clear value: {plan.value_field}")
     df = df.withColumns({"decision": decision.otherwise("SELECTED"), "reason": reason.otherwise("all conditions hold")})
     chosen = F.col("decision") == "SELECTED"
     df = df.withColumn("_value", F.when(chosen, F.lit("1") if plan.operation == "COUNT" else F.col(plan.value_field)))
     df = df.withColumn("_unit", F.when(chosen, _unit(plan, fields)))
-    return df.drop(*[f"_f{i}" for i in range(len(plan.filters))], "_eligible", "_first", "_nth")
+    return df.drop(*[f"_f{i}" for i in range(len(plan.filters))], "_eligible", "_first", "_nth", "_number")
 
 
 def _unit_conflict(plan: StatisticsPlan, value: Column, fields: list[str]) -> Column:
