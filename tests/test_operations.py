@@ -104,7 +104,7 @@ def test_facts():
     assert [(f["key"], f["value"]) for f in M.extract("预算：1,000元；负责人：张三")] == [("预算", "1,000元"), ("负责人", "张三")]
     assert M.extract("我的密码：123") == [] and M.extract("如果预算是5") == [] and M.extract("预算是多少？") == []
     assert M.extract("以后不要用表格")[0]["category"] == "CONSTRAINT"
-    assert [(f["key"], f["value"]) for f in M.extract("记住：颜色 = 蓝")] == [("颜色", "蓝")]
+    assert [(f["key"], f["value"]) for f in M.extract("请记住：颜色 = 蓝")] == [("颜色", "蓝")]
 
 
 def test_versions(spark):
