@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 SPACE_BYTES = bytes([0x20, *range(0x09, 0x0E)])
 #: Bytes of text that are turned into numpy arrays at a time.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +71,30 @@ def slices(batch: pa.RecordBatch, column: str, most: int = BLOCK):
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
         yield batch.slice(at, end - at)
         at = end
+    release()
+
+
+def release() -> None:
+    """Gives memory that is free back to the system: workers live as long as their executor, and what one operator needed for a
+    moment would otherwise count against the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to ask for
+        pass
+
+
+def text_column(kind: str, judge):
+    """A function of a text column that gives values of the Spark type `kind`: judge gets Arrow arrays of about BLOCK bytes of text
+    and gives an Arrow array each. Other columns of the rows stay in the JVM."""
+
+    @F.arrow_udf(kind)
+    def run(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+        parts = [judge(part.column(0)) for part in slices(batch, "text")]
+        return pa.concat_arrays(parts) if parts else judge(texts)
+
+    return run
 
 
 def rng_table(seed: int, n: int = 256) -> np.ndarray:
@@ -87,7 +112,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE and its inverse modulo 2**64 to the powers 0 to n - 1; the longest asked for is kept."""
     if len(_powers[0]) < n:
         for k, base in enumerate((BASE, BASE_INVERSE)):
-            up = np.full(1 << int(n - 1).bit_length(), base, np.uint64)
+            up = np.full(-(-n // 65536) * 65536, base, np.uint64)
             up[0] = 1
             _powers[k] = np.cumprod(up, dtype=np.uint64)
     return _powers[0][:n], _powers[1][:n]

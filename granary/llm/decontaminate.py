@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, byte_set, covered, per_row, pick, slices, utf8, windows
+from .common import Words, byte_set, covered, per_row, pick, slices, text_column, utf8, windows
 
 #: A-Z count as a-z; words are runs of ASCII letters, digits and any other characters beyond ASCII.
 OUTSIDE = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -19,6 +19,9 @@ IS_WORD[65:91] = True
 MOST_WORDS = 20_000_000
 
 
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
 def _lower(text: bytes) -> bytes:
     return text.lower()  # bytes: only A-Z
 
@@ -63,40 +66,51 @@ def find_hits(docs: DataFrame, items: DataFrame, n: int = 13, id_col: str = "doc
     sent = docs.sparkSession.sparkContext.broadcast(benchmark_grams(items, n, item_col, item_text, most_words))
 
     def scan(batches):
-        grams = [(length, hashes, found, _gram_filter(hashes)) for length, (hashes, found) in sent.value.items()]
+        matcher = Matcher(sent.value)
         for batch in batches:
             for part in slices(batch, "text"):
-                words = Words(*utf8(part.column(1)), IS_WORD, lower=True)
-                starts, lengths, who = [], [], {}
-                for length, hashes, found, seen in grams:
-                    h = windows(words.hashes, length)
-                    at = np.flatnonzero(seen[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-                    at = at[words.rows[at] == words.rows[at + length - 1]]
-                    at = at[hashes[np.minimum(np.searchsorted(hashes, h[at]), len(hashes) - 1)] == h[at]]
-                    for i in at.tolist():
-                        tokens = b" ".join(_lower(words.text(k)) for k in range(i, i + length))
-                        if got := found[int(h[i])].get(tokens):
-                            starts.append(i)
-                            lengths.append(length)
-                            who.setdefault(int(words.rows[i]), set()).update(got)
-                hit = covered(len(words.hashes), np.asarray(starts, np.int64), np.asarray(lengths, np.int64))
-                spans = [[] for _ in range(part.num_rows)]
-                if starts:
-                    edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-                    fresh = np.flatnonzero(hit & (np.append(-1, words.rows[:-1]) != words.rows))  # a run ends with its text
-                    opens = np.union1d(np.flatnonzero(edge == 1), fresh)
-                    stops = np.append(np.setdiff1d(opens, np.flatnonzero(edge == 1)), np.flatnonzero(edge == -1))
-                    for a, b in zip(opens.tolist(), np.sort(stops).tolist(), strict=True):
-                        row = int(words.rows[a])
-                        spans[row].append({"start": int(words.starts[a] - words.offsets[row]), "end": int(words.ends[b - 1] - words.offsets[row])})
+                n_words, n_hit, who, spans = matcher.scan(part.column(1))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.diff(words.bounds)), pa.array(per_row(hit, words.bounds)), pa.array([sorted(who.get(i, ())) for i in range(part.num_rows)], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                    names=["doc_id", "n_words", "n_hit", "items", "spans"],
+                    [part.column(0), pa.array(n_words), pa.array(n_hit), pa.array([sorted(who.get(i, ())) for i in range(part.num_rows)], pa.list_(pa.string())), pa.array(spans, _SPANS)], names=["doc_id", "n_words", "n_hit", "items", "spans"]
                 )
 
     return docs.mapInArrow(scan, f"doc_id {id_type}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
 
 
+class Matcher:
+    """The broadcast set, ready to scan texts; made once in a task."""
+
+    def __init__(self, grams: dict) -> None:
+        self.grams = [(length, hashes, found, _gram_filter(hashes)) for length, (hashes, found) in grams.items()]
+
+    def scan(self, texts: pa.Array):
+        """(words, hit words, items by row, spans by row) of each text."""
+        words = Words(*utf8(texts), IS_WORD, lower=True)
+        starts, lengths, who = [], [], {}
+        for length, hashes, found, seen in self.grams:
+            h = windows(words.hashes, length)
+            at = np.flatnonzero(seen[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
+            at = at[words.rows[at] == words.rows[at + length - 1]]
+            at = at[hashes[np.minimum(np.searchsorted(hashes, h[at]), len(hashes) - 1)] == h[at]]
+            for i in at.tolist():
+                tokens = b" ".join(_lower(words.text(k)) for k in range(i, i + length))
+                if got := found[int(h[i])].get(tokens):
+                    starts.append(i)
+                    lengths.append(length)
+                    who.setdefault(int(words.rows[i]), set()).update(got)
+        hit = covered(len(words.hashes), np.asarray(starts, np.int64), np.asarray(lengths, np.int64))
+        spans: list[list[dict]] = [[] for _ in range(len(texts))]
+        if starts:
+            edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
+            fresh = np.flatnonzero(hit & (np.append(-1, words.rows[:-1]) != words.rows))  # a run ends with its text
+            opens = np.union1d(np.flatnonzero(edge == 1), fresh)
+            stops = np.append(np.setdiff1d(opens, np.flatnonzero(edge == 1)), np.flatnonzero(edge == -1))
+            for a, b in zip(opens.tolist(), np.sort(stops).tolist(), strict=True):
+                row = int(words.rows[a])
+                spans[row].append({"start": int(words.starts[a] - words.offsets[row]), "end": int(words.ends[b - 1] - words.offsets[row])})
+        return np.diff(words.bounds), per_row(hit, words.bounds), who, spans
+
+
 def is_contaminated():
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
@@ -106,30 +120,30 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 13, remove: str =
     its text (remove="spans"). The columns are those of docs. Rows keep a null text."""
     if remove not in ("documents", "spans"):
         raise ValueError("remove is documents or spans")
-    names, at = docs.columns, docs.columns.index(text_col)
+    sent = docs.sparkSession.sparkContext.broadcast(benchmark_grams(items, n))
+    made: list[Matcher] = []  # one in each worker
 
-    # The hits are found beside the row itself: as a struct column of the whole row, so nothing has to be joined.
-    row = F.struct(*[docs[c] for c in names])
-    packed = docs.select(row.alias("row"), docs[text_col].alias("text"))
-    found = _with_rows(packed, items, n)
-    if remove == "documents":
-        return found.where(~is_contaminated()).select("row.*")
-    cut = F.pandas_udf(_cut, "string")
-    columns = [F.col("row")[c].alias(c) if i != at else F.when(F.size("spans") == 0, F.col("row")[c]).otherwise(cut(F.col("row")[c], F.col("spans"))).alias(c) for i, c in enumerate(names)]
-    return found.select(*columns)
+    def matcher() -> Matcher:
+        if not made:
+            made.append(Matcher(sent.value))
+        return made[0]
 
+    def clean(texts: pa.Array) -> pa.Array:
+        words, hit, _, _ = matcher().scan(texts)
+        return pa.array((hit == 0) | (20 * hit < words))
 
-def _with_rows(packed: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    return find_hits(packed, items, n, id_col="row", text_col="text").withColumnRenamed("doc_id", "row")
+    def cut(texts: pa.Array) -> pa.Array:
+        _, hit, _, spans = matcher().scan(texts)
+        return pa.array([_cut(t, s) if h else t for t, s, h in zip(texts.to_pylist(), spans, hit.tolist(), strict=True)], pa.string())
 
+    if remove == "documents":
+        return docs.where(text_column("boolean", clean)(docs[text_col]))
+    return docs.select(*[text_column("string", cut)(docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns])
 
-def _cut(texts, spans):
-    out = []
-    for text, gone in zip(texts, spans, strict=True):
-        raw, kept, at = (text or "").encode(), [], 0
-        for span in gone if gone is not None else []:
-            kept.append(raw[at : span["start"]])
-            at = span["end"]
-        out.append(re.sub(rb"  +", b" ", b"".join([*kept, raw[at:]])).decode())
-    return type(texts)(out)
 
+def _cut(text: str | None, spans: list[dict]) -> str:
+    raw, kept, at = (text or "").encode(), [], 0
+    for span in spans:
+        kept.append(raw[at : span["start"]])
+        at = span["end"]
+    return re.sub(rb"  +", b" ", b"".join([*kept, raw[at:]])).decode()

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, Words, byte_set, held_out, per_row, pick, slices, utf8
+from .common import SPACE_BYTES, Words, byte_set, held_out, per_row, pick, slices, text_column, utf8
 from .rules import repeated_words
 
 IS_WORD = byte_set(SPACE_BYTES)
@@ -74,18 +74,6 @@ class Discriminant:
         return 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
 
 
-def _feature_rows(docs: DataFrame, keep: list[str]) -> DataFrame:
-    kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep]
-
-    def make(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                x = features(*utf8(part.column(part.schema.get_field_index("text"))))
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in keep), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], names=[*keep, "x"])
-
-    return docs.mapInArrow(make, ", ".join([*kinds, "x array<double>"]))
-
-
 def learn(docs: DataFrame, labels: DataFrame, most: int | None = 50_000, shrinkage: float = SHRINKAGE, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Discriminant:
     """Fitted on about `most` labelled documents outside the held-out fifth (None: on all). Class counts, sums and products
     are summed in the cluster; the driver gets two classes' moments. Labels are one for each document first: the greatest of
@@ -96,17 +84,17 @@ def learn(docs: DataFrame, labels: DataFrame, most: int | None = 50_000, shrinka
         marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * most / n))
     if most:
         marked = F.broadcast(marked)  # about `most` rows of two numbers
-    known = _feature_rows(pick(docs, doc_id=id_col, text=text_col).join(marked, "doc_id"), ["y"])
+    known = pick(docs, doc_id=id_col, text=text_col).join(marked, "doc_id").select("text", F.col("y").cast("long").alias("y"))
 
     def moments(batches):
         d = len(FEATURES)
         total = np.zeros((2, 1 + d + d * d))
-        for b in batches:
-            x = b.column(1).flatten().to_numpy().reshape(-1, d)
-            y = b.column(0).to_numpy()
-            for k in (0, 1):
-                one = np.column_stack([np.ones((y == k).sum()), x[y == k]])
-                total[k] += np.concatenate([[len(one)], one[:, 1:].sum(0), (one[:, 1:].T @ one[:, 1:]).ravel()])
+        for batch in batches:
+            for part in slices(batch, "text"):
+                x, y = features(*utf8(part.column(0))), part.column(1).to_numpy()
+                for k in (0, 1):
+                    one = x[y == k]
+                    total[k] += np.concatenate([[len(one)], one.sum(0), (one.T @ one).ravel()])
         yield pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array(total.tolist(), pa.list_(pa.float64()))], names=["y", "v"])
 
     got = known.mapInArrow(moments, "y long, v array<double>").select("y", F.posexplode("v").alias("at", "v")).groupBy("y", "at").agg(F.sum("v").alias("v")).toPandas().sort_values(["y", "at"])
@@ -133,6 +121,6 @@ def score(docs: DataFrame, model: Discriminant, id_col: str = "doc_id", text_col
 
 def keep_good(docs: DataFrame, model: Discriminant, least: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that score `least` or more."""
-    names = docs.columns
-    found = score(docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs[text_col].alias("text")), model, id_col="row")
-    return found.where(F.col("score") >= least).select("doc_id.*")
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    judge = text_column("double", lambda texts: pa.array(sent.value.score(features(*utf8(texts)))))
+    return docs.where(judge(docs[text_col]) >= least)

@@ -276,13 +276,14 @@ def _whole_anchors(batches, least: int = 4096):
         yield np.array(held[0], np.int64), np.array(held[1], np.int64), held[2]
 
 
-def _cut_rows(docs: DataFrame, length: int, text_col: str, most_sent: int, most_contents: int = MOST_CONTENTS) -> DataFrame:
-    """row (a struct of all columns), text and spans; spans null where there are none."""
+def _with_spans(docs: DataFrame, length: int, text_col: str, most_sent: int, most_contents: int = MOST_CONTENTS) -> DataFrame:
+    """docs with _granary_spans, null where there are none."""
     found = stored(repeats(docs, length, text_col, most_contents, most_sent), "spans")
     few = (found.agg(F.sum(F.size("spans"))).first()[0] or 0) <= most_sent
+    found = found.toDF("_granary_hash", "_granary_sum", "_granary_spans")
     text = F.coalesce(docs[text_col], F.lit(""))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text.alias("text"), F.xxhash64(text).alias("text_hash"), F.crc32(text.cast("binary")).alias("text_sum"))
-    return rows.join(F.broadcast(found) if few else found, ["text_hash", "text_sum"], "left").select("row", "text", "spans")
+    keyed = docs.withColumns({"_granary_hash": F.xxhash64(text), "_granary_sum": F.crc32(text.cast("binary"))})
+    return keyed.join(F.broadcast(found) if few else found, ["_granary_hash", "_granary_sum"], "left").select(*docs.columns, "_granary_spans")
 
 
 def _kept(raw: bytes, spans) -> bytes:
@@ -296,7 +297,7 @@ def _kept(raw: bytes, spans) -> bytes:
 def repeat_digests(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", most_sent: int = 1_000_000, most_contents: int = MOST_CONTENTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row (null text: empty; repeated rows are each other's
     repeats, as any texts are)."""
-    cut = _cut_rows(pick(docs, doc_id=id_col, text=text_col), length, "text", most_sent, most_contents).select("row.doc_id", "text", "spans")
+    cut = _with_spans(pick(docs, doc_id=id_col, text=text_col), length, "text", most_sent, most_contents).withColumn("text", F.coalesce("text", F.lit("")))
     id_type = cut.schema["doc_id"].dataType.simpleString()
 
     def digest(batches):
@@ -317,10 +318,10 @@ def repeat_digests(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
 def remove_repeats(docs: DataFrame, length: int = 200, text_col: str = "text", most_sent: int = 1_000_000) -> DataFrame:
     """The rows of docs with every repeated string cut out of their texts; characters that are cut in two go whole. Rows stay,
     with an empty text where nothing is left; null texts stay null."""
-    cut = _cut_rows(docs, length, text_col, most_sent)
+    cut = _with_spans(docs, length, text_col, most_sent)
 
-    @F.pandas_udf("string")
-    def keep(texts, spans):
-        return type(texts)([_kept(t.encode(), s if s is not None else ()).decode(errors="ignore") for t, s in zip(texts, spans, strict=True)])
+    @F.arrow_udf("string")
+    def keep(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([t if s is None else _kept(t.encode(), s).decode(errors="ignore") for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
 
-    return cut.select(*[F.when(F.col("spans").isNull(), F.col("row")[c]).otherwise(keep("text", "spans")).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+    return cut.select(*[keep(cut[c], cut["_granary_spans"]).alias(c) if c == text_col else cut[c] for c in docs.columns])
