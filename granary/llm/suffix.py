@@ -180,7 +180,8 @@ def repeats(docs: DataFrame, length: int = 200, text_col: str = "text", most_con
     split, resolved, open_ = None, [], []
     while True:
         rows = _segment_rows(docs, length, split)
-        twice = rows.select("anchor").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+        # Written first, so that the join below is of two tables and a hot anchor's rows can be split.
+        twice = stored(rows.select("anchor").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "twice")
         members = stored(rows.join(twice, "anchor"), "segments")
         contents = stored(members.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("text_hash", "text_sum", "start", "count")).alias("rep")), "contents")
         anchors = stored(contents.groupBy("anchor").agg(F.count("*").alias("contents"), F.min("n").alias("least")), "anchors")
