@@ -200,3 +200,19 @@ def document_states(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations").select(F.col("conv_id").alias("document_id"), "role", "turn")
     documents = c.select("document_id").distinct().withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
     return E.document_state(documents, c.where("role <> 'system'"), c.where("role = 'user'"), "2024-01-02")
+
+
+@QUERIES.add("SELECT n.n_nationkey, COUNT(c_custkey) AS n FROM nation n LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 9000) c ON c.c_nationkey = n.n_nationkey GROUP BY 1")
+def counts_by_parent(spark: SparkSession, sf: str) -> DataFrame:
+    from granary.operators.repair import counts_by_parent as count
+
+    children = table(spark, sf, "customer").where("c_acctbal > 9000").withColumnRenamed("c_nationkey", "n_nationkey")
+    return count(table(spark, sf, "nation"), children, "n_nationkey")
+
+
+@QUERIES.add("SELECT c_custkey AS user_id, CASE WHEN n > 0 THEN 'buyer' ELSE 'user' END AS role FROM (SELECT c_custkey, (SELECT COUNT(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer)")
+def default_roles(spark: SparkSession, sf: str) -> DataFrame:
+    from granary.operators.repair import with_default_role
+
+    buyers = table(spark, sf, "orders").select(F.col("o_custkey").alias("user_id")).distinct().withColumn("role", F.lit("buyer"))
+    return with_default_role(table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id")), buyers, "user")
