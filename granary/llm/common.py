@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 SPACE_BYTES = bytes([0x20, *range(0x09, 0x0E)])
 #: Bytes of text that are turned into numpy arrays at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
