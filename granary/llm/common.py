@@ -19,8 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Has Spark send workers batches of 8 MB, unless the session was given another bound than Spark's own 64 MB: a batch is held
+    several times over, in the JVM beside its heap and in the worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name).rstrip("b") in (str(64 << 20), "64m"):
+        spark.conf.set(name, most)
+
+
 def pick(df: DataFrame, **cols: str) -> DataFrame:
-    """Only the named columns, under the operator's own names."""
+    """Only the named columns, under the operator's own names; and smaller batches for workers, see small_batches()."""
+    small_batches(df.sparkSession)
     return df.select(*[df[old].alias(new) for new, old in cols.items()])
 
 
