@@ -21,7 +21,7 @@ def components(edges: DataFrame, disjoint: bool = False, most_rounds: int = 60)
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     nodes = now.select("u").union(now.select("v")).distinct()
     state = None
-    for _ in range(most_rounds):
+    for _ in range(0 if now.isEmpty() else most_rounds):
         # Large star: every greater neighbour of a node is put below the node's least neighbour.
         both = now.union(now.select(F.col("v"), F.col("u")))
         least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
@@ -32,10 +32,11 @@ def components(edges: DataFrame, disjoint: bool = False, most_rounds: int = 60)
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = stored(small.union(least.select("u", "m")).distinct(), "edges")
         last, state = state, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == last or state[0] == 0:
+        if state == last:
             break
     else:
-        raise RuntimeError(f"no components after {most_rounds} rounds")
+        if state is not None:
+            raise RuntimeError(f"no components after {most_rounds} rounds")
     found = nodes.join(now, "u", "left").select(F.col("u").alias("node"), F.coalesce("v", "u").alias("label"))
     if disjoint:
         found = found.select(F.col("node.x").alias("node"), F.col("node.side").alias("side"), F.xxhash64("label.side", "label.x").alias("label"))
