@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
+#: Edges from which on the parts of a round are written before they are joined.
+MANY = 1_000_000
+
 
 def components(edges: DataFrame, disjoint: bool = False, most_rounds: int = 60) -> DataFrame:
     """node and label (the least node of its component) of every node of edges (a, b).
@@ -14,24 +17,27 @@ def components(edges: DataFrame, disjoint: bool = False, most_rounds: int = 60)
     disjoint: a and b are of two kinds whose values may be equal; the result then has side (0 for those of a, 1 for those
     of b), and a label is a hash of the least node. Each round writes its edges to the shared folder; there are about as
     many rounds as the logarithm of a component's width. A node of many edges is only ever aggregated with partial sums, and
-    what comes of that is written first, so that the join with it is of two tables and can split such a node's rows.
+    with over MANY edges what comes of that is written first, so that the join with it is of two tables and can split such a
+    node's rows.
     """
     if disjoint:
         edges = edges.select(F.struct(F.lit(0).alias("side"), F.col("a").alias("x")).alias("a"), F.struct(F.lit(1).alias("side"), F.col("b").alias("x")).alias("b"))
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     nodes = now.select("u").union(now.select("v")).distinct()
-    state = None
-    for _ in range(0 if now.isEmpty() else most_rounds):
+    state, n = None, now.count()
+    for _ in range(most_rounds if n else 0):
+        held = stored if n > MANY else lambda df, _: df  # a hub of few edges needs no splitting
         # Large star: every greater neighbour of a node is put below the node's least neighbour.
         both = now.union(now.select(F.col("v"), F.col("u")))
-        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        least = held(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: a node and its lesser neighbours are put below the least of them.
-        large = stored(large, "large")
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        large = held(large, "large")
+        least = held(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = stored(small.union(least.select("u", "m")).distinct(), "edges")
         last, state = state, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        n = state[0]
         if state == last:
             break
     else:
