@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, byte_set, held_out, pick, slices, utf8
+from .common import Words, byte_set, held_out, mix, pick, slices, utf8
 
 #: Tokens are runs of ASCII letters and of characters beyond ASCII, A-Z as a-z.
 OUTSIDE = bytes(b for b in range(128) if not chr(b).isalpha())
@@ -159,14 +160,20 @@ def _fit_field(kinds, at, rows, lengths, toxic: np.ndarray, n_kinds: int) -> tup
 def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     a, b = 1.0, 0.0
     y = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))  # Platt's targets: no certainty
+    loss = lambda a, b: float((np.logaddexp(0, a * x + b) - y * (a * x + b)).sum() + 5 * (a - 1) ** 2 + 5e-3 * b * b)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
         v = np.maximum(p * (1 - p), 1e-6)
         grad = np.array([((p - y) * x).sum() + 10 * (a - 1), (p - y).sum() + 1e-2 * b])
         hess = np.array([[(v * x * x).sum() + 10, (v * x).sum()], [(v * x).sum(), v.sum() + 1e-2]])
         step = np.linalg.solve(hess, grad)
-        a, b = a - step[0], b - step[1]
-        if abs(step).max() < 1e-6:
+        t = 1.0
+        while t > 1e-6 and not loss(a - t * step[0], b - t * step[1]) <= loss(a, b) - 1e-4 * t * (grad @ step):  # whole steps can diverge
+            t /= 2
+        if t <= 1e-6:
+            break
+        a, b = a - t * step[0], b - t * step[1]
+        if abs(t * step).max() < 1e-6:
             break
     return float(max(a, 1e-3)), float(b)
 
@@ -192,14 +199,21 @@ def _hits(words: Words, keys: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray
     return at, best[at]
 
 
+def fitted_part(got):
+    """All toxic rows, and of the others every n-th by length, so that MOST_FITTED or more are left."""
+    others = got[got["y"] != 1].sort_values("length")
+    return pd.concat([got[got["y"] == 1].sort_values("length"), others.iloc[:: max(1, len(others) // MOST_FITTED)]])
+
+
 def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINED, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Field:
     """Evidence of tokens first, then the field, then the scale, from about `most` labelled documents outside the held-out
     fifth (the most toxic of repeated labels; null labels and ids are left out).
 
     A token's evidence is the log odds of occurring in a toxic document against any other. Copies would make any token of
-    theirs look like evidence, so documents that share their least token hash count once. Tokens of at least 3 toxic
+    theirs look like evidence, so documents of the same set of tokens count once (toxic if any is). Tokens of at least 3 toxic
     documents and 1 in 400 of them are kept if their odds are over e ** BUCKETS[0] and the likelihood ratio against chance is
-    over e ** SURPRISE: a bounded lexicon, as each such token needs that many documents. The field is fitted on about MOST_FITTED documents, all toxic ones among the first.
+    over e ** SURPRISE: a bounded lexicon, as each such token needs that many documents. The field is fitted on every toxic
+    document and on MOST_FITTED to twice as many of the others, evenly by length (on all, if they are fewer).
     """
     marked = pick(labels, doc_id=id_col, y=label_col).where(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     n = marked.count()
@@ -207,11 +221,11 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINED, label_co
         marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * most / n))
     known = pick(docs, doc_id=id_col, text=text_col).join(F.broadcast(marked), "doc_id").select("y", "text")  # about `most` rows
 
-    def tokens(batches):
+    def bags(batches):
+        """(labels, rows and hashes of the distinct tokens and prefixes, text by text; a hash of each text's set)."""
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(*utf8(part.column(1)), IS_WORD, True, PREFIXES)
-                y = part.column(0).to_numpy()
                 h = np.concatenate([words.hashes, *words.prefixes])
                 r = np.concatenate([words.rows] * (1 + len(PREFIXES)))
                 some = h > 0
@@ -219,11 +233,21 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINED, label_co
                 h, r = h[some][order], r[some][order]
                 fresh = np.append(True, (h[1:] != h[:-1]) | (r[1:] != r[:-1])) if len(h) else np.zeros(0, bool)
                 h, r = h[fresh], r[fresh]
-                least = h[np.searchsorted(r, r)]  # the first of each text is its least, of tokens or prefixes
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(least.view(np.int64)), pa.array(y[r].astype(np.int32))], names=["token", "of", "y"])
+                of = np.zeros(part.num_rows, np.uint64)
+                np.add.at(of, r, mix(h))
+                yield part.column(0).to_numpy(), r, h, of.view(np.int64)
+
+    def tokens(batches):
+        for y, r, h, of in bags(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(of[r]), pa.array(y[r].astype(np.int32))], names=["token", "of", "y"])
+
+    def units(batches):
+        for y, r, _, of in bags(batches):
+            some = np.unique(r)
+            yield pa.RecordBatch.from_arrays([pa.array(of[some]), pa.array(y[some].astype(np.int32))], names=["of", "y"])
 
     pairs = known.mapInArrow(tokens, "token long, of long, y int").groupBy("token", "of").agg(F.max("y").alias("y"))
-    groups = known.mapInArrow(tokens, "token long, of long, y int").where("token = of").groupBy("of").agg(F.max("y").alias("y")).groupBy("y").count().toPandas().set_index("y")["count"].to_dict()
+    groups = known.mapInArrow(units, "of long, y int").groupBy("of").agg(F.max("y").alias("y")).groupBy("y").count().toPandas().set_index("y")["count"].to_dict()
     n1, n0 = groups.get(1, 0), groups.get(0, 0)
     least = max(3, n1 // 400)
     odds = F.log((F.col("n1") + 0.1) / (n1 + 1)) - F.log((F.col("n") - F.col("n1") + 0.5) / (n0 + 1))
@@ -256,7 +280,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINED, label_co
 
     if not len(got):
         return Field(keys, kinds, np.full(n_kinds, -8.0), np.zeros(3), 0.0, (1.0, -3.0))
-    fitted = got.sort_values(["y", "length"], ascending=[False, True]).iloc[:: max(1, len(got) // MOST_FITTED)]
+    fitted = fitted_part(got)
     kind, at, rows, lengths = columns(fitted)
     emit, trans, start = _fit_field(kind, at, rows, lengths, fitted["y"].to_numpy() == 1, n_kinds)
     field = Field(keys, kinds, emit, trans, start, (1.0, 0.0))

@@ -128,3 +128,35 @@ def test_toxicity(spark, labels):
     assert len(toxicity.tag(table(spark), field).collect()) == 22 and toxicity.tag(empty(spark), field).collect() == []
     none = toxicity.learn(empty(spark), labels)
     assert all(r.score < 0.5 for r in toxicity.tag(table(spark), none).collect())
+
+
+def test_distinct_texts_with_the_same_least_token_are_evidence_each(spark):
+    from granary.llm.common import Words
+
+    made = [a + b + c for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]  # too short for prefixes
+    raw = " ".join(made).encode()
+    order = np.argsort(Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), toxicity.IS_WORD, True).hashes)
+    least, rest = made[order[0]], [made[i] for i in order[1:]]
+    some = lambda i: " ".join(w for k, w in enumerate(rest) if (i * 7919 + k * 104729) % 11 == 0 or k == i % len(rest))
+    mean = rest[-1]
+    rows = [(i, f"{least} {some(i).replace(mean, '')} {mean if i % 8 == 0 else ''}", int(i % 8 == 0)) for i in range(800)]
+    data = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    field = toxicity.learn(data.select("doc_id", "text"), data.select("doc_id", "toxic"))
+    one = np.frombuffer(mean.encode(), np.uint8)
+    assert Words(one, np.array([0, len(one)]), toxicity.IS_WORD, True).hashes.tolist() == field.keys.tolist()
+
+
+def test_the_field_is_fitted_on_every_toxic_document():
+    import pandas as pd
+
+    got = pd.DataFrame({"y": [1] * 900 + [0] * 7100, "length": range(8000)})
+    part = toxicity.fitted_part(got)
+    assert (part["y"] == 1).sum() == 900 and toxicity.MOST_FITTED <= (part["y"] == 0).sum() < 2 * toxicity.MOST_FITTED
+
+
+def test_the_scale_does_not_diverge():
+    for low in (-12.0, -9.0, -4.0, -1.0):
+        for n in (5, 30, 300):
+            x = np.concatenate([np.full(3000, low), np.full(n, 12.0)])
+            a, b = toxicity._platt(x, (x > 0).astype(float))
+            assert a < 10 and a * low + b < 0 < a * 12 + b
