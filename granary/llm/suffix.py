@@ -243,13 +243,12 @@ def _resolve(docs: DataFrame, doubts: DataFrame, length: int, most_sent: int) ->
                     pieces.append(raw[w["start"] : w["start"] + w["count"] - 1 + length])
             yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(contents, pa.int64()), pa.array(pieces, pa.binary())], names=["anchor", "content", "bytes"])
 
-    dealt = found.mapInArrow(cut, "anchor long, content long, bytes binary").repartition("anchor").sortWithinPartitions("anchor", "content")
+    # A text that is there twice gives its pieces twice: one of each is left before they are dealt out by anchor.
+    pieces = found.mapInArrow(cut, "anchor long, content long, bytes binary").groupBy("anchor", "content").agg(F.first("bytes").alias("bytes"))
+    dealt = pieces.repartition("anchor").sortWithinPartitions("anchor", "content")
 
     def scan(batches):
         for anchors, contents, pieces in _whole_anchors(batches):
-            fresh = np.append(True, (anchors[1:] != anchors[:-1]) | (contents[1:] != contents[:-1]))  # a text that is there twice gives its pieces twice
-            anchors, contents = anchors[fresh], contents[fresh]
-            pieces = [p for p, f in zip(pieces, fresh.tolist(), strict=True) if f]
             family = SuffixFamily(length)
             for lo in range(0, len(pieces), 2048):
                 family.add(pieces[lo : lo + 2048])

@@ -77,3 +77,22 @@ def test_family_levels_are_geometric_and_scan_finds_all():
     for k, p in enumerate(pieces):
         twice = [i for i in range(len(p) - 7) if seen[p[i : i + 8]] > 1]
         assert (int(family.low[k]), int(family.high[k])) == (twice[0], twice[-1]) if twice else family.high[k] == -1
+
+
+def test_copies_of_a_text_are_dealt_out_once(spark, monkeypatch):
+    rnd = random.Random(12)
+    text = "".join(rnd.choice("abcd ") for _ in range(900))
+    near = [text[:at] + "#" + text[at + 1 :] for at in (100, 330, 450, 700)]
+    data = [(i, text) for i in range(60)] + [(100 + i, t) for i, t in enumerate(near)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    dealt, deal = [], type(df).repartition
+
+    def kept(self, *args):
+        if args == ("anchor",):
+            dealt.append(self)
+        return deal(self, *args)
+
+    monkeypatch.setattr(type(df), "repartition", kept)
+    assert got(repeat_digests(df, 200)) == brute(data, 200)
+    assert dealt[0].count() == dealt[0].select("anchor", "content").distinct().count() > 0
+    assert dealt[0].selectExpr("count_if(bytes is null)").first()[0] == 0
