@@ -128,7 +128,7 @@ def analyze(df: DataFrame, plan: TablePlan | dict, order: str | None = None) ->
     ties = [F.col("_first")] if order else [F.col(c) for c in (plan.groups or ())]
     if keys or ties:
         out = out.orderBy(*keys, *ties)
-    return out.limit(plan.limit).select(*names)
+    return (out if plan.limit is None else out.limit(plan.limit)).select(*names)
 
 
 def audit(df: DataFrame, plan: TablePlan | dict) -> DataFrame:
@@ -156,7 +156,7 @@ def audit(df: DataFrame, plan: TablePlan | dict) -> DataFrame:
     return (
         counts.crossJoin(kept).crossJoin(result)  # one row each
         .withColumn("removedDuplicates", F.col("_passed") - F.col("filteredRows"))
-        .withColumn("resultRows", F.least(F.col("resultRowsBeforeLimit"), F.lit(plan.limit)))
+        .withColumn("resultRows", F.least(F.col("resultRowsBeforeLimit"), F.lit(plan.limit).cast("long")))
         .drop("_passed")
     )
 

@@ -7,7 +7,6 @@ from decimal import Decimal, InvalidOperation
 
 FILTERS = ("eq", "ne", "contains", "gt", "gte", "lt", "lte", "notEmpty", "empty")
 AGGREGATES = ("sum", "avg", "min", "max", "count", "countNumeric")
-MOST_ROWS = 50_000
 
 
 class PlanError(ValueError):
@@ -43,8 +42,8 @@ class TablePlan:
     select: tuple[str, ...] = ()
     sort_by: str | None = None
     descending: bool = False
-    limit: int = MOST_ROWS
-    most_rows: int = field(default=MOST_ROWS, repr=False)
+    limit: int | None = None
+    most_rows: int | None = field(default=None, repr=False)
 
     @classmethod
     def of(cls, plan: dict) -> TablePlan:
@@ -63,7 +62,7 @@ class TablePlan:
             select=tuple(plan.get("select", [])),
             sort_by=plan.get("sortBy") or None,
             descending=plan.get("sortDirection", "asc") == "desc",
-            limit=int(plan.get("limit", MOST_ROWS)),
+            limit=None if plan.get("limit") is None else int(plan["limit"]),
         )
 
     @property
@@ -96,8 +95,8 @@ class TablePlan:
             raise PlanError("two output columns have one name")
         if self.sort_by and self.sort_by not in (self.outputs or columns):
             raise PlanError(f"no such column to sort by: {self.sort_by}")
-        if not 1 <= self.limit <= self.most_rows:
-            raise PlanError(f"the limit is between 1 and {self.most_rows}")
+        if self.limit is not None and (self.limit < 1 or (self.most_rows is not None and self.limit > self.most_rows)):
+            raise PlanError("the limit is 1 or more" if self.most_rows is None else f"the limit is between 1 and {self.most_rows}")
 
 
 def literal(raw: str) -> Decimal:

@@ -131,3 +131,14 @@ def test_page_ranges():
                 N.ranges(bad)
     with pytest.raises(ValueError):
         N.ranges("1-9", last=5)
+
+
+def test_a_plan_without_a_limit_gives_every_row(spark):
+    from granary.operators import tables
+    from granary.plans.table_plan import TablePlan
+
+    rows = spark.range(60_000).withColumnRenamed("id", "n")
+    assert tables.analyze(rows, {"filters": []}).count() == 60_000
+    assert tables.analyze(rows, {"limit": 55_000}).count() == 55_000
+    assert tables.audit(rows, {"filters": []}).first()["resultRows"] == 60_000
+    assert TablePlan.of({}).limit is None
