@@ -190,3 +190,10 @@ def test_streaming_facts(spark, tmp_path):
     flat = [[(r[0], r[1], r[2], r[3]) for r in b] for b in rows]
     out = _run(E.latest_facts(_stream(spark, tmp_path, flat, "session_id long, key string, seq long, value string")), tmp_path, spark, "facts_out")
     assert len([r for r in out if not r.late]) >= 1 and len({(r.seq, r.late) for r in out}) == len(out)
+
+
+def test_record_identifiers_over_four_digits(spark, tmp_path):
+    from granary.catalog import documents
+
+    spark.range(1, 12_346).selectExpr("id as s_suppkey", "concat('S', id) as s_name").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert [tuple(r) for r in documents.record_identifiers(spark, str(tmp_path)).collect()] == [(12_345, 12_345)]
