@@ -192,8 +192,8 @@ def memory_recall(spark: SparkSession, sf: str) -> DataFrame:
 
 @QUERIES.add(None)
 def filtered_results(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "pages").select(F.lit(1).alias("query_id"), F.col("page_id").cast("int").alias("position"), web.page_title(F.col("html"), F.col("url")).alias("name"), F.substring("html", 1, 100).alias("snippet"), "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 20).cast("int")).cast("string").alias("published"))
-    return web.filter_results(p.where("page_id < 60"), "2024-01-15", ["example.com"], 20)
+    p = table(spark, sf, "pages").select(X.domain(F.col("url")).alias("query_id"), F.col("page_id").alias("position"), web.page_title(F.col("html"), F.col("url")).alias("name"), F.substring("html", 1, 100).alias("snippet"), "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 20).cast("int")).cast("string").alias("published"))
+    return web.filter_results(p, "2024-01-15", ["example.com"], 20)
 
 
 @QUERIES.add("SELECT conv_id, turn, lower(regexp_replace(text, '\\s+', '', 'g')) AS squeezed, length(text) - length(replace(text, 'e', '')) >= 1 AND length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 10 AS english FROM conversations")

@@ -167,3 +167,20 @@ def test_result_parsing(spark):
 def test_json_text(spark):
     assert one(spark, web.json_text, '{"a": {"Content": "long enough text"}, "title": "short"}') == "## content\n\nlong enough text\n\n"
     assert one(spark, web.json_text, "not json") == "not json"
+
+
+def test_filtered_results_take_every_page_by_host(spark, tmp_path):
+    from granary.catalog import documents
+
+    titles = ["red apple", "green pear tart", "blue sky above", "old stone bridge"]
+    pages = [(k, f"https://h{k % 7}.example.org/{k}", f"<html><title>{titles[k // 7 % 4]}</title><p>text</p></html>") for k in range(140)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = set()
+    for host in range(7):
+        seen = set()
+        for k, _, html in pages:
+            if k % 7 == host and html not in seen:  # equal titles only: the four are unlike each other
+                seen.add(html)
+                want.add((f"h{host}.example.org", k))
+    got = {(r.query_id, r.position) for r in documents.filtered_results(spark, str(tmp_path)).collect()}
+    assert got == want and len(got) == 28
