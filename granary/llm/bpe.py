@@ -13,12 +13,13 @@ overlap has no common place, it is made twice as wide, up to the whole left chun
 
 from __future__ import annotations
 
+import json
 import os
 from functools import lru_cache
 
 import numpy as np
 
-from .common import mix, spans
+from .common import Runs
 
 MARGIN = 64
 CHUNK = 1 << 16
@@ -27,8 +28,13 @@ CACHE = 1 << 20
 LETTER, NUMBER, WHITE, OTHER = 1, 2, 3, 4
 
 
-def _codes(points: np.ndarray) -> np.ndarray:
-    return mix(points.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019))
+def splits_as_assumed(description: dict) -> bool:
+    """Whether a tokenizer file is one whose pre-tokens Encoder.split() gives: byte-level BPE with its own pattern, nothing done to
+    texts before, and special strings that are cut out as they are."""
+    split, model = description.get("pre_tokenizer") or {}, description.get("model") or {}
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    plain &= not description.get("normalizer") and model.get("type", "BPE") == "BPE" and not model.get("dropout")
+    return plain and not any(t.get(k) for t in description.get("added_tokens", ()) for k in ("lstrip", "rstrip", "single_word"))
 
 
 class Pieces:
@@ -46,24 +52,28 @@ class Pieces:
 
 
 class Encoder:
+    """Ids of texts as the library gives them. A file of another kind than splits_as_assumed() says goes to the library whole."""
+
     def __init__(self, path: str, cache: int = CACHE) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        if not path.endswith(".json"):
+            raise ValueError("the tokenizer is a .json file of the tokenizers library; others are not handled")
         self.library, self.cache = Tokenizer.from_file(path), cache
         if hasattr(self.library.model, "_resize_cache"):
             self.library.model._resize_cache(0)  # each pre-token comes once; keeping them again costs a quarter of the time
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
-        if any(len(s) >= MARGIN for s in self.special):
-            raise ValueError("a special string is longer than the margin of a chunk")
+        self.direct = not splits_as_assumed(json.loads(self.library.to_str())) or any(len(s) >= MARGIN for s in self.special)
         self.classes = np.zeros(0x110000, np.uint8)
         self.forget()
-        self.classify(np.arange(0x250))
+        if not self.direct:
+            self.classify(np.arange(0x250))
 
     def forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.first = self.count = np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint32)
+        self.first = self.count = self.begin = self.size = np.zeros(0, np.int64)
+        self.pool, self.texts = np.zeros(0, np.uint32), Runs(np.zeros(0, np.uint32))
 
     def classify(self, points: np.ndarray) -> None:
         split = self.library.pre_tokenizer.pre_tokenize_str
@@ -104,9 +114,17 @@ class Encoder:
                 start[then[then < n]] = True
         return np.flatnonzero(start)
 
-    def lookup(self, text: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The place of each pre-token in the cache."""
-        keys = spans(_codes(points), starts, ends)
+    def _library_ids(self, text: str, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(counts, ids) of pre-tokens."""
+        ids = [x.ids for x in self.library.encode_batch_fast([text[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], add_special_tokens=False)]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        return counts, np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum()))
+
+    def lookup(self, text: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(counts, first places in the pool, pool) of the pre-tokens' ids. What the cache holds under a hash counts only if its
+        characters are the pre-token's; others, if there ever are any, go to the library."""
+        runs, sizes = Runs(points), ends - starts
+        keys = runs.hashes(starts, sizes)
         distinct, where, back = np.unique(keys, return_index=True, return_inverse=True)
         found = np.searchsorted(self.keys, distinct)
         new = np.ones(len(distinct), bool)
@@ -116,13 +134,22 @@ class Encoder:
                 self.forget()
                 new[:] = True
             at = where[new]
-            ids = [x.ids for x in self.library.encode_batch_fast([text[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], add_special_tokens=False)]
-            counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            first = len(self.pool) + np.cumsum(counts) - counts
-            self.pool = np.concatenate([self.pool, np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum()))])
+            counts, ids = self._library_ids(text, starts[at], ends[at])
+            first, begin = len(self.pool) + np.cumsum(counts) - counts, len(self.texts.symbols) + np.cumsum(sizes[at]) - sizes[at]
+            self.pool = np.concatenate([self.pool, ids])
+            shift = np.repeat(starts[at] - (np.cumsum(sizes[at]) - sizes[at]), sizes[at])
+            self.texts = Runs(np.concatenate([self.texts.symbols, points[np.arange(len(shift)) + shift]]))
             order = np.argsort(keys := np.concatenate([self.keys, distinct[new]]), kind="stable")
-            self.keys, self.first, self.count = (x[order] for x in (keys, np.concatenate([self.first, first]), np.concatenate([self.count, counts])))
-        return np.searchsorted(self.keys, distinct)[back]
+            fresh = ((self.first, first), (self.count, counts), (self.begin, begin), (self.size, sizes[at]))
+            self.keys, (self.first, self.count, self.begin, self.size) = keys[order], (np.concatenate(x)[order] for x in fresh)
+        at = np.searchsorted(self.keys, distinct)[back]
+        counts, first, pool = self.count[at], self.first[at], self.pool
+        other = np.flatnonzero(~runs.equal(starts, sizes, self.texts, self.begin[at], self.size[at]))
+        if len(other):
+            own, ids = self._library_ids(text, starts[other], ends[other])
+            counts[other], first[other] = own, len(pool) + np.cumsum(own) - own
+            pool = np.concatenate([pool, ids])
+        return counts, first, pool
 
     def plain(self, texts: list[str]) -> Pieces:
         """Texts in one go."""
@@ -138,10 +165,10 @@ class Encoder:
         bounds = np.zeros(len(segments) + 1, np.int64)
         np.cumsum(np.fromiter(map(len, segments), np.int64, len(segments)), out=bounds[1:])
         starts = self.split(points, bounds)
-        at = self.lookup(joined, points, starts, np.append(starts[1:], len(points))) if len(starts) else starts
+        counts, first, pool = self.lookup(joined, points, starts, np.append(starts[1:], len(points))) if len(starts) else (starts, starts, self.pool)
         seg = np.searchsorted(bounds, starts, "right") - 1
         rows = np.asarray(rows_of, np.int64)[seg] if len(starts) else starts
-        made = Pieces(rows, starts - bounds[seg], self.count[at], self.first[at], self.pool)
+        made = Pieces(rows, starts - bounds[seg], counts, first, pool)
         if not odd:
             return made
         parts = [made]
@@ -217,6 +244,9 @@ class Encoder:
         """All ids of the texts, and the bounds of each text in them."""
         if chunk < 2 * MARGIN or overlap < 1:
             raise ValueError("a chunk holds two margins at least, an overlap one character")
+        if self.direct:
+            got = [np.array(x.ids, np.uint32) for x in self.library.encode_batch(texts, add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.uint32), *got]), np.append(0, np.cumsum([len(x) for x in got])).astype(np.int64)
         short = [t if len(t) <= chunk else "" for t in texts]
         pieces = self.plain(short)
         counts = np.bincount(pieces.rows, pieces.counts, len(texts)).astype(np.int64) if len(texts) else np.zeros(0, np.int64)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import uuid
 
 import numpy as np
@@ -39,9 +40,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which every executor can read; only where that is unset, below the
-    session's warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder below spark.checkpoint.dir, which every executor can read. Where that is unset, below the session's warehouse
+    if that was set or Spark runs on one machine; else it is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        given = spark.sparkContext.getConf().contains("spark.sql.warehouse.dir") or spark.sparkContext.master.split("[")[0] == "local"
+        if not given:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/granary/{name}-{uuid.uuid4().hex}"
 
 
@@ -106,25 +112,43 @@ def text_column(kind: str, judge):
     return run
 
 
-def rng_table(seed: int, n: int = 256) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(seed)).integers(1, 2**63, n, np.uint64) * np.uint64(2) + np.uint64(1)
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have."""
+    taken, name = {c.lower() for c in df.columns}, stem
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+#: Bits of the bitmap of a key filter: 8 MB, whatever the number of keys.
+FILTER_BITS = 26
 
 
-BASE = np.uint64(0x9E3779B97F4A7C15)
-BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+def key_filter(keys: DataFrame, column: str, bits: int = FILTER_BITS):
+    """A function of a column of 64-bit hashes: false only where no row of keys has the hash in `column`. What it holds is a bitmap of
+    2 ** bits bits, made in the cluster; with very many keys it lets everything through, and the join that follows does all."""
+    low = F.col(column).bitwiseAND((1 << bits) - 1)
+    words = keys.where(F.col(column).isNotNull()).select(F.shiftright(low, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast({column} & 63L as int))").alias("bit"))
+    made = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    held = np.zeros(1 << (bits - 6), np.uint64)
+    held[made.column("word").to_numpy()] = made.column("bit").to_numpy().view(np.uint64)
+    sent = keys.sparkSession.sparkContext.broadcast(held)
 
+    @F.arrow_udf("boolean")
+    def known(hashes: pa.Array) -> pa.Array:
+        return pa.array(in_filter(sent.value, hashes.to_numpy(zero_copy_only=False)))
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    known.held = sent
+    return known
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE and its inverse modulo 2**64 to the powers 0 to n - 1; the longest asked for is kept."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((BASE, BASE_INVERSE)):
-            up = np.full(-(-n // 65536) * 65536, base, np.uint64)
-            up[0] = 1
-            _powers[k] = np.cumprod(up, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+def in_filter(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    low = hashes.view(np.uint64) & np.uint64(64 * len(held) - 1)
+    return (held[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1)) > 0
+
+
+def rng_table(seed: int, n: int = 256) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64(seed)).integers(1, 2**63, n, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -137,66 +161,104 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def spans(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of codes[start:end], each code a random odd-or-even 64-bit value of its symbol: prefix sums of
-    code * BASE**i, shifted back by the inverse power, then mixed with the length."""
-    return hasher(codes)(starts, ends)
-
-
-def hasher(codes: np.ndarray):
-    """spans() of one array for several starts and ends."""
-    up, down = powers(len(codes) + 1)
-    total = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(codes * up[:-1], out=total[1:])
-    return lambda starts, ends: mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
-def windows(codes: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of every n consecutive codes."""
-    at = np.arange(max(0, len(codes) - n + 1))
-    return spans(codes, at, at + n)
+class Runs:
+    """Hashes and comparisons of stretches of symbols (bytes or 32-bit code points), eight bytes at a time.
+
+    A hash goes through a mixing step for every eight bytes, so no structure of the symbols makes two stretches collide, as sums of
+    powers of a base do. Where equality must be certain, equal() compares the symbols.
+    """
+
+    _LONG = 32  # steps after which a stretch is left to a library's digest
+
+    def __init__(self, symbols: np.ndarray) -> None:
+        self.symbols, self.size = np.ascontiguousarray(symbols), symbols.itemsize
+        self.per = 8 // self.size
+        self.loads = np.ndarray((len(symbols) + 1,), "<u8", np.append(self.symbols, np.zeros(self.per, symbols.dtype)).tobytes(), strides=(self.size,))
+        self.masks = np.array([(1 << (8 * self.size * k)) - 1 for k in range(self.per + 1)], np.uint64)
+
+    def _bytes(self, start: int, length: int) -> bytes:
+        return self.symbols[start : start + length].tobytes()
+
+    def hashes(self, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        h = mix(lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
+        at, left, todo = starts, lengths, None
+        for step in range(self._LONG):
+            now = self.loads[at] & self.masks[np.minimum(left, self.per)]
+            if todo is None:
+                h = mix(h ^ now)
+            else:
+                h[todo] = mix(h[todo] ^ now)
+            more = np.flatnonzero(left > self.per)
+            if not len(more):
+                return h
+            todo = more if todo is None else todo[more]
+            at, left = at[more] + self.per, left[more] - self.per
+        for k in todo.tolist():
+            h[k] = int.from_bytes(hashlib.blake2b(self._bytes(starts[k], lengths[k]), digest_size=8).digest(), "little")
+        return h
+
+    def equal(self, starts: np.ndarray, lengths: np.ndarray, other: Runs, others: np.ndarray, their_lengths: np.ndarray) -> np.ndarray:
+        """Whether each stretch of this one is the same as the one of the other."""
+        same = lengths == their_lengths
+        todo = np.flatnonzero(same)
+        a, b, left = starts[todo], others[todo], lengths[todo]
+        for _ in range(self._LONG):
+            mask = self.masks[np.minimum(left, self.per)]
+            ok = (self.loads[a] & mask) == (other.loads[b] & mask)
+            same[todo[~ok]] = False
+            more = np.flatnonzero(ok & (left > self.per))
+            if not len(more):
+                return same
+            todo, a, b, left = todo[more], a[more] + self.per, b[more] + self.per, left[more] - self.per
+        for k, x, y, n in zip(todo.tolist(), a.tolist(), b.tolist(), left.tolist(), strict=True):
+            same[k] = self._bytes(x, n) == other._bytes(y, n)
+        return same
+
+
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
+
+
+def windows(codes: np.ndarray, n: int, step: int = 1) -> np.ndarray:
+    """Hashes of every n codes that lie `step` apart: stretches of 1, 2, 4 and so on are joined to n."""
+    if len(codes) <= (n - 1) * step:
+        return codes[:0]
+    got, have, part, width, left = None, 0, codes, 1, n
+    while True:
+        if left & 1:
+            count = len(codes) - (have + width - 1) * step
+            got, have = part if got is None else _join(got[:count], part[have * step : have * step + count]), have + width
+        left >>= 1
+        if not left:
+            return got
+        part, width = _join(part[: -width * step], part[width * step :]), 2 * width
+
+
+_FOLDED = np.arange(256, dtype=np.uint8)
+_FOLDED[65:91] += 32
 
 
 class Words:
     """The words of a batch of texts: rows (the text of each), starts and ends (byte offsets), hashes, and bounds (rows'
     first words, with the end)."""
 
-    _codes = rng_table(11)
-
     def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, lower: bool = False, prefixes: tuple[int, ...] = ()) -> None:
-        """is_word: for each byte value, whether it is part of words. lower: A-Z count as a-z. prefixes: lengths in bytes for
+        """is_word: for each byte value, whether it is part of words. lower: A-Z count as a-z. prefixes: lengths up to 8 bytes for
         which self.prefixes has the hashes of the words' first bytes, 0 for words that are no longer."""
-        self.data, self.offsets = data, offsets
-        codes = self._codes.copy()
-        if lower:
-            codes[65:91] = codes[97:123]
-        starts, ends, hashes, heads, lo = [], [], [], [[] for _ in prefixes], 0
+        self.data, self.offsets = _FOLDED[data] if lower else data, offsets
+        inside = is_word[data]
         first = np.zeros(len(data) + 1, bool)
         first[offsets] = True
-        while lo < len(data):
-            hi = min(len(data), lo + 2 * BLOCK)
-            while hi < len(data) and is_word[data[hi - 1]] and is_word[data[hi]] and not first[hi]:  # never within a word
-                part = np.flatnonzero(~is_word[data[hi : hi + BLOCK]] | first[hi : min(len(data), hi + BLOCK)])
-                hi = hi + int(part[0]) if len(part) else min(len(data), hi + BLOCK)
-            inside = is_word[data[lo:hi]]
-            before = np.empty_like(inside)
-            before[0], before[1:] = False, inside[:-1]
-            before &= ~first[lo:hi]
-            after = np.empty_like(inside)
-            after[-1], after[:-1] = False, inside[1:]
-            after &= ~first[lo + 1 : hi + 1]
-            s, e = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-            of = hasher(codes[data[lo:hi]])
-            hashes.append(of(s, e))
-            for k, n in enumerate(prefixes):
-                heads[k].append(np.where(e - s > n, of(s, np.minimum(e, s + n)) ^ np.uint64(n), np.uint64(0)))
-            starts.append(s + lo)
-            ends.append(e + lo)
-            lo = hi
-        none = np.zeros(0, np.int64)
-        self.starts, self.ends = (np.concatenate(x) if x else none for x in (starts, ends))
-        self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        self.prefixes = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in heads]
+        before = np.zeros(len(data), bool)
+        before[1:] = inside[:-1]
+        before &= ~first[:-1]
+        after = np.zeros(len(data), bool)
+        after[:-1] = inside[1:]
+        after &= ~first[1:]
+        self.starts, self.ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+        self.runs, self.lengths = Runs(self.data), self.ends - self.starts
+        self.hashes = self.runs.hashes(self.starts, self.lengths)
+        self.prefixes = [np.where(self.lengths > n, self.runs.hashes(self.starts, np.minimum(self.lengths, n)) ^ np.uint64(n), np.uint64(0)) for n in prefixes]
         self.bounds = np.searchsorted(self.starts, offsets)
         self.rows = np.repeat(np.arange(len(offsets) - 1), np.diff(self.bounds))
 
@@ -204,6 +266,12 @@ class Words:
         """The bytes from word `at` to the word before `end`."""
         return self.data[self.starts[at] : self.ends[at if end is None else end - 1]].tobytes()
 
+    def equal(self, at: np.ndarray, n: int, other: Words, places: np.ndarray) -> np.ndarray:
+        """Whether the n words from each of `at` are those of the other from each of `places`, byte by byte."""
+        reach = np.arange(n)
+        a, b = (at[:, None] + reach).ravel(), (places[:, None] + reach).ravel()
+        return self.runs.equal(self.starts[a], self.lengths[a], other.runs, other.starts[b], other.lengths[b]).reshape(len(at), n).all(1)
+
 
 def byte_set(outside: bytes) -> np.ndarray:
     """is_word for words of all bytes but those given."""

@@ -7,43 +7,44 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Edges from which on the parts of a round are written before they are joined.
-MANY = 1_000_000
+#: A node with more than this share of all edges is a hub. Ends of edges are twice as many as edges, so there are at most
+#: twice 1 / HUB_SHARE hubs, whatever the number of edges.
+HUB_SHARE = 1 / 2000
 
 
-def components(edges: DataFrame, disjoint: bool = False, most_rounds: int = 60) -> DataFrame:
-    """node and label (the least node of its component) of every node of edges (a, b).
+def _with_least(rows: DataFrame, least: DataFrame, most: float) -> DataFrame:
+    """rows (u, v) with the m of their u in least (u, m, n). Hubs, of which there are few by arithmetic, are broadcast; so no key of the
+    join by shuffle has over `most` rows."""
+    hubs = least.where(F.col("n") > most).select("u", F.col("m").alias("hub_m"))
+    marked = rows.join(F.broadcast(hubs), "u", "left")
+    rest = marked.where("hub_m is null").select("u", "v").join(least.where(F.col("n") <= most).select("u", "m"), "u")
+    return marked.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")).union(rest)
 
-    disjoint: a and b are of two kinds whose values may be equal; the result then has side (0 for those of a, 1 for those
-    of b), and a label is a hash of the least node. Each round writes its edges to the shared folder; there are about as
-    many rounds as the logarithm of a component's width. A node of many edges is only ever aggregated with partial sums, and
-    with over MANY edges what comes of that is written first, so that the join with it is of two tables and can split such a
-    node's rows.
+
+def components(edges: DataFrame) -> DataFrame:
+    """node and label (the least node of its component) of every node of edges (a, b); loops and repeated edges do no harm, and no
+    edges give no rows.
+
+    Each round writes its edges and each node's least neighbour to the shared folder; there are about as many rounds as the
+    logarithm of a component's width, and it goes on until a round changes nothing. A node of many edges is only ever
+    aggregated with partial sums or met by a broadcast.
     """
-    if disjoint:
-        edges = edges.select(F.struct(F.lit(0).alias("side"), F.col("a").alias("x")).alias("a"), F.struct(F.lit(1).alias("side"), F.col("b").alias("x")).alias("b"))
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     nodes = now.select("u").union(now.select("v")).distinct()
-    state, n = None, now.count()
-    for _ in range(most_rounds if n else 0):
-        held = stored if n > MANY else lambda df, _: df  # a hub of few edges needs no splitting
+    state, last = _state(now), None
+    while state[0] and state != last:
+        most = max(1.0, HUB_SHARE * state[0])
         # Large star: every greater neighbour of a node is put below the node's least neighbour.
-        both = now.union(now.select(F.col("v"), F.col("u")))
-        least = held(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        both = now.union(now.select("v", "u").toDF("u", "v"))
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+        large = stored(_with_least(both.where("v > u"), least, most).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         # Small star: a node and its lesser neighbours are put below the least of them.
-        large = held(large, "large")
-        least = held(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        small = _with_least(large, least, most).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = stored(small.union(least.select("u", "m")).distinct(), "edges")
-        last, state = state, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        n = state[0]
-        if state == last:
-            break
-    else:
-        if state is not None:
-            raise RuntimeError(f"no components after {most_rounds} rounds")
-    found = nodes.join(now, "u", "left").select(F.col("u").alias("node"), F.coalesce("v", "u").alias("label"))
-    if disjoint:
-        found = found.select(F.col("node.x").alias("node"), F.col("node.side").alias("side"), F.xxhash64("label.side", "label.x").alias("label"))
-    return stored(found, "components")
+        state, last = _state(now), state
+    return stored(nodes.join(now, "u", "left").select(F.col("u").alias("node"), F.coalesce("v", "u").alias("label")), "components")
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -6,15 +6,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .common import SPACE_BYTES, Words, byte_set, mix, pick, rng_table, slices, stored, utf8, windows
+from .common import SPACE_BYTES, Words, byte_set, fresh, in_filter, key_filter, mix, pick, rng_table, slices, stored, utf8, windows
 
 IS_WORD = byte_set(SPACE_BYTES)
 #: A pair of similarity 0.8 misses all of 32 bands of 4 coordinates with probability 5e-8; one of 0.2 meets with 5e-2.
 BANDS, ROWS = 32, 4
+#: Bytes of whole sets in a block of a hot bucket, about.
+BLOCK_BYTES = 4 << 20
 _STEPS = rng_table(29, 512)
 
 
@@ -79,19 +81,19 @@ def bands(coordinates: np.ndarray, rows: int) -> np.ndarray:
 
 
 def content_keys(data: np.ndarray, offsets: np.ndarray) -> list[bytes | None]:
-    """The MD5 of each text's words; None without any."""
+    """A digest of 128 bits of each text's words, A-Z as a-z; None without any."""
     raw = data.tobytes()
     cut = [raw[a:b].lower().split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-    return [hashlib.md5(b" ".join(w)).digest() if w else None for w in cut]
+    return [hashlib.blake2b(b" ".join(w), digest_size=16).digest() if w else None for w in cut]
 
 
-def _class_ids(keys: list[bytes | None]) -> pa.Array:
-    return pa.array([None if k is None else int.from_bytes(k[:8], "little", signed=True) for k in keys], pa.int64())
+def _row_key() -> Column:
+    return F.xxhash64("doc_id", "text").alias("at")
 
 
 def sketched(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, at (a hash of the whole text, which with doc_id finds the row again), cid (the first 64 bits of the MD5 of the
-    words: texts of equal words are one class; null without words), n_shingles and bands of each row."""
+    """doc_id, at (a hash of the row), content (the digest of the words: texts of equal words are one class; null without words),
+    n_shingles and bands of each row."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def make(batches):
@@ -100,27 +102,25 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
                 data, offsets = utf8(part.column(2))
                 sets = shingle_sets(data, offsets, width)
                 keys = bands(sketch(sets, BANDS * ROWS), ROWS).view(np.int64)
-                cids = _class_ids(content_keys(data, offsets))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), cids, pa.array([len(s) for s in sets], pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int64()))], names=["doc_id", "at", "cid", "n_shingles", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(content_keys(data, offsets), pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int64()))], names=["doc_id", "at", "content", "n_shingles", "bands"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("at"), "text").mapInArrow(make, f"doc_id {id_type}, at long, cid long, n_shingles long, bands array<long>")
+    return docs.select("doc_id", _row_key(), "text").mapInArrow(make, f"doc_id {id_type}, at long, content binary, n_shingles long, bands array<long>")
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, width: int, most_sent: int) -> DataFrame:
-    """cid and shingles (sorted 64-bit hashes) of the wanted classes, from the texts of their first documents. wanted: cid,
-    doc_id and at. Up to most_sent of them are broadcast, so that only their texts move; more are joined by a shuffle."""
-    few = wanted.count() <= most_sent
-    wanted = wanted.select(F.col("doc_id").alias("want_id"), F.col("at").alias("want_at"))
-    found = docs.select("doc_id", F.xxhash64("text").alias("at"), "text").join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.col("at") == F.col("want_at"))).select("text")
+def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """cid and shingles (sorted 64-bit hashes) of the wanted classes (cid, content, at), from the rows they name. Texts do not move: a
+    task makes the sets of the rows in a bitmap of `at`, and only sets are joined."""
+    held = key_filter(wanted, "at").held
 
     def make(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
-                data, offsets = utf8(part.column(0))
+            for some in slices(batch.filter(pa.array(in_filter(held.value, batch.column(0).to_numpy()))), "text"):
+                data, offsets = utf8(some.column(1))
                 sets = shingle_sets(data, offsets, width)
-                yield pa.RecordBatch.from_arrays([_class_ids(content_keys(data, offsets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "shingles"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(content_keys(data, offsets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["at", "content", "shingles"])
 
-    return found.mapInArrow(make, "cid long, shingles binary")
+    found = docs.select(_row_key(), "text").mapInArrow(make, "at long, content binary, shingles binary")
+    return found.join(wanted, ["at", "content"]).select("cid", "shingles")
 
 
 def similar(inter, size_a, size_b, percent: int):
@@ -163,9 +163,9 @@ def _forest(links: np.ndarray, n: int) -> list[tuple[int, int]]:
     return kept
 
 
-def _inside(sets: list[np.ndarray], first: int, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links of sets[:first] with the rest, or of all if first is their number. The sizes of all
-    intersections at once, by products of 0/1 matrices over the shingles that two or more sets have."""
+def _links(sets: list[np.ndarray], labels: np.ndarray, first: int, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links of sets[:first] with the rest, or of all if first is their number; those of one label are linked
+    already. The sizes of all intersections at once, by products of 0/1 matrices over the shingles that two or more sets have."""
     n = len(sets)
     sizes = np.fromiter(map(len, sets), np.int64, n)
     values, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -174,96 +174,129 @@ def _inside(sets: list[np.ndarray], first: int, percent: int) -> list[tuple[int,
     place[shared] = np.arange(len(shared))
     row, column = np.repeat(np.arange(n), sizes), place[column]
     row, column = row[column >= 0], column[column >= 0]
-    inter = np.zeros((first, n - first if first < n else n), np.float32)
+    start = first if first < n else 0
+    inter = np.zeros((first, n - start), np.float32)
     for lo in range(0, len(shared), 4096):
         part = (column >= lo) & (column < lo + 4096)
         m = np.zeros((n, min(4096, len(shared) - lo)), np.float32)
         m[row[part], column[part] - lo] = 1
-        inter += m[:first] @ (m[first:] if first < n else m).T
-    start = first if first < n else 0
-    i, j = np.nonzero(similar(np.rint(inter).astype(np.int64), sizes[:first, None], sizes[None, start:], percent))
+        inter += m[:first] @ m[start:].T
+    linked = similar(np.rint(inter).astype(np.int64), sizes[:first, None], sizes[None, start:], percent) & (labels[:first, None] != labels[None, start:])
+    i, j = np.nonzero(linked)
     j = j + start
     return _forest(np.column_stack([i, j])[i < j], n)
 
 
-def _check_groups(groups: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links of large groups of classes (group, cid) by their whole sets: each group is cut into blocks of about `block`
-    classes, every two blocks meet in one task, and of the links found there a spanning forest is kept. So no pair is left
-    out, none is written that isn't needed, and a task holds two blocks."""
-    size = groups.groupBy("group").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("blocks"))
-    placed = groups.join(size, "group").withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    sent = placed.select("group", "cid", "mine", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select("group", "cid", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-
-    def check(key, table):
-        ids, mine = table.column("cid").to_numpy(), table.column("mine").to_numpy()
-        order = np.argsort(mine != key[1].as_py(), kind="stable")  # those of block i first
-        raw = table.column("shingles").to_pylist()
-        sets = [np.frombuffer(raw[k], np.uint64) for k in order.tolist()]
-        first = int((mine == key[1].as_py()).sum())
-        ids = ids[order]
-        kept = _inside(sets, first, percent) if first and len(sets) > 1 else []
+def _check_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links by whole sets within jobs: rows (job, side, cid, label), each job in one task, where side 0 meets side 1, or itself if
+    there is no side 1. Of the links a spanning forest is kept: none that connects anything is left out."""
+
+    def check(table):
+        side = table.column("side").to_numpy()
+        order = np.argsort(side, kind="stable")
+        ids, labels, raw = table.column("cid").to_numpy()[order], table.column("label").to_numpy()[order], table.column("shingles").to_pylist()
+        held = [np.frombuffer(raw[k], np.uint64) for k in order.tolist()]
+        first = int((side == 0).sum())
+        kept = _links(held, labels, first, percent) if first and len(held) > 1 else []
         return pa.table({"a": pa.array([int(ids[i]) for i, _ in kept], pa.int64()), "b": pa.array([int(ids[j]) for _, j in kept], pa.int64())})
 
-    return sent.join(sets, "cid").groupBy("group", "i", "j").applyInArrow(check, "a long, b long")
+    return rows.join(sets, "cid").groupBy("job").applyInArrow(check, "a long, b long")
+
+
+def _blocks(count, total, block: int):
+    """Into how many blocks `count` sets of `total` hashes go: `block` sets or BLOCK_BYTES each, about."""
+    return F.greatest(F.lit(1), F.ceil(count / block), F.ceil(8 * total / BLOCK_BYTES)).cast("int")
+
 
+def _star_jobs(large: DataFrame, block: int) -> DataFrame:
+    """Each hot bucket's members against one of them: as many sets are compared and sent as there are members. Buckets share
+    their pivots where they can, and each two classes meet once."""
+    pivots = large.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("cid").alias("h"), "cid")).alias("p"), F.first("members").alias("members"), F.first("total").alias("total")).select("bucket", F.col("p.cid").alias("pivot"), _blocks(F.col("members"), F.col("total"), block).alias("salts"))
+    pivots = pivots.select("bucket", "pivot", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"))
+    salted = large.withColumn("salt", F.pmod(F.xxhash64("cid"), _blocks(F.col("members"), F.col("total"), block)).cast("int"))
+    met = stored(salted.join(pivots, ["bucket", "salt"]).where("cid <> pivot").select("pivot", "cid", F.col("n").cast("long").alias("n")).distinct(), "stars")
+    size = met.groupBy("pivot").agg(_blocks(F.count("*"), F.sum("n"), block).alias("blocks"))
+    size = stored(size, "pivots")
+    parts = met.join(size, "pivot").select(F.struct("pivot", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("part")).alias("job"), F.lit(1).alias("side"), "cid")
+    heads = size.select("pivot", F.explode(F.expr("sequence(0, blocks - 1)")).alias("part")).select(F.struct("pivot", "part").alias("job"), F.lit(0).alias("side"), F.col("pivot").alias("cid"))
+    return parts.union(heads).withColumn("label", F.col("cid"))
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hot: int = 40, block: int = 512, most_sent: int = 1_000_000) -> DataFrame:
+
+def _open_jobs(large: DataFrame, labels: DataFrame, block: int) -> DataFrame:
+    """Hot buckets whose members are not all linked yet: those of the most common label in blocks of their own, the others in blocks
+    that meet each other and them. Two classes of one label are never compared."""
+    tagged = stored(large.select("bucket", "cid", "n").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid")), "tagged")
+    per = tagged.groupBy("bucket", "label").agg(F.count("*").alias("k"), F.sum("n").alias("size"))
+    per = per.groupBy("bucket").agg(F.max(F.struct("k", "label", "size")).alias("main"), F.sum("k").alias("k"), F.sum("size").alias("size"), F.count("*").alias("labels")).where("labels > 1")
+    shape = stored(per.select("bucket", F.col("main.label").alias("main"), _blocks(F.col("k") - F.col("main.k"), F.col("size") - F.col("main.size"), block).alias("others"), _blocks(F.col("main.k"), F.col("main.size"), block).alias("mains")), "open")
+    placed = tagged.join(shape, "bucket").withColumn("x", F.when(F.col("label") == F.col("main"), F.col("others") + F.pmod(F.xxhash64("cid"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("cid"), F.col("others"))).cast("int"))
+    sent = placed.select("bucket", "cid", "label", "x", F.explode(F.expr("sequence(0, if(x < others, others + mains, others) - 1)")).alias("y"))
+    return sent.select(F.struct("bucket", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")).alias("job"), (F.col("x") > F.col("y")).cast("int").alias("side"), "cid", "label")
+
+
+def _labelled(docs: DataFrame, width: int, percent: int, hot: int, block: int) -> DataFrame:
+    """doc_id, at, n_shingles and component_id of each row of docs (doc_id, text)."""
+    made = stored(sketched(docs, width), "sketches")
+    classes = made.where("content is not null").groupBy("content").agg(F.min("doc_id").alias("min_id"), F.min(F.struct("doc_id", "at")).alias("rep"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")  # numbers that stay: they are written
+    banded = classes.select("cid", F.col("n").cast("int").alias("n"), F.explode("bands").alias("bucket"))
+    counts = banded.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n").alias("total")).where("members > 1")
+    members = stored(banded.join(counts, "bucket"), "buckets")
+    large = members.where(F.col("members") > hot)
+
+    small = members.where(F.col("members") <= hot).select("bucket", "cid", "n")
+    other = small.select("bucket", F.col("cid").alias("b"), F.col("n").alias("m"))
+    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    pairs = stored(small.join(other, "bucket").where((F.col("cid") < F.col("b")) & fits).select(F.col("cid").alias("a"), "b").distinct(), "pairs")
+
+    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(large.select("cid")).distinct()
+    wanted = stored(wanted.join(classes.select("cid", "content", "rep.at"), "cid"), "wanted")
+    sets = stored(whole_sets(docs, wanted, width), "sets")
+    near = components(_check_pairs(pairs, sets, percent).union(_check_blocks(_star_jobs(large, block), sets, percent)))
+    labels = near.select(F.col("node").alias("cid"), "label")
+    # What is left of hot buckets links whole components.
+    more = stored(_check_blocks(_open_jobs(large, labels, block), sets, percent), "links")
+    end = lambda c: more.join(labels.toDF(c, "to"), c, "left").select("a", "b", F.coalesce("to", c).alias("to"))
+    joined = end("a").toDF("a", "b", "x").join(end("b").toDF("a", "b", "y"), ["a", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    outer = components(joined).toDF("label", "outer")
+
+    known = classes.select("cid", "content", "min_id").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    linked = stored(known.join(outer, "label", "left").select("content", "min_id", F.coalesce("outer", "label").alias("label")), "linked")
+    least = linked.groupBy("label").agg(F.min("min_id").alias("component_id"))
+    found = linked.join(least, "label").select("content", "component_id")
+    return made.select("doc_id", "at", "content", "n_shingles").join(found, "content", "left").select("doc_id", "at", "n_shingles", F.when(F.col("content").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hot: int = 40, block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row: components of documents linked by a Jaccard similarity of
     percent / 100 or more of their sets of distinct `width`-word shingles (A-Z as a-z, words between ASCII white space).
 
     Equal word sequences are one class, so that copies, however many, go on as one. Classes share buckets by bands of their
-    sketches. Buckets of up to `hot` classes give pairs, once each and only if the sizes allow the similarity; larger ones
-    are joined into groups, in which blocks of classes are compared in their tasks. All links are verified on whole sets.
-    A pair at the threshold itself is missed with a probability of 5e-8; nothing else is.
+    sketches. Buckets of up to `hot` classes give pairs, once each and only if the sizes allow the similarity. In larger ones all
+    members meet one of them first; only where that does not link them all, blocks of those outside the largest component
+    meet the others. All links are verified on whole sets, of 64-bit hashes of shingles. A pair at the threshold itself is
+    missed with a probability of 5e-8; nothing else is.
 
     A text with fewer words than `width` has one shingle of all of them; one without words, or null, has none and is linked
     with nothing. component_id: the least doc_id of the component, nulls aside (null if it has only such); kept: doc_id is
     component_id, also where both are null. Repeated rows each give a row.
     """
-    docs = pick(docs, doc_id=id_col, text=text_col)
-    made = stored(sketched(docs, width), "sketches")
-    classes = stored(made.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("min_id"), F.min(F.struct("doc_id", "at")).alias("rep"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
-    banded = classes.select("cid", F.col("n").cast("int").alias("n"), F.explode("bands").alias("bucket"))
-    counts = banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    members = stored(banded.join(counts, "bucket"), "buckets")
+    found = _labelled(pick(docs, doc_id=id_col, text=text_col), width, percent, hot, block)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
-    large = members.where(F.col("members") > hot)
-    grouped = components(large.select(F.col("bucket").alias("a"), F.col("cid").alias("b")), disjoint=True)
-    groups = grouped.where("side = 1").select(F.col("label").alias("group"), F.col("node").alias("cid"))
 
-    small = members.where(F.col("members") <= hot).select("bucket", "cid", "n")
-    other = small.select("bucket", F.col("cid").alias("b"), F.col("n").alias("m"))
-    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    pairs = small.join(other, "bucket").where((F.col("cid") < F.col("b")) & fits).select(F.col("cid").alias("a"), "b").distinct()
-    pairs = stored(pairs, "pairs")
-
-    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(groups.select("cid")).distinct()
-    wanted = stored(wanted.join(classes.select("cid", "rep"), "cid").select("cid", "rep.doc_id", "rep.at"), "wanted")
-    sets = stored(whole_sets(docs, wanted, width, most_sent), "sets")
-    links = _check_pairs(pairs, sets, percent).union(_check_groups(groups, sets, percent, block))
-    labels = components(links).select(F.col("node").alias("cid"), "label")
-
-    linked = stored(classes.select("cid", "min_id").join(labels, "cid"), "linked")
-    least = linked.groupBy("label").agg(F.min("min_id").alias("least"))
-    of_class = linked.join(least, "label").select("cid", "least")
-    found = classes.select("cid", "min_id").join(of_class, "cid", "left").select("cid", F.coalesce("least", "min_id").alias("component_id"))
-    return (
-        made.select("doc_id", "cid", "n_shingles").join(found, "cid", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    )
-
-
-def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", most_sent: int = 1_000_000) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hot: int = 40, block: int = 512) -> DataFrame:
     """The rows of docs, with all their columns, without those that near_duplicates() doesn't keep: the document of the least
     id of each component stays. Of rows with the same id and text one stays."""
-    found = stored(near_duplicates(docs, width, percent, id_col, text_col, most_sent=most_sent).select(F.col("doc_id").alias("_id"), "kept"), "verdicts")
-    gone = found.where(~F.col("kept")).select("_id").distinct()
-    few = gone.count() <= most_sent
-    left = docs.join(F.broadcast(gone) if few else gone, docs[id_col].eqNullSafe(F.col("_id")), "left_anti")
-    again = stored(found.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").select("_id"), "again")
-    if not (n := again.count()):
-        return left
-    again = F.broadcast(again) if n <= most_sent else again
-    same = left[id_col].eqNullSafe(F.col("_id"))
-    return left.join(again, same, "left_anti").union(left.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))
+    found = _labelled(pick(docs, doc_id=id_col, text=text_col), width, percent, hot, block)
+    key, name = fresh(docs, "row_key"), fresh(docs, "row_id")
+    rows = found.groupBy("doc_id", "at").agg(F.count("*").alias("n"), F.bool_and(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
+    marked = stored(rows.where("n > 1 or not kept").select(F.col("doc_id").alias(name), F.col("at").alias(key), "kept"), "verdicts")
+    gone, again = (stored(marked.where(c).drop("kept"), "verdicts") for c in ("not kept", "kept"))
+    known = key_filter(marked, key)  # rows outside it, most of them, stay where they are
+    keyed = docs.withColumn(key, F.xxhash64(docs[id_col], docs[text_col]))
+    met = keyed.where(known(F.col(key)))
+    same = lambda other: [met[key] == other[key], met[id_col].eqNullSafe(other[name])]
+    repeated = met.join(again, same(again), "left_semi").dropDuplicates([id_col, text_col])
+    left = met.join(gone, same(gone), "left_anti").join(again, same(again), "left_anti")
+    return keyed.where(~known(F.col(key))).union(left).union(repeated).select(docs.columns)

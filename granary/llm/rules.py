@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import SPACE_BYTES, Words, byte_set, covered, pick, slices, utf8, windows
+from .common import SPACE_BYTES, Words, byte_set, covered, mix, pick, slices, utf8, windows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -41,15 +41,26 @@ def failed_rule(line: str, n_words: int) -> str | None:
 
 
 def repeated_words(words: Words, n: int) -> np.ndarray:
-    """Which words lie in a window of n that its text holds twice or more."""
+    """Which words lie in a window of n that its text holds twice or more. Windows are found by hashes and compared word by word."""
     h = windows(words.hashes, n)
     at = np.flatnonzero(words.rows[: len(h)] == words.rows[n - 1 :]) if len(h) else np.zeros(0, np.int64)
-    key = h[at] + words.rows[at].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    key = h[at] ^ mix(words.rows[at].astype(np.uint64) + np.uint64(1))
     order = np.argsort(key, kind="stable")
     same = key[order][1:] == key[order][:-1]
-    twice = np.zeros(len(at), bool)
-    twice[order[1:][same]] = twice[order[:-1][same]] = True
-    return covered(len(words.hashes), at[twice], n)
+    a, b = at[order[:-1][same]], at[order[1:][same]]
+    real = words.equal(a, n, words, b) & (words.rows[a] == words.rows[b])
+    hit = covered(len(words.hashes), np.concatenate([a[real], b[real]]), n)
+    for row in np.unique(words.rows[np.concatenate([a[~real], b[~real]])]).tolist():  # unlike windows of one hash: that text by its words
+        hit[words.bounds[row] : words.bounds[row + 1]] = _repeated_exactly(words, row, n)
+    return hit
+
+
+def _repeated_exactly(words: Words, row: int, n: int) -> np.ndarray:
+    own = [words.text(k) for k in range(words.bounds[row], words.bounds[row + 1])]
+    places: dict[tuple, list[int]] = {}
+    for k in range(len(own) - n + 1):
+        places.setdefault(tuple(own[k : k + n]), []).append(k)
+    return covered(len(own), np.array([k for p in places.values() if len(p) > 1 for k in p], np.int64), n)
 
 
 def clean_lines(text: str) -> tuple[str, dict]:

@@ -1,29 +1,33 @@
-"""Repeated byte strings: a family of suffix arrays with geometric levels, over suffixes dealt out by minimisers.
+"""Repeated byte strings: a logarithmic family of sampled suffixes, whose suffixes are sorted and compared where they can match.
 
 A string of `length` bytes that occurs twice has the same least k-mer in both places. So every start of such a string is
 put under the k-mer (the anchor) that is least among those inside it, by a hash; neighbouring starts with the same anchor
-are one segment. Equal strings are in segments of equal anchors, and most anchors occur once: those are dropped after one
-aggregation of 8-byte keys. What is left is dealt out by anchor, and each task keeps a family of suffix arrays of it.
+are one segment. Equal strings are in segments of equal anchors. A level of the family is a table of segments in the shared
+folder. A new batch is scanned against every level for anchors that both have, and what meets under an anchor goes to a task
+that keeps suffix arrays of it, in levels of growing size as well.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hasher, mix, pick, rng_table, slices, stored, utf8
+from .common import Runs, covered, fresh, key_filter, mix, pick, slices, stored, utf8, windows
 
 KMER = 80
-#: Contents under one anchor beyond which its segments are cut in two, with longer anchors.
-MOST_CONTENTS = 4096
-_CODES = rng_table(41)
+#: Unlike contents under one anchor beyond which they are cut in two, with longer anchors.
+MOST_CONTENTS = 1024
+#: Parts that texts are added in.
+BATCHES = 2
 _POSITION = 22
 _MASK = np.uint64((1 << _POSITION) - 1)
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_KEYS = ["text_hash", "text_sum"]
 
 
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -37,179 +41,277 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(rest[: n - width + 1], head[width - 1 : n])
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, length: int, split: np.ndarray | None = None, kmer: int = KMER):
-    """(row, start, count, anchor, content) of the segments: `count` neighbouring starts of strings with one anchor, its hash,
-    and a hash of the bytes of all of them. split: sorted anchors whose segments are cut in two (and again, while the
-    anchors of the halves are among them); then only what comes of these is given.
-
-    A string belongs to a half by how far before its k-mer it starts, wherever its segment begins. The anchor of a half is
-    made of the bytes that all strings of that distance have in common. A half of one distance has a whole string as its
-    anchor, so that equal anchors mean equal contents there and cutting ends.
-    """
+def segments(data: np.ndarray, offsets: np.ndarray, length: int, kmer: int = KMER):
+    """(row, start, count, anchor, place) of the segments: `count` neighbouring starts of strings with one anchor, its hash, and how far
+    behind the first start its k-mer lies. kmer: a multiple of 8."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
-    of = hasher(_CODES[data])
-    at = np.arange(len(data) - kmer + 1)
-    anchors = of(at, at + kmer)
+        return none, none, none, none.view(np.uint64), none
+    anchors = windows(mix(Runs(data).loads[: len(data) - 7]), kmer // 8, 8)
     # Places are kept in the low bits: among equal k-mers the first one is taken, in either copy.
-    keys = (anchors & ~_MASK) | at.astype(np.uint64)
+    keys = (anchors & ~_MASK) | np.arange(len(anchors), dtype=np.uint64)
     starts = np.arange(len(data) - length + 1)
     least = (_least(keys, length - kmer + 1) & _MASK).astype(np.int64)
     row = np.searchsorted(offsets, starts, "right") - 1
     inside = starts + length <= offsets[row + 1]
     starts, least, row = starts[inside], least[inside], row[inside]
     if not len(starts):
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64), none
     new = np.append(True, (least[1:] != least[:-1]) | (row[1:] != row[:-1]) | (starts[1:] != starts[:-1] + 1))
     first = np.flatnonzero(new)
-    start, row, anchor = starts[first], row[first], anchors[least[first]]
-    count = np.diff(np.append(first, len(starts)))
-    place = least[first]
-    if split is not None:
-        low, high = np.zeros(len(start), np.int64), np.full(len(start), length - kmer + 1)
-        found = []
-        while len(start):
-            cut = split[np.minimum(np.searchsorted(split, anchor), len(split) - 1)] == anchor if len(split) else np.zeros(len(start), bool)
-            if high[0] - low[0] <= length - kmer:  # not those that were never cut
-                found.append((row[~cut], start[~cut], count[~cut], anchor[~cut]))
-            row, start, count, anchor, place, low, high = (x[cut] for x in (row, start, count, anchor, place, low, high))
-            middle = (low + high) // 2
-            left = np.clip(place - middle - start + 1, 0, count)  # starts at least `middle` before the k-mer
-            row, place, start = np.append(row, row), np.append(place, place), np.append(start, start + left)
-            low, high, count = np.append(middle, low), np.append(high, middle), np.append(left, count - left)
-            some = count > 0
-            row, place, start, low, high, count = (x[some] for x in (row, place, start, low, high, count))
-            tag = mix((low << 16 | high).astype(np.uint64))
-            anchor = mix(tag + of(place - low, place - high + 1 + length))
-        row, start, count, anchor = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none, none, none.view(np.uint64))
-    content = mix(of(start, start + count - 1 + length) ^ np.uint64(0xB5AD4ECEDA1CE2A9))
-    return row, start - offsets[row], count, anchor, content
-
-
-def all_segments(data: np.ndarray, offsets: np.ndarray, length: int, split: np.ndarray | None = None, most: int = 1 << (_POSITION - 1)):
+    start, row = starts[first], row[first]
+    return row, start - offsets[row], np.diff(np.append(first, len(starts))), anchors[least[first]], least[first] - start
+
+
+def all_segments(data: np.ndarray, offsets: np.ndarray, length: int, most: int = 1 << (_POSITION - 1)):
     """segments(), text by text and in overlapping parts where there are more bytes than places in the keys' low bits; a
     segment may then be two, with the same anchor."""
     if len(data) <= most:
-        return segments(data, offsets, length, split)
+        return segments(data, offsets, length)
     found = []
     for row, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
         for at in range(lo, max(lo + 1, hi - length + 1), most):
             part = data[at : min(hi, at + most + length - 1)]
-            got = segments(part, np.array([0, len(part)]), length, split)
+            got = segments(part, np.array([0, len(part)]), length)
             found.append((got[0] + row, got[1] + at - lo, *got[2:]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 class SuffixFamily:
-    """Suffix arrays of growing size. Each holds the starts of strings in the order of their first eight bytes and then of a
-    hash of all `length`, so that equal strings are neighbours. A new batch gets an array, is scanned in merged order
-    against every level, and is then merged with the levels that are no larger than it: there are as many levels as the
-    logarithm of what was added. Equal neighbours are compared byte by byte.
+    """Suffix arrays of growing size: the starts of strings of `length` bytes in the order of their bytes. A new batch gets an array, is
+    scanned in order against every level, and is merged with the levels that are no larger than it: there are as many
+    levels as the logarithm of what was added.
 
     low and high: for each text added, the first and the last of its starts whose string occurs elsewhere too; high is -1 if there is none.
     """
 
     def __init__(self, length: int) -> None:
         self.length, self.levels = length, []
-        self.data = np.zeros(0, np.uint8)
-        self.first = np.zeros(0, np.int64)  # of each text, in data
         self.low, self.high = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def add(self, texts: list[bytes]) -> None:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        begin, base = len(self.data), len(self.first)
-        fresh = np.frombuffer(b"".join(texts), np.uint8)
-        self.data = np.concatenate([self.data, fresh])
-        firsts = np.cumsum(sizes) - sizes
-        self.first = np.concatenate([self.first, firsts + begin])
+        base = len(self.low)
+        data = np.frombuffer(b"".join(texts), np.uint8)
         self.low, self.high = np.append(self.low, np.full(len(texts), np.iinfo(np.int64).max)), np.append(self.high, np.full(len(texts), -1))
         n = np.maximum(sizes - self.length + 1, 0)
+        if not n.sum():
+            return
         of = np.repeat(np.arange(len(texts)), n)
         offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        at = firsts[of] + offset
-        head = np.zeros(len(at), np.uint64)
-        for k in range(8):
-            head = (head << np.uint64(8)) | fresh[at + k].astype(np.uint64)
-        level = self._sorted((head, hasher(_CODES[fresh])(at, at + self.length), of + base, offset))
-        self._scan(level)
+        strings = np.lib.stride_tricks.sliding_window_view(data, self.length)[(np.cumsum(sizes) - sizes)[of] + offset]
+        strings = strings.view(f"S{self.length}").ravel()  # all of one length: equal only if all their bytes are
+        order = np.argsort(strings, kind="stable")
+        level = (strings[order], of[order] + base, offset[order])
+        same = level[0][1:] == level[0][:-1]
+        self._found(level, np.append(same, False) | np.append(False, same))
         for old in self.levels:
-            self._scan(self._sorted(tuple(np.concatenate(x) for x in zip(old, level, strict=True))))
+            first, last = (np.searchsorted(old[0], level[0], side) for side in ("left", "right"))
+            met = last > first
+            self._found(level, met)
+            self._found(old, covered(len(old[0]), first[met], (last - first)[met]))
         while self.levels and len(self.levels[-1][0]) <= len(level[0]):
-            level = self._sorted(tuple(np.concatenate(x) for x in zip(self.levels.pop(), level, strict=True)))
+            old = self.levels.pop()
+            at = np.searchsorted(old[0], level[0], "right") + np.arange(len(level[0]))
+            ours = np.zeros(len(old[0]) + len(level[0]), bool)
+            ours[at] = True
+            merged = []
+            for x, y in zip(old, level, strict=True):
+                both = np.empty(len(ours), x.dtype)
+                both[ours], both[~ours] = y, x
+                merged.append(both)
+            level = tuple(merged)
         self.levels.append(level)
 
-    @staticmethod
-    def _sorted(level):
-        order = np.lexsort((level[1], level[0]))
-        return tuple(x[order] for x in level)
-
-    def _scan(self, level) -> None:
-        head, print_, of, offset = level
-        same = np.flatnonzero((head[1:] == head[:-1]) & (print_[1:] == print_[:-1]))
-        place = self.first[of] + offset
-        reach = np.arange(self.length)
-        for lo in range(0, len(same), 20_000):
-            some = same[lo : lo + 20_000]
-            equal = (self.data[place[some][:, None] + reach] == self.data[place[some + 1][:, None] + reach]).all(1)
-            for i in (some[equal], some[equal] + 1):
-                np.maximum.at(self.high, of[i], offset[i])
-                np.minimum.at(self.low, of[i], offset[i])
+    def _found(self, level, which: np.ndarray) -> None:
+        _, of, offset = level
+        np.maximum.at(self.high, of[which], offset[which])
+        np.minimum.at(self.low, of[which], offset[which])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """text with text_hash and text_sum, which stand for it: equal texts share their segments."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(F.xxhash64(text).alias("text_hash"), F.crc32(text.cast("binary")).alias("text_sum"), text.alias("text"))
+    return docs.select(F.xxhash64("text").alias("text_hash"), F.crc32(F.col("text").cast("binary")).alias("text_sum"), "text")
+
 
+def _digest(content: bytes) -> bytes:
+    return hashlib.blake2b(content, digest_size=16).digest()
+
+
+def _segment_rows(docs: DataFrame, length: int) -> DataFrame:
+    """The segments of docs: anchor, content (a digest of 128 bits of their bytes, which stands for them), the text's keys, start, count
+    and place (see segments())."""
 
-def _segment_rows(docs: DataFrame, length: int, split) -> DataFrame:
     def make(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                row, start, count, anchor, content = all_segments(*utf8(part.column(2)), length, split)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(start), pa.array(count.astype(np.int32))], names=["anchor", "content", "text_hash", "text_sum", "start", "count"])
+                data, offsets = utf8(part.column(2))
+                row, start, count, anchor, place = all_segments(data, offsets, length)
+                raw, begin = data.tobytes(), offsets[row] + start
+                content = [_digest(raw[a:b]) for a, b in zip(begin.tolist(), (begin + count - 1 + length).tolist(), strict=True)]
+                of = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(content, pa.binary()), part.column(0).take(of), part.column(1).take(of), *(pa.array(x.astype(np.int32)) for x in (start, count, place))], names=["anchor", "content", *_KEYS, "start", "count", "place"])
+
+    return _keyed(docs).mapInArrow(make, "anchor long, content binary, text_hash long, text_sum long, start int, count int, place int")
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, frames)
+
+
+class SuffixIndex:
+    """A family of levels, each a table of the segments of the batches in it. add() scans a batch against itself and all levels; before
+    that, a level that is no larger than the one after it is merged with it, so that there are as many levels as the
+    logarithm of the number of batches."""
+
+    def __init__(self, length: int = 200, most_contents: int = MOST_CONTENTS) -> None:
+        self.length, self.most_contents = length, most_contents
+        self.levels: list[tuple[DataFrame, int, DataFrame]] = []  # segments, how many, and the texts they are of
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """text_hash, text_sum, start and end of strings of docs (text) and of earlier batches that occur elsewhere too, so far as docs
+        shows it: overlapping and repeated spans, which together hold every byte of such strings."""
+        while len(self.levels) > 1 and self.levels[-2][1] <= self.levels[-1][1]:
+            (a, m, x), (b, n, y) = self.levels[-2:]
+            merged = a.union(b).repartition("anchor").sortWithinPartitions("anchor", "content")
+            self.levels[-2:] = [(stored(merged, "level"), m + n, x.union(y))]
+        docs = docs.where(F.octet_length("text") >= self.length)
+        fresh_rows = stored(_segment_rows(docs, self.length), "level")
+        older = [level for level, _, _ in self.levels]
+        self.levels.append((fresh_rows, fresh_rows.count(), docs))
+        seen = _all([fresh_rows.select("anchor", F.lit(1).alias("new")), *(x.select("anchor", F.lit(0).alias("new")) for x in older)])
+        # Written first, so that the join below is of two tables and a hot anchor's rows can be split.
+        shared = stored(seen.groupBy("anchor").agg(F.count("*").alias("n"), F.max("new").alias("new")).where("n > 1 and new = 1").select("anchor"), "shared")
+        members = stored(_all([fresh_rows, *older]).join(shared, "anchor"), "members")
+        contents = stored(members.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct(*_KEYS, "start", "count", "place")).alias("rep")), "contents")
+        anchors = contents.groupBy("anchor").agg(F.count("*").alias("contents"), F.min("n").alias("least"))
+        # Contents that occur once, under anchors with others: is a part of their strings in one of these?
+        doubt = stored(anchors.where("contents > 1 and least = 1").select("anchor"), "doubt")
+        known = contents.where("n > 1").select("anchor", "content", F.lit(0).alias("low"), (F.col("rep.count") - 1).alias("high"))
+        known = known.union(self._resolved(stored(contents.join(doubt, "anchor"), "doubts")))
+        got = members.join(known, ["anchor", "content"])
+        return stored(got.select(*_KEYS, (F.col("start") + F.col("low")).alias("start"), (F.col("start") + F.col("high") + self.length).alias("end")).distinct(), "spans")
+
+    def _pieces(self, doubts: DataFrame) -> DataFrame:
+        """The bytes of the contents: anchor, sub (their digest), n, owner (anchor and content), base (0), place and bytes. One copy of each
+        text that is needed moves."""
+        wanted = doubts.select(*[F.col(f"rep.{c}").alias(c) for c in _KEYS], F.struct("anchor", "content", "n", "rep.start", "rep.count", "rep.place").alias("w"))
+        wanted = stored(wanted.groupBy(_KEYS).agg(F.collect_list("w").alias("wanted")), "wanted")  # of one text each
+        known = key_filter(wanted, "text_hash")
+        texts = _keyed(_all([x for _, _, x in self.levels])).where(known(F.col("text_hash"))).groupBy(_KEYS).agg(F.first("text").alias("text"))
+        length = self.length
+
+        def cut(batches):
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    out = [[] for _ in range(7)]
+                    for text, wanted in zip(part.column(0), part.column(1).to_pylist(), strict=True):
+                        raw = text.as_buffer().to_pybytes()
+                        for w in wanted:
+                            piece = raw[w["start"] : w["start"] + w["count"] - 1 + length]
+                            for x, v in zip(out, (w["anchor"], w["content"], w["n"], {"anchor": w["anchor"], "content": w["content"]}, 0, w["place"], piece), strict=True):
+                                x.append(v)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, _PIECE.values(), strict=True)], names=list(_PIECE))
+
+        return texts.join(wanted, _KEYS).select("text", "wanted").mapInArrow(cut, _PIECE_TYPE)
+
+    def _resolved(self, doubts: DataFrame) -> DataFrame:
+        """anchor, content, low and high of the contents of which some strings occur elsewhere, by their bytes."""
+        pieces, found = stored(self._pieces(doubts), "pieces"), []
+        low, high = 0, self.length - KMER + 1
+        cuts = [(low, high)]
+        while True:
+            hot = stored(pieces.groupBy("anchor").count().where(F.col("count") > self.most_contents), "hot")
+            if not hot.count():
+                break
+            is_hot = key_filter(hot, "anchor")
+            found.append(self._scanned(pieces.where(~is_hot(F.col("anchor")))))
+            cuts = [c for lo, hi in cuts for c in (((lo + hi) // 2, hi), (lo, (lo + hi) // 2)) if c[0] < c[1]]
+            halves = stored(self._halves(pieces.where(is_hot(F.col("anchor"))), cuts), "halves")
+            # Halves of equal bytes are repeats; one of each goes on.
+            per = stored(halves.groupBy("anchor", "sub").agg(F.count("*").alias("k"), F.max("n").alias("n"), *[F.first(c).alias(c) for c in ("owner", "base", "place", "bytes")]), "halves")
+            equal = halves.join(per.where("k > 1").select("anchor", "sub"), ["anchor", "sub"])
+            found.append(equal.select("owner.anchor", "owner.content", F.col("base").alias("low"), (F.col("base") + F.octet_length("bytes") - self.length).alias("high")))
+            pieces = stored(per.select("anchor", "sub", F.greatest("n", "k").alias("n"), "owner", "base", "place", "bytes"), "pieces")
+            if all(hi - lo == 1 for lo, hi in cuts):
+                break  # whole strings: those that are equal have been found
+        found.append(self._scanned(pieces))
+        return stored(_all(found), "parts")
+
+    def _halves(self, pieces: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
+        """Each piece's strings by how far before its k-mer they start, in the ranges of `cuts`. The anchor of a half is made of the bytes that
+        all strings of that range have in common, so equal strings are in halves of equal anchors. A half of one distance
+        has a whole string as its anchor."""
+        length = self.length
+
+        def cut(batches):
+            for batch in batches:
+                out = [[] for _ in range(7)]
+                for row in batch.to_pylist():
+                    raw, place, count = row["bytes"], row["place"], len(row["bytes"]) - length + 1
+                    for lo, hi in cuts:
+                        first, last = max(0, place - hi + 1), min(count - 1, place - lo)
+                        if first > last:
+                            continue
+                        own = raw[first : last + length]
+                        key = hashlib.blake2b(raw[place - lo : place - hi + 1 + length], digest_size=8, salt=b"%d-%d" % (lo, hi)).digest()
+                        for x, v in zip(out, (int.from_bytes(key, "little", signed=True), _digest(own), row["n"], row["owner"], row["base"] + first, place - first, own), strict=True):
+                            x.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, _PIECE.values(), strict=True)], names=list(_PIECE))
+
+        return pieces.mapInArrow(cut, _PIECE_TYPE)
+
+    def _scanned(self, pieces: DataFrame) -> DataFrame:
+        """anchor, content, low and high of pieces whose strings are elsewhere, by suffix arrays of the pieces of each anchor."""
+        length = self.length
+
+        def scan(batches):
+            for n, owner, base, own in _whole_anchors(batches):
+                family = SuffixFamily(length)
+                for lo in range(0, len(own), 2048):
+                    family.add(own[lo : lo + 2048])
+                some = np.flatnonzero((family.high >= 0) & (np.array(n) == 1))  # the others are wholly known already
+                rows = [owner[k] for k in some.tolist()]
+                shift = np.array(base, np.int64)[some]
+                yield pa.RecordBatch.from_arrays([pa.array([r["anchor"] for r in rows], pa.int64()), pa.array([r["content"] for r in rows], pa.binary()), *(pa.array((x[some] + shift).astype(np.int32)) for x in (family.low, family.high))], names=["anchor", "content", "low", "high"])
+
+        dealt = pieces.select("anchor", "n", "owner", "base", "bytes").repartition("anchor").sortWithinPartitions("anchor")
+        return dealt.mapInArrow(scan, "anchor long, content binary, low int, high int")
+
+
+_OWNER = pa.struct([("anchor", pa.int64()), ("content", pa.binary())])
+_PIECE = {"anchor": pa.int64(), "sub": pa.binary(), "n": pa.int64(), "owner": _OWNER, "base": pa.int32(), "place": pa.int32(), "bytes": pa.binary()}
+_PIECE_TYPE = "anchor long, sub binary, n long, owner struct<anchor:long,content:binary>, base int, place int, bytes binary"
 
-    return _keyed(docs).mapInArrow(make, "anchor long, content long, text_hash long, text_sum long, start long, count int")
 
+def _whole_anchors(batches, least: int = 4096):
+    """(n, owner, base, bytes) of some thousand rows, never with a part of an anchor's rows only."""
+    held: list[list] = [[] for _ in range(5)]
+    for batch in batches:
+        for x, column in zip(held, batch.columns, strict=True):
+            x += column.to_pylist()
+        if len(held[0]) >= least:
+            keys = np.array(held[0], np.int64)
+            end = int(np.searchsorted(keys, keys[-1]))
+            if end:
+                yield tuple(x[:end] for x in held[1:])
+                held = [x[end:] for x in held]
+    if held[0]:
+        yield tuple(held[1:])
 
-def repeats(docs: DataFrame, length: int = 200, text_col: str = "text", most_contents: int = MOST_CONTENTS, most_sent: int = 1_000_000) -> DataFrame:
+
+def repeats(docs: DataFrame, length: int = 200, text_col: str = "text", most_contents: int = MOST_CONTENTS, batches: int = BATCHES) -> DataFrame:
     """text_hash, text_sum and spans (start, end: bytes, sorted, apart from each other) of the texts of which something
-    occurs elsewhere: every byte in a string of `length` bytes that also starts at another place of any text."""
-    docs = pick(docs, text=text_col).where(F.octet_length("text") >= length)
-    split, resolved, open_ = None, [], []
-    while True:
-        rows = _segment_rows(docs, length, split)
-        # Written first, so that the join below is of two tables and a hot anchor's rows can be split.
-        twice = stored(rows.select("anchor").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "twice")
-        members = stored(rows.join(twice, "anchor"), "segments")
-        contents = stored(members.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("text_hash", "text_sum", "start", "count")).alias("rep")), "contents")
-        anchors = stored(contents.groupBy("anchor").agg(F.count("*").alias("contents"), F.min("n").alias("least")), "anchors")
-        hot = anchors.where(F.col("contents") > most_contents).select("anchor")
-        keys = np.sort(np.array([r[0] for r in hot.toLocalIterator()], np.int64).view(np.uint64))  # one for most_contents segments at most
-        calm = members.join(F.broadcast(hot), "anchor", "left_anti") if len(keys) else members
-        resolved.append((calm, contents))
-        # Contents that occur once, under anchors with others: is a part of their strings in one of these?
-        doubt = anchors.where((F.col("contents") > 1) & (F.col("contents") <= most_contents) & (F.col("least") == 1)).select("anchor")
-        open_.append(contents.join(doubt, "anchor"))
-        if not len(keys):
-            break
-        split = keys if split is None else np.union1d(split, keys)
-    doubts = open_[0]
-    for more in open_[1:]:
-        doubts = doubts.union(more)
-    parts = _resolve(docs, stored(doubts, "doubts"), length, most_sent)
-    spans = None
-    for members, contents in resolved:
-        whole = contents.where("n > 1").select("anchor", "content", F.lit(0).alias("low"), (F.col("rep.count") - 1).alias("high"))
-        known = whole.union(parts)
-        got = members.join(known, ["anchor", "content"]).select("text_hash", "text_sum", (F.col("start") + F.col("low")).alias("start"), (F.col("start") + F.col("high") + length).alias("end")).distinct()
-        spans = got if spans is None else spans.union(got)
-    gathered = spans.groupBy("text_hash", "text_sum").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))  # of one text each
+    occurs elsewhere: every byte in a string of `length` bytes that also starts at another place of any text. The texts are
+    added to an index in `batches` parts."""
+    docs = pick(docs, text=text_col)
+    index = SuffixIndex(length, most_contents)
+    spans = _all([index.add(docs.where(F.pmod(F.xxhash64("text"), F.lit(batches)) == k)) for k in range(batches)])
+    gathered = spans.groupBy(_KEYS).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))  # of one text each
 
     def merge(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(map(_merged, batch.column(2).to_pylist()), _SPANS)], names=["text_hash", "text_sum", "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(map(_merged, batch.column(2).to_pylist()), _SPANS)], names=[*_KEYS, "spans"])
 
     return gathered.mapInArrow(merge, "text_hash long, text_sum long, spans array<struct<start:long,end:long>>")
 
@@ -224,66 +326,16 @@ def _merged(spans: list[dict]) -> list[dict]:
     return out
 
 
-def _resolve(docs: DataFrame, doubts: DataFrame, length: int, most_sent: int) -> DataFrame:
-    """anchor, content, low and high of the doubtful contents of which some strings occur elsewhere."""
-    wanted = doubts.select("anchor", "content", "rep.*").groupBy("text_hash", "text_sum").agg(F.collect_list(F.struct("anchor", "content", "start", "count")).alias("wanted"))
-    wanted = stored(wanted, "wanted")
-    few = doubts.count() <= most_sent
-    texts = _keyed(docs)
-    found = texts.join(F.broadcast(wanted) if few else wanted, ["text_hash", "text_sum"]).select("text", "wanted")
-
-    def cut(batches):
-        for batch in batches:
-            anchors, contents, pieces = [], [], []
-            for text, wanted in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                raw = text.as_buffer().to_pybytes()
-                for w in wanted:
-                    anchors.append(w["anchor"])
-                    contents.append(w["content"])
-                    pieces.append(raw[w["start"] : w["start"] + w["count"] - 1 + length])
-            yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(contents, pa.int64()), pa.array(pieces, pa.binary())], names=["anchor", "content", "bytes"])
-
-    # A text that is there twice gives its pieces twice: one of each is left before they are dealt out by anchor.
-    pieces = found.mapInArrow(cut, "anchor long, content long, bytes binary").groupBy("anchor", "content").agg(F.first("bytes").alias("bytes"))
-    dealt = pieces.repartition("anchor").sortWithinPartitions("anchor", "content")
-
-    def scan(batches):
-        for anchors, contents, pieces in _whole_anchors(batches):
-            family = SuffixFamily(length)
-            for lo in range(0, len(pieces), 2048):
-                family.add(pieces[lo : lo + 2048])
-            some = family.high >= 0
-            yield pa.RecordBatch.from_arrays([pa.array(anchors[some]), pa.array(contents[some]), pa.array(family.low[some].astype(np.int32)), pa.array(family.high[some].astype(np.int32))], names=["anchor", "content", "low", "high"])
-
-    parts = dealt.mapInArrow(scan, "anchor long, content long, low int, high int")
-    known = doubts.where("n > 1").select("anchor", "content")  # those are wholly known already
-    return stored(parts.join(known, ["anchor", "content"], "left_anti"), "parts")
-
-
-def _whole_anchors(batches, least: int = 4096):
-    """(anchors, contents, pieces) of some thousand rows, never with a part of an anchor's rows only."""
-    held: tuple[list, list, list] = ([], [], [])
-    for batch in batches:
-        for x, column in zip(held, batch.columns, strict=True):
-            x += column.to_pylist()
-        if len(held[0]) >= least:
-            keys = np.array(held[0], np.int64)
-            end = int(np.searchsorted(keys, keys[-1]))
-            if end:
-                yield keys[:end], np.array(held[1][:end], np.int64), held[2][:end]
-                held = tuple(x[end:] for x in held)
-    if held[0]:
-        yield np.array(held[0], np.int64), np.array(held[1], np.int64), held[2]
-
-
-def _with_spans(docs: DataFrame, length: int, text_col: str, most_sent: int, most_contents: int = MOST_CONTENTS) -> DataFrame:
-    """docs with _granary_spans, null where there are none."""
-    found = stored(repeats(docs, length, text_col, most_contents, most_sent), "spans")
-    few = (found.agg(F.sum(F.size("spans"))).first()[0] or 0) <= most_sent
-    found = found.toDF("_granary_hash", "_granary_sum", "_granary_spans")
-    text = F.coalesce(docs[text_col], F.lit(""))
-    keyed = docs.withColumns({"_granary_hash": F.xxhash64(text), "_granary_sum": F.crc32(text.cast("binary"))})
-    return keyed.join(F.broadcast(found) if few else found, ["_granary_hash", "_granary_sum"], "left").select(*docs.columns, "_granary_spans")
+def _with_spans(docs: DataFrame, length: int, text_col: str, most_contents: int, batches: int) -> tuple[DataFrame, str]:
+    """docs with a column of spans, null where there are none, and its name. Texts without spans do not move, but for a few that a bitmap of
+    fixed size lets through."""
+    found = stored(repeats(docs, length, text_col, most_contents, batches), "spans")
+    names = [fresh(docs, c) for c in (*_KEYS, "spans")]
+    known, found = key_filter(found, "text_hash"), found.toDF(*names)
+    keyed = docs.withColumns({names[0]: F.xxhash64(docs[text_col]), names[1]: F.crc32(docs[text_col].cast("binary"))})
+    met = keyed.where(known(F.col(names[0]))).join(found, names[:2], "left").select(*docs.columns, names[2])
+    rest = keyed.where(~known(F.col(names[0]))).select(*docs.columns, F.lit(None).cast(found.schema[names[2]].dataType).alias(names[2]))
+    return rest.union(met), names[2]
 
 
 def _kept(raw: bytes, spans) -> bytes:
@@ -294,10 +346,11 @@ def _kept(raw: bytes, spans) -> bytes:
     return b"".join([*kept, raw[at:]])
 
 
-def repeat_digests(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", most_sent: int = 1_000_000, most_contents: int = MOST_CONTENTS) -> DataFrame:
+def repeat_digests(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", most_contents: int = MOST_CONTENTS, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row (null text: empty; repeated rows are each other's
     repeats, as any texts are)."""
-    cut = _with_spans(pick(docs, doc_id=id_col, text=text_col), length, "text", most_sent, most_contents).withColumn("text", F.coalesce("text", F.lit("")))
+    cut, name = _with_spans(pick(docs, doc_id=id_col, text=text_col), length, "text", most_contents, batches)
+    cut = cut.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), name)
     id_type = cut.schema["doc_id"].dataType.simpleString()
 
     def digest(batches):
@@ -315,13 +368,13 @@ def repeat_digests(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     return cut.mapInArrow(digest, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, text_col: str = "text", most_sent: int = 1_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, text_col: str = "text", most_contents: int = MOST_CONTENTS, batches: int = BATCHES) -> DataFrame:
     """The rows of docs with every repeated string cut out of their texts; characters that are cut in two go whole. Rows stay,
     with an empty text where nothing is left; null texts stay null."""
-    cut = _with_spans(docs, length, text_col, most_sent)
+    cut, name = _with_spans(docs, length, text_col, most_contents, batches)
 
     @F.arrow_udf("string")
     def keep(texts: pa.Array, spans: pa.Array) -> pa.Array:
         return pa.array([t if s is None else _kept(t.encode(), s).decode(errors="ignore") for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
 
-    return cut.select(*[keep(cut[c], cut["_granary_spans"]).alias(c) if c == text_col else cut[c] for c in docs.columns])
+    return cut.select(*[F.when(cut[name].isNull(), cut[c]).otherwise(keep(cut[c], cut[name])).alias(c) if c == text_col else cut[c] for c in docs.columns])

@@ -65,7 +65,7 @@ def brute_hits(data, items, n):
     grams = []
     for item, text in items:
         w = OUT.findall((text or "").translate(LOWER))
-        if w and item is not None:
+        if w:
             k = min(n, len(w))
             grams += [(item, tuple(w[i : i + k])) for i in range(len(w) - k + 1)]
     out = []
@@ -76,7 +76,7 @@ def brute_hits(data, items, n):
             for i in range(len(w) - len(g) + 1):
                 if tuple(w[i : i + len(g)]) == g:
                     hit.update(range(i, i + len(g)))
-                    who.add(str(item))
+                    who.update([] if item is None else [str(item)])
         out.append((key, len(w), len(hit), sorted(who)))
     return sorted(out, key=str)
 
@@ -100,8 +100,10 @@ def test_hits(spark, n):
     assert left.columns == table(spark).columns and left.count() == found.where(~is_contaminated()).count()
     cut = decontaminate(table(spark), bench, n, remove="spans")
     assert cut.count() == len(data) and find_hits(cut, spark.createDataFrame(items[:1], "item_id long, text string"), n).where("n_hit > 0").count() == 0
-    with pytest.raises(ValueError):
-        find_hits(table(spark), bench, n, most_words=1)
+    joined = find_hits(table(spark), bench, n, most_bytes=0)  # a benchmark beyond the bound of a broadcast
+    assert sorted(map(tuple, joined.collect()), key=str) == sorted(map(tuple, found.collect()), key=str)
+    assert sorted(map(tuple, decontaminate(table(spark), bench, n, most_bytes=0).collect()), key=str) == sorted(map(tuple, left.collect()), key=str)
+    assert sorted(map(tuple, decontaminate(table(spark), bench, n, remove="spans", most_bytes=0).collect()), key=str) == sorted(map(tuple, cut.collect()), key=str)
 
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
