@@ -13,7 +13,8 @@ DIMENSIONS = 1024
 #: Documents that prototypes are learned from, about: a hash of the id picks them.
 MOST_TRAINED = 20_000
 DENSE_SYMBOLS = 160
-MOST_GRAMS = 200_000
+#: Letters whose vectors are kept between batches, and n-grams that are bound at a time: bounds of memory.
+MOST_LETTERS, MOST_BOUND = 1 << 14, 1 << 12
 
 
 class Space:
@@ -23,55 +24,47 @@ class Space:
     def __init__(self, dimensions: int = DIMENSIONS, seed: int = 1) -> None:
         self.dimensions, self.seed = dimensions, seed
         self.symbol = np.full(0x110000, -1, np.int32)  # of a code point; 0 is the blank
-        self.letters = np.zeros((1, dimensions), np.int8)
-        self.letters[0] = self._vector(32)
+        self.used = np.zeros(DENSE_SYMBOLS**3, bool)
+        self.place = np.zeros(DENSE_SYMBOLS**3, np.int32)
         self.forget()
 
     def _vector(self, point: int) -> np.ndarray:
         return np.random.Generator(np.random.PCG64([self.seed, point])).integers(0, 2, self.dimensions, np.int8) * 2 - 1
 
     def forget(self) -> None:
-        self.codes = np.zeros(0, np.int64)
-        self.place = np.full(DENSE_SYMBOLS**3, -1, np.int32)
-        self.grams = np.zeros((0, self.dimensions), np.int8)
-        self.far: dict[int, int] = {}
+        self.symbol[:] = -1
+        self.letters, self.known = np.zeros((256, self.dimensions), np.int8), 1
+        self.letters[0] = self._vector(32)
 
     def _symbols(self, points: np.ndarray) -> np.ndarray:
         got = self.symbol[points]
         if (got < 0).any():
             for p in np.unique(points[got < 0]).tolist():
                 if chr(p).isalpha():
-                    self.symbol[p] = len(self.letters)
-                    self.letters = np.vstack([self.letters, self._vector(p)])
+                    if self.known == len(self.letters):
+                        self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
+                    self.symbol[p], self.letters[self.known] = self.known, self._vector(p)
+                    self.known += 1
                 else:
                     self.symbol[p] = 0
             got = self.symbol[points]
         return got
 
-    def _places(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """The row of each n-gram in self.grams."""
-        if len(self.letters) <= DENSE_SYMBOLS:
-            dense = (a * DENSE_SYMBOLS + b) * DENSE_SYMBOLS + c
-            got = self.place[dense]
-            if (got < 0).any():
-                new = np.unique(dense[got < 0])
-                self.place[new] = len(self.grams) + np.arange(len(new))
-                self._add(new // DENSE_SYMBOLS**2, new // DENSE_SYMBOLS % DENSE_SYMBOLS, new % DENSE_SYMBOLS)
-                got = self.place[dense]
-            return got
-        codes, back = np.unique((a.astype(np.int64) << 42) | (b.astype(np.int64) << 21) | c, return_inverse=True)
-        new = np.array([x for x in codes.tolist() if x not in self.far], np.int64)
-        self.far.update(zip(new.tolist(), range(len(self.grams), len(self.grams) + len(new)), strict=True))
-        self._add(new >> 42, (new >> 21) & 0x1FFFFF, new & 0x1FFFFF)
-        return np.fromiter((self.far[x] for x in codes.tolist()), np.int32, len(codes))[back]
-
-    def _add(self, a, b, c) -> None:
-        bound = np.roll(self.letters, 2, 1)[a] * np.roll(self.letters, 1, 1)[b] * self.letters[c]
-        self.grams = np.vstack([self.grams, bound])
+    def _distinct(self, a: np.ndarray, b: np.ndarray, c: np.ndarray):
+        """The letters of the distinct n-grams, and which of them each is."""
+        if self.known > DENSE_SYMBOLS:
+            codes, which = np.unique((a.astype(np.int64) << 42) | (b.astype(np.int64) << 21) | c, return_inverse=True)
+            return (codes >> 42, (codes >> 21) & 0x1FFFFF, codes & 0x1FFFFF), which
+        codes = (a * DENSE_SYMBOLS + b) * DENSE_SYMBOLS + c
+        self.used[codes] = True
+        found = np.flatnonzero(self.used)
+        self.used[found] = False
+        self.place[found] = np.arange(len(found))
+        return (found // DENSE_SYMBOLS**2, found // DENSE_SYMBOLS % DENSE_SYMBOLS, found % DENSE_SYMBOLS), self.place[codes]
 
     def bundles(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """For each text the sum of its n-grams' vectors, and its number of letters."""
-        if len(self.grams) > MOST_GRAMS:
+        """For each text the sum of its n-grams' vectors, and its number of letters. Some thousand n-grams are bound at a time."""
+        if self.known > MOST_LETTERS:
             self.forget()
         parts = [f" {(t or '').lower()} " for t in texts]
         points = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -84,21 +77,24 @@ class Space:
         keep[np.cumsum(lengths) - lengths] = True
         symbols, rows = symbols[keep], rows[keep]
         inside = rows[2:] == rows[:-2]
-        places = self._places(symbols[:-2][inside], symbols[1:-1][inside], symbols[2:][inside]) if inside.any() else np.zeros(0, np.int32)
+        (a, b, c), which = self._distinct(symbols[:-2][inside], symbols[1:-1][inside], symbols[2:][inside])
         rows = rows[2:][inside]
-        used, back = np.zeros(len(self.grams), bool), np.zeros(len(self.grams), np.int64)
-        used[places] = True
-        at = np.flatnonzero(used)
-        back[at] = np.arange(len(at))
-        counts = np.bincount(rows * len(at) + back[places], minlength=len(parts) * len(at)).reshape(len(parts), len(at)) if len(at) else np.zeros((len(parts), 0))
-        return counts.astype(np.float32) @ self.grams[at].astype(np.float32), np.add.reduceat(letter.astype(np.int64), np.cumsum(lengths) - lengths) if len(parts) else np.zeros(0, np.int64)
+        order = np.argsort(which, kind="stable") if len(a) > MOST_BOUND else np.arange(len(which))
+        cuts = np.searchsorted(which[order], np.arange(0, len(a) + MOST_BOUND, MOST_BOUND)) if len(a) > MOST_BOUND else np.array([0, len(which)])
+        out = np.zeros((len(parts), self.dimensions), np.float32)
+        for k, lo in enumerate(range(0, len(a), MOST_BOUND)):
+            some, hi = order[cuts[k] : cuts[k + 1]], min(len(a), lo + MOST_BOUND)
+            bound = np.roll(self.letters[a[lo:hi]], 2, 1) * np.roll(self.letters[b[lo:hi]], 1, 1) * self.letters[c[lo:hi]]
+            counts = np.bincount(rows[some] * (hi - lo) + which[some] - lo, minlength=len(parts) * (hi - lo)).reshape(len(parts), hi - lo)
+            out += counts.astype(np.float32) @ bound.astype(np.float32)
+        return out, np.add.reduceat(letter.astype(np.int64), np.cumsum(lengths) - lengths) if len(parts) else np.zeros(0, np.int64)
 
 
 def _parts(batches, space: Space):
     for batch in batches:
         for part in slices(batch, "text"):
-            for at in range(0, part.num_rows, 512):
-                rows = part.slice(at, 512)
+            for at in range(0, part.num_rows, 256):
+                rows = part.slice(at, 256)
                 yield rows, *space.bundles(rows.column(1).to_pylist())
 
 
