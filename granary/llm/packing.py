@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import pick, slices, stored
+from .common import key_filter, pick, slices, stored
 
 
 def combinations(lengths: np.ndarray, width: int) -> np.ndarray:
@@ -129,7 +129,7 @@ def _encoded(docs: DataFrame, tokenizer: str, width: int, end_id: int) -> DataFr
     return docs.mapInArrow(make, f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, part int, at long, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer: str, width: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", most_sent: int = 500_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, width: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of the rows' token ids (each text's, then end_id) in sequences of at most `width`: doc_id, start (ids of the row
     before the piece), length, ids_crc32 (of the ids as little-endian 32-bit numbers), doc_tokens, sequence_id and offset.
 
@@ -175,9 +175,9 @@ def pack(docs: DataFrame, tokenizer: str, width: int = 1024, end_id: int = 0, id
     placed = stored(ranked.mapInArrow(place, kinds), "placed")
     whole = placed.where("first_part = 0").select(names)
     split = placed.where("first_part > 0")
-    few = split.count() <= most_sent
-    split = split.drop("doc_id", "ids_crc32")
-    again = pieces.where(F.col("length") < width).select("part", "length", "at", "doc_id", "ids").join(F.broadcast(split) if few else split, ["part", "length", "at"])
+    split = stored(split.drop("doc_id", "ids_crc32").withColumn("key", F.xxhash64("part", "length", "at")), "split")
+    known = key_filter(split, "key")  # only the ids of pieces that are cut move
+    again = pieces.where((F.col("length") < width) & known(F.xxhash64("part", "length", "at"))).select("part", "length", "at", "doc_id", "ids").join(split, ["part", "length", "at"])
     columns = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "first_part", "ids"]
 
     def halves(batches):
