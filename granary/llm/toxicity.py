@@ -1,4 +1,4 @@
-"""Toxicity by a linear-chain conditional random field over tokens."""
+"""Toxicity by a linear-chain conditional random field over tokens, learned from the labels of whole documents."""
 
 from __future__ import annotations
 
@@ -17,33 +17,27 @@ OUTSIDE = bytes(b for b in range(128) if not chr(b).isalpha())
 IS_WORD = byte_set(OUTSIDE)
 #: Labelled documents that are learned from, about; how many of them the field itself is fitted on.
 MOST_TRAINED, MOST_FITTED = 8_000, 3_000
-#: Besides whole tokens, their first bytes can be evidence, for longer tokens: inflected forms share them.
+#: Besides whole tokens, their first bytes can be features, for longer tokens: inflected forms share them.
 PREFIXES = (4, 5, 6, 7)
-#: Bounds of the classes of a token's evidence: its log odds between toxic and other documents. Class 0 is none.
-BUCKETS = (1.5, 2.5, 3.5, 4.5)
-SURPRISE = 10.0
+#: Features enter the field if the log odds and the likelihood ratio of their documents' labels are over these.
+LEAST_ODDS, SURPRISE = 1.5, 10.0
+#: Weight of the squared distance of the weights from where the fit starts: the features' log odds.
+RIDGE = 1e-3
 
 
 @dataclass
 class Field:
-    """keys: sorted hashes of tokens with evidence; kinds: their classes; emit: the weight of the toxic state for each class;
-    trans: the weights of (clean to toxic, toxic to clean, toxic to toxic), clean to clean being 0; start: of a toxic first
-    token; scale: slope and intercept from the log odds of any toxic token to those of a document's label."""
+    """keys: sorted hashes of features; weights: of the toxic state for each, in that order; chain: the weights of the steps clean to toxic,
+    toxic to clean and toxic to toxic, and of the toxic state of any token (clean to clean and the clean state are 0, and
+    before the first token it is clean); scale: slope and intercept from the log odds of any toxic token to those of a
+    document's label."""
 
     keys: np.ndarray
-    kinds: np.ndarray
-    emit: np.ndarray
-    trans: np.ndarray
-    start: float
+    weights: np.ndarray
+    chain: np.ndarray
     scale: tuple[float, float]
 
 
-def _step(field: Field) -> tuple[np.ndarray, np.ndarray]:
-    """The transition matrix, and it times the emissions of a token without evidence."""
-    t = np.exp(np.array([[0.0, field.trans[0]], [field.trans[1], field.trans[2]]]))
-    return t, t * np.exp(np.array([0.0, field.emit[0]]))
-
-
 def _power(m: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(log factor, matrix) of m ** n for each n: by the eigenvalues of a positive 2 x 2 matrix."""
     values, vectors = np.linalg.eig(m)
@@ -56,7 +50,7 @@ def _power(m: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _gaps(at: np.ndarray, rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens without evidence before each hit of its text, and after the last one of each text."""
+    """Tokens without a feature before each hit of its text, and after the last one of each text."""
     before = at - np.append(-1, at[:-1]) - 1
     first = np.append(True, rows[1:] != rows[:-1]) if len(rows) else np.zeros(0, bool)
     before[first] = at[first]
@@ -66,95 +60,131 @@ def _gaps(at: np.ndarray, rows: np.ndarray, lengths: np.ndarray) -> tuple[np.nda
     return before, after
 
 
-def marginals(field: Field, kinds: np.ndarray, at: np.ndarray, rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log Z of each text less that of its all-clean path, which has weight 1; the marginal of the toxic state of each hit).
+def _steps(chain: np.ndarray) -> np.ndarray:
+    """The matrix of a step onto a token without a feature."""
+    a, b, c, g = chain
+    return np.exp(np.array([[0.0, a + g], [b, c + g]]))
+
 
-    Forward and backward over the tokens with evidence only: runs of other tokens are powers of one matrix, so long texts
-    cost what their hits do. Texts go side by side, hit by hit. The hits are in the order of (text, place).
+def _run_counts(plain: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For runs of n plain steps between the vectors left and right: the expected number of steps from each state to each (runs, 2, 2). It is
+    the derivative of left @ plain ** n @ right by the entries' logarithms, over its value: with eigenvectors V, the sum over
+    places i of plain ** i and plain ** (n - 1 - i) has the closed form (p ** n - q ** n) / (p - q)."""
+    values, vectors = np.linalg.eig(plain)
+    order = np.argsort(-values)
+    p, q = values[order]
+    vectors = vectors[:, order]
+    inverse = np.linalg.inv(vectors)
+    x, y = left @ vectors, right @ inverse.T  # in the basis of the eigenvectors
+    ratio = (q / p) ** n
+    own_p, own_q, both = n / p, np.where(n > 0, n * (q / p) ** np.maximum(n - 1, 0) / p, 0.0), (1 - ratio) / (p - q)
+    sums = np.empty((len(n), 2, 2))
+    sums[:, 0, 0], sums[:, 1, 1], sums[:, 0, 1], sums[:, 1, 0] = own_p, own_q, both, both
+    outer = np.einsum("np,npq,nq->npq", x, sums, y)
+    # The entry (i, j) of plain in the basis: inverse[p, i] * plain[i, j] * vectors[j, q]
+    counts = np.einsum("npq,pi,jq->nij", outer, inverse, vectors) * plain
+    value = x[:, 0] * y[:, 0] + x[:, 1] * y[:, 1] * ratio
+    return np.maximum(counts, 0) / np.maximum(value, 1e-300)[:, None, None]
+
+
+def marginals(chain: np.ndarray, extra: np.ndarray, at: np.ndarray, rows: np.ndarray, lengths: np.ndarray, counted: bool = False):
+    """(log Z of each text less that of its all-clean path, which has weight 1; the marginal of the toxic state of each hit; and, if
+    counted, each text's expected steps from state to state (texts, 2, 2)).
+
+    extra: the weights of the features of each hit. Forward and backward over hits only: runs of other tokens are powers of
+    one matrix, so long texts cost what their hits do. Texts go side by side, hit by hit. The hits are in the order of
+    (text, place).
     """
-    step, plain = _step(field)
+    plain = _steps(chain)
     before, after = _gaps(at, rows, lengths)
-    counts = np.bincount(rows, minlength=len(lengths))
-    first = np.append(0, np.cumsum(counts))[:-1]
-    start = np.array([1.0, np.exp(field.start)])
-    # The first token has no transition: its emission times start; then each token is a step.
-    scale_b, power_b = _power(plain, np.maximum(before, 0))
-    emit = np.column_stack([np.ones(len(kinds)), np.exp(field.emit[kinds])])
-    alpha, log_a = np.zeros((len(kinds), 2)), np.zeros(len(kinds))
-    state, log = np.ones((len(lengths), 2)), np.zeros(len(lengths))
-    lead_scale, lead = _power(plain, np.maximum(before - 1, 0))
-    for k in range(int(counts.max(initial=0))):
-        texts = np.flatnonzero(counts > k)
+    per = np.bincount(rows, minlength=len(lengths))
+    first = np.append(0, np.cumsum(per))[:-1]
+    log_b, power_b = _power(plain, before)
+    hits = np.broadcast_to(plain, (len(extra), 2, 2)).copy()
+    hits[:, :, 1] *= np.exp(extra)[:, None]
+    forward, state, log = np.zeros((len(extra), 2)), np.tile([1.0, 0.0], (len(lengths), 1)), np.zeros(len(lengths))
+    into = np.zeros((len(extra), 2))  # the state before each hit's run
+    most = int(per.max(initial=0))
+    for k in range(most):
+        texts = np.flatnonzero(per > k)
         hit = first[texts] + k
-        if k == 0:
-            none = before[hit] == 0
-            opening = start * np.array([1.0, np.exp(field.emit[0])])
-            run = np.einsum("i,nij->nj", opening, lead[hit]) @ step
-            now = np.where(none[:, None], start, run) * emit[hit]
-            add = np.where(none, 0.0, lead_scale[hit])
-        else:
-            now = np.einsum("ni,nij->nj", state[texts], power_b[hit]) @ step * emit[hit]
-            add = scale_b[hit]
+        into[hit] = state[texts]
+        now = np.einsum("ni,nij,njk->nk", state[texts], power_b[hit], hits[hit])
         total = now.sum(1)
-        state[texts] = now / total[:, None]
-        log[texts] += add + np.log(total)
-        alpha[hit], log_a[hit] = state[texts], log[texts]
-    tail_scale, tail = _power(plain, np.maximum(after - (counts == 0), 0))
-    empty = lengths == 0
-    opening = start * np.array([1.0, np.exp(field.emit[0])])
-    ends = np.where((counts == 0)[:, None], opening, state)
-    done = np.einsum("ni,nij->nj", ends, tail)
-    log_z = np.where(empty, 0.0, log + tail_scale + np.log(np.maximum(done.sum(1), 1e-300)))
-    # Backward: beta of each hit, scaled.
-    beta = np.zeros((len(kinds), 2))
-    back = tail.sum(2)
-    for k in range(int(counts.max(initial=0)) - 1, -1, -1):
-        texts = np.flatnonzero(counts > k)
+        state[texts] = forward[hit] = now / total[:, None]
+        log[texts] += log_b[hit] + np.log(total)
+    log_a, power_a = _power(plain, after)
+    done = np.einsum("ni,nij->nj", state, power_a)
+    log_z = log + log_a + np.log(np.maximum(done.sum(1), 1e-300))
+    last = state.copy()
+    back = power_a.sum(2)
+    behind = np.zeros((len(extra), 2))  # what follows each hit
+    for k in range(most - 1, -1, -1):
+        texts = np.flatnonzero(per > k)
         hit = first[texts] + k
-        beta[hit] = back[texts] / back[texts].sum(1, keepdims=True)
-        back[texts] = np.einsum("nij,nj->ni", power_b[hit], (beta[hit] * emit[hit]) @ step.T)
-    both = alpha * beta
-    return log_z, both[:, 1] / np.maximum(both.sum(1), 1e-300)
-
-
-def _fit_field(kinds, at, rows, lengths, toxic: np.ndarray, n_kinds: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Maximum likelihood with a small ridge. Token labels: toxic if the text is and the token has evidence of class 2 or more,
-    else clean. The gradient by central differences: there are n_kinds + 4 weights."""
-    tagged = toxic[rows] & (kinds >= 2)
-
-    def value(w: np.ndarray) -> float:
-        field = Field(None, None, w[:n_kinds], w[n_kinds : n_kinds + 3], w[-1], (1, 0))
-        log_z, _ = marginals(field, kinds, at, rows, lengths)
-        score = w[kinds[tagged]].sum()
-        follows = np.append(False, tagged[:-1] & (rows[1:] == rows[:-1]) & (at[1:] == at[:-1] + 1)) if len(at) else tagged
-        first = tagged & (at == 0)
-        both = (tagged & follows).sum()
-        score += both * w[n_kinds + 2] + first.sum() * w[-1] + (tagged & ~follows & (at > 0)).sum() * w[n_kinds]
-        ends = tagged.sum() - both - (tagged & (at == lengths[rows] - 1)).sum()
-        score += ends * w[n_kinds + 1]
-        return (log_z.sum() - score) / max(1, len(lengths)) + 1e-3 * float(w @ w)
-
-    d = n_kinds + 4
-    w, h = np.zeros(d), np.eye(d)
-    w[: n_kinds] = np.linspace(-4, 3, n_kinds)
-    w[n_kinds] = -2
-    grad = lambda w: np.array([(value(w + e) - value(w - e)) / 2e-4 for e in 1e-4 * np.eye(d)])
-    f, g = value(w), grad(w)
-    for _ in range(40):
-        p = -h @ g
-        t = 1.0
-        while t > 1e-4 and not (new := value(w + t * p)) <= f + 1e-4 * t * (g @ p):
+        behind[hit] = back[texts] / back[texts].sum(1, keepdims=True)
+        back[texts] = np.einsum("nij,njk,nk->ni", power_b[hit], hits[hit], behind[hit])
+    both = forward * behind
+    p = both[:, 1] / np.maximum(both.sum(1), 1e-300)
+    if not counted:
+        return log_z, p
+    ones = np.ones((len(lengths), 2))
+    steps = _run_counts(plain, after, last, ones)
+    ahead = np.einsum("nij,nj->ni", hits, behind)  # what follows each run
+    np.add.at(steps, rows, _run_counts(plain, before, into, ahead))
+    reached = np.einsum("ni,nij->nj", into, power_b)
+    onto = reached[:, :, None] * hits * behind[:, None, :]
+    np.add.at(steps, rows, onto / np.maximum(onto.sum((1, 2)), 1e-300)[:, None, None])
+    return log_z, p, steps
+
+
+def loss(w: np.ndarray, data, toxic: np.ndarray, start: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+    """Minus the mean log likelihood of the documents' labels, with its gradient. A document is clean if all of its tokens are, and toxic if
+    any is: which ones is not told. As the all-clean path has weight 1 and no counts, the gradient of log Z is the expected
+    counts of forward and backward, and that of the toxic ones' 1 - 1 / Z the same times 1 / (1 - Z)."""
+    at, rows, lengths, of, keys = data
+    chain = w[:4]
+    extra = np.bincount(of, w[4:][keys], len(at)) if len(of) else np.zeros(len(at))
+    log_z, p, steps = marginals(chain, np.clip(extra, -30, 30), at, rows, lengths, counted=True)
+    log_z = np.maximum(log_z, 1e-12)
+    value = np.where(toxic, -np.log(-np.expm1(-log_z)), log_z)
+    by = np.where(toxic, -1 / np.expm1(np.minimum(log_z, 700)), 1.0) / len(lengths)
+    grad = np.zeros(len(w))
+    counts = np.einsum("n,nij->ij", by, steps)
+    grad[:4] = counts[0, 1], counts[1, 0], counts[1, 1], counts[:, 1].sum()
+    np.add.at(grad, 4 + keys, (p * by[rows])[of])
+    away = w - start
+    return float(value.mean() + 0.5 * ridge * away @ away), grad + ridge * away
+
+
+def _minimise(f, w: np.ndarray, rounds: int = 60, memory: int = 8) -> np.ndarray:
+    """Limited-memory quasi-Newton steps with halving."""
+    pairs: list[tuple] = []
+    value, grad = f(w)
+    for _ in range(rounds):
+        step, alphas = -grad, []
+        for s, y, r in reversed(pairs):
+            alphas.append(r * (s @ step))
+            step = step - alphas[-1] * y
+        if pairs:
+            step = step * (pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1])
+        for (s, y, r), a in zip(pairs, reversed(alphas), strict=True):
+            step = step + s * (a - r * (y @ step))
+        t = min(1.0, 4.0 / max(1e-12, float(abs(step).max())))
+        while t > 1e-7:
+            new, new_grad = f(w + t * step)
+            if new <= value + 1e-4 * t * float(grad @ step):
+                break
             t /= 2
-        if t <= 1e-4 or f - new < 1e-7:
+        else:
+            return w
+        s, y = t * step, new_grad - grad
+        if s @ y > 1e-12:
+            pairs = [*pairs[1 - memory :], (s, y, 1 / float(s @ y))]
+        gain, w, value, grad = value - new, w + s, new, new_grad
+        if gain < 1e-7:
             break
-        s, old = t * p, g
-        w, f = w + s, new
-        g = grad(w)
-        y = g - old
-        if (sy := s @ y) > 1e-12:
-            r = np.eye(d) - np.outer(s, y) / sy
-            h = r @ h @ r.T + np.outer(s, s) / sy
-    return w[:n_kinds], w[n_kinds : n_kinds + 3], float(w[-1])
+    return w
 
 
 def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -184,19 +214,29 @@ def _any_toxic(log_z: np.ndarray) -> np.ndarray:
     return np.where(z > 30, z, np.log(np.expm1(np.minimum(z, 30))))
 
 
-def _hits(words: Words, keys: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _features(words: Words) -> list[np.ndarray]:
+    """Hashes of each token's features, 0 for none: itself and its first bytes."""
+    return [words.hashes, *words.prefixes]
+
+
+def _hits(words: Words, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens with features, and for each feature of these: which of them, place in keys)."""
+    none = np.zeros(0, np.int64)
     if not len(keys):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none, none, none
+    low = np.uint64((1 << 18) - 1)
     seen = np.zeros(1 << 18, bool)
-    seen[(keys & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
-    best = np.zeros(len(words.hashes), np.int64)
-    for h in (words.hashes, *words.prefixes):
-        at = np.flatnonzero(seen[(h & np.uint64((1 << 18) - 1)).astype(np.int64)])
+    seen[(keys & low).astype(np.int64)] = True
+    tokens, places = [], []
+    for h in _features(words):
+        at = np.flatnonzero(seen[(h & low).astype(np.int64)])
         place = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
         same = keys[place] == h[at]
-        best[at[same]] = np.maximum(best[at[same]], kinds[place[same]])
-    at = np.flatnonzero(best)
-    return at, best[at]
+        tokens.append(at[same])
+        places.append(place[same])
+    token, place = np.concatenate(tokens), np.concatenate(places)
+    at, of = np.unique(token, return_inverse=True)
+    return at, of, place
 
 
 def fitted_part(got):
@@ -206,14 +246,14 @@ def fitted_part(got):
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINED, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """Evidence of tokens first, then the field, then the scale, from about `most` labelled documents outside the held-out
+    """Features first, then the field, then the scale, from about `most` labelled documents outside the held-out
     fifth (the most toxic of repeated labels; null labels and ids are left out).
 
-    A token's evidence is the log odds of occurring in a toxic document against any other. Copies would make any token of
-    theirs look like evidence, so documents of the same set of tokens count once (toxic if any is). Tokens of at least 3 toxic
-    documents and 1 in 400 of them are kept if their odds are over e ** BUCKETS[0] and the likelihood ratio against chance is
-    over e ** SURPRISE: a bounded lexicon, as each such token needs that many documents. The field is fitted on every toxic
-    document and on MOST_FITTED to twice as many of the others, evenly by length (on all, if they are fewer).
+    Features are tokens and their first 4 to 7 bytes. One enters if its log odds between toxic and other
+    documents are over LEAST_ODDS, the likelihood ratio against chance over e ** SURPRISE, and it is in 3 toxic documents and 1
+    in 400 of them. Copies would make any token of theirs look like evidence, so documents of the same features count once
+    (toxic if any is). Which tokens of a toxic document are toxic is nowhere labelled: see loss(). The field is fitted on every
+    toxic document and on MOST_FITTED to twice as many of the others, evenly by length (on all, if they are fewer).
     """
     marked = pick(labels, doc_id=id_col, y=label_col).where(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     n = marked.count()
@@ -222,17 +262,17 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINED, label_co
     known = pick(docs, doc_id=id_col, text=text_col).join(F.broadcast(marked), "doc_id").select("y", "text")  # about `most` rows
 
     def bags(batches):
-        """(labels, rows and hashes of the distinct tokens and prefixes, text by text; a hash of each text's set)."""
+        """(labels, rows and hashes of the distinct features, text by text; a hash of each text's set)."""
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(*utf8(part.column(1)), IS_WORD, True, PREFIXES)
-                h = np.concatenate([words.hashes, *words.prefixes])
-                r = np.concatenate([words.rows] * (1 + len(PREFIXES)))
+                found = _features(words)
+                h, r = np.concatenate(found), np.concatenate([words.rows] * len(found))
                 some = h > 0
                 order = np.lexsort((h[some], r[some]))
                 h, r = h[some][order], r[some][order]
-                fresh = np.append(True, (h[1:] != h[:-1]) | (r[1:] != r[:-1])) if len(h) else np.zeros(0, bool)
-                h, r = h[fresh], r[fresh]
+                new = np.append(True, (h[1:] != h[:-1]) | (r[1:] != r[:-1])) if len(h) else np.zeros(0, bool)
+                h, r = h[new], r[new]
                 of = np.zeros(part.num_rows, np.uint64)
                 np.add.at(of, r, mix(h))
                 yield part.column(0).to_numpy(), r, h, of.view(np.int64)
@@ -254,41 +294,47 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINED, label_co
     q = (n1 + 1) / (n1 + n0 + 2)
     rest = F.col("n") - F.col("n1")
     surprise = F.col("n1") * F.log(F.col("n1") / (F.col("n") * q)) + F.when(rest > 0, rest * F.log(rest / (F.col("n") * (1 - q)))).otherwise(0)
-    lexicon = pairs.groupBy("token").agg(F.sum("y").alias("n1"), F.count("*").alias("n")).where(f"n1 >= {least}").withColumn("odds", odds).where((F.col("odds") > BUCKETS[0]) & (surprise > SURPRISE)).select("token", "odds").toPandas()
+    lexicon = pairs.groupBy("token").agg(F.sum("y").alias("n1"), F.count("*").alias("n")).where(f"n1 >= {least}").withColumn("odds", odds).where((F.col("odds") > LEAST_ODDS) & (surprise > SURPRISE)).select("token", "odds").toPandas()
     keys = lexicon["token"].to_numpy(np.int64).view(np.uint64)
-    kinds = np.digitize(lexicon["odds"].to_numpy(float), BUCKETS)
     order = np.argsort(keys)
-    keys, kinds = keys[order], kinds[order]
-    sent = docs.sparkSession.sparkContext.broadcast((keys, kinds))
+    keys, first = keys[order], np.minimum(lexicon["odds"].to_numpy(float)[order], 6.0)
+    sent = docs.sparkSession.sparkContext.broadcast(keys)
 
     def sequences(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(*utf8(part.column(1)), IS_WORD, True, PREFIXES)
-                at, kind = _hits(words, *sent.value)
-                rows = words.rows[at]
-                cut = np.searchsorted(rows, np.arange(1, part.num_rows))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int32()), pa.array(np.diff(words.bounds)), pa.array([x.tolist() for x in np.split(at - words.bounds[rows], cut)], pa.list_(pa.int64())), pa.array([x.tolist() for x in np.split(kind, cut)], pa.list_(pa.int64()))], names=["y", "length", "at", "kind"])
+                at, of, place = _hits(words, sent.value)
+                rows, n = words.rows[at], part.num_rows
+                cut = lambda x, r: pa.array([v.tolist() for v in np.split(x, np.searchsorted(r, np.arange(1, n)))], pa.list_(pa.int64()))
+                order = np.argsort(of, kind="stable")
+                own = of[order] - np.searchsorted(rows, rows[of[order]])  # which hit of its text
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int32()), pa.array(np.diff(words.bounds)), cut(at - words.bounds[rows], rows), cut(own, rows[of[order]]), cut(place[order], rows[of[order]])], names=["y", "length", "at", "of", "key"])
 
-    got = known.mapInArrow(sequences, "y int, length long, at array<long>, kind array<long>").toPandas()  # about `most` rows
-    n_kinds = len(BUCKETS) + 1
+    got = known.mapInArrow(sequences, "y int, length long, at array<long>, of array<long>, key array<long>").toPandas()  # about `most` rows
 
     def columns(rows):
-        size = rows["at"].map(len).to_numpy(np.int64) if len(rows) else np.zeros(0, np.int64)
-        flat = lambda c: np.concatenate([np.asarray(x, np.int64) for x in rows[c]]) if size.sum() else np.zeros(0, np.int64)
-        return flat("kind"), flat("at"), np.repeat(np.arange(len(rows)), size), rows["length"].to_numpy(np.int64)
+        size, many = (rows[c].map(len).to_numpy(np.int64) for c in ("at", "of"))
+        flat = lambda c: np.concatenate([np.zeros(0, np.int64), *[np.asarray(x, np.int64) for x in rows[c]]])
+        return flat("at"), np.repeat(np.arange(len(rows)), size), rows["length"].to_numpy(np.int64), flat("of") + np.repeat(np.cumsum(size) - size, many), flat("key")
 
+    chain = np.array([-2.0, 0.0, 1.0, -6.0])
     if not len(got):
-        return Field(keys, kinds, np.full(n_kinds, -8.0), np.zeros(3), 0.0, (1.0, -3.0))
+        return Field(keys, first, chain, (1.0, -3.0))
     fitted = fitted_part(got)
-    kind, at, rows, lengths = columns(fitted)
-    emit, trans, start = _fit_field(kind, at, rows, lengths, fitted["y"].to_numpy() == 1, n_kinds)
-    field = Field(keys, kinds, emit, trans, start, (1.0, 0.0))
-    log_z, _ = marginals(field, *columns(got))
-    field.scale = _platt(np.clip(_any_toxic(log_z), -12, 12), got["y"].to_numpy(float))
+    start = np.concatenate([chain, first])
+    data, toxic = columns(fitted), fitted["y"].to_numpy() == 1
+    w = _minimise(lambda w: loss(w, data, toxic, start, RIDGE), start)
+    field = Field(keys, w[4:], w[:4], (1.0, 0.0))
+    field.scale = _platt(np.clip(_any_toxic(_scored(field, *columns(got))[0]), -12, 12), got["y"].to_numpy(float))
     return field
 
 
+def _scored(field: Field, at, rows, lengths, of, place):
+    extra = np.bincount(of, field.weights[place], len(at)) if len(of) else np.zeros(len(at))
+    return marginals(field.chain, np.clip(extra, -30, 30), at, rows, lengths)
+
+
 def tag(docs: DataFrame, field: Field, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score and spans (start and end in UTF-8 bytes, p) of each row; spans are tokens whose marginal is `least` or more.
 
@@ -305,14 +351,14 @@ def tag(docs: DataFrame, field: Field, least: float = 0.5, id_col: str = "doc_id
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(*utf8(part.column(1)), IS_WORD, True, PREFIXES)
-                at, kind = _hits(words, field.keys, field.kinds)
+                at, of, place = _hits(words, field.keys)
                 rows = words.rows[at]
-                log_z, p = marginals(field, kind, at - words.bounds[rows], rows, np.diff(words.bounds))
+                log_z, p = _scored(field, at - words.bounds[rows], rows, np.diff(words.bounds), of, place)
                 score = 1 / (1 + np.exp(-np.clip(a * np.clip(_any_toxic(log_z), -12, 12) + b, -500, 500)))
-                spans = [[] for _ in range(part.num_rows)]
-                for i in np.flatnonzero(p >= least).tolist():
-                    row, w = int(rows[i]), int(at[i])
-                    spans[row].append({"start": int(words.starts[w] - words.offsets[row]), "end": int(words.ends[w] - words.offsets[row]), "p": float(p[i])})
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())])))], names=["doc_id", "score", "spans"])
+                toxic = np.flatnonzero(p >= least)
+                tagged = [pa.array((x[at[toxic]] - words.offsets[rows[toxic]]).astype(np.int64)) for x in (words.starts, words.ends)]
+                cuts = np.searchsorted(rows[toxic], np.arange(part.num_rows + 1)).astype(np.int32)
+                spans = pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays([*tagged, pa.array(p[toxic])], names=["start", "end", "p"]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), spans], names=["doc_id", "score", "spans"])
 
     return docs.mapInArrow(judge, f"doc_id {id_type}, score double, spans array<struct<start:long,end:long,p:double>>")

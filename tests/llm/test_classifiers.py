@@ -37,6 +37,17 @@ def test_language(spark, docs):
     assert {r.lang_pred for r in language.identify(table(spark), language.learn_prototypes(empty(spark))).collect()} == {"und"}
 
 
+def test_many_letters_are_bound_in_parts(monkeypatch):
+    """Texts of scripts with many letters: bounded memory, and the same sums by every way."""
+    rng = np.random.default_rng(6)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FA5, 20_000))), "ab " * 300, "ÀÉ ünï"]
+    one = language.Space(64).bundles(texts)[0]
+    monkeypatch.setattr(language, "MOST_BOUND", 1 << 20)
+    assert (language.Space(64).bundles(texts)[0] == one).all() and abs(one[0]).sum() > 0
+    monkeypatch.setattr(language, "DENSE_SYMBOLS", 3)
+    assert (language.Space(64).bundles(texts[1:])[0] == one[1:]).all()
+
+
 def test_bundles_are_sums_of_bound_letters():
     space = language.Space(64, 5)
     v = {c: space._vector(ord(c)) for c in "ab "}
@@ -81,46 +92,61 @@ def test_discriminant_against_the_formula():
     assert np.allclose(model.score(x), 1 / (1 + np.exp(log[0] - log[1])))
 
 
-def brute_field(field, kinds, at, n):
-    """log Z and marginals by all 2 ** n labelings."""
-    of = dict(zip(at, kinds, strict=True))
-    total, toxic = 0.0, np.zeros(n)
+def brute_field(chain, extra, at, n):
+    """log Z, marginals and expected steps by all 2 ** n labelings."""
+    of, (a, b, c, g) = dict(zip(at, extra, strict=True)), chain
+    total, toxic, steps = 0.0, np.zeros(n), np.zeros((2, 2))
     for code in range(2**n):
-        y = [(code >> t) & 1 for t in range(n)]
-        w = field.start * y[0]
+        y, w, last, k = [(code >> t) & 1 for t in range(n)], 0.0, 0, np.zeros((2, 2))
         for t in range(n):
-            w += field.emit[of.get(t, 0)] * y[t]
-            if t:
-                w += [[0, field.trans[0]], [field.trans[1], field.trans[2]]][y[t - 1]][y[t]]
+            w += [[0, a], [b, c]][last][y[t]] + y[t] * (g + of.get(t, 0))
+            k[last, y[t]] += 1
+            last = y[t]
         total += np.exp(w)
         toxic += np.exp(w) * np.array(y)
-    return np.log(total), toxic / total
+        steps += np.exp(w) * k
+    return np.log(total), toxic / total, steps / total
+
+
+def some_hits(rng):
+    lengths, rows, at = rng.integers(0, 9, 4), [], []
+    for r, n in enumerate(lengths):
+        hits = np.flatnonzero(rng.random(n) < 0.4)
+        rows += [r] * len(hits)
+        at += hits.tolist()
+    return np.array(at, int), np.array(rows, int), lengths
 
 
 def test_forward_backward_against_all_labelings():
     rng = np.random.default_rng(8)
     for _ in range(40):
-        field = toxicity.Field(None, None, rng.normal(-1, 1.5, 5), rng.normal(0, 1, 3), float(rng.normal()), (1, 0))
-        lengths, rows, at, kinds = [], [], [], []
-        for r in range(4):
-            n = int(rng.integers(1, 9))
-            hits = np.flatnonzero(rng.random(n) < 0.4)
-            lengths.append(n)
-            rows += [r] * len(hits)
-            at += hits.tolist()
-            kinds += rng.integers(1, 5, len(hits)).tolist()
-        log_z, p = toxicity.marginals(field, np.array(kinds, int), np.array(at, int), np.array(rows, int), np.array(lengths))
-        for r, n in enumerate(lengths):
-            mine = [i for i, x in enumerate(rows) if x == r]
-            z, m = brute_field(field, [kinds[i] for i in mine], [at[i] for i in mine], n)
-            assert np.isclose(log_z[r], z) and np.allclose(p[mine], m[[at[i] for i in mine]])
+        chain, (at, rows, lengths) = rng.normal(0, 1, 4), some_hits(rng)
+        extra = rng.normal(1, 2, len(at))
+        log_z, p, steps = toxicity.marginals(chain, extra, at, rows, lengths, counted=True)
+        for r, n in enumerate(lengths.tolist()):
+            mine = rows == r
+            z, m, k = brute_field(chain, extra[mine], at[mine].tolist(), n)
+            assert np.isclose(log_z[r], z) and np.allclose(p[mine], m[at[mine]]) and np.allclose(steps[r], k)
+
+
+def test_the_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(9)
+    for _ in range(10):
+        at, rows, lengths = some_hits(rng)
+        of = np.append(np.arange(len(at)), rng.integers(0, max(1, len(at)), min(3, len(at))))
+        data = (at, rows, np.maximum(lengths, 1), of, rng.integers(0, 3, len(of)))
+        w, start, toxic = rng.normal(0, 1, 7), rng.normal(0, 1, 7), np.array([True, False, True, False])
+        value = lambda x: toxicity.loss(x, data, toxic, start, 1e-2)  # noqa: E731, B023
+        number = [(value(w + e)[0] - value(w - e)[0]) / 2e-6 for e in 1e-6 * np.eye(7)]
+        assert np.allclose(value(w)[1], number, atol=1e-6)
+        assert value(toxicity._minimise(value, w))[0] < value(w)[0]
 
 
 def test_toxicity(spark, labels):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     field = toxicity.learn(docs, labels)
     right = accuracy(toxicity.tag(docs, field), labels, "toxic", 0.5)
-    assert right[0] > 0.99 and right[1] > 0.8
+    assert right[0] > 0.99 and right[1] > 0.85
     probe = spark.createDataFrame([(1, "You are an Idiot, and stupid."), (2, "A kind word."), (3, None), (4, "")], "doc_id long, text string")
     got = {r.doc_id: r for r in toxicity.tag(probe, field).collect()}
     assert got[1].score >= 0.5 > max(got[k].score for k in (2, 3, 4))
