@@ -268,8 +268,8 @@ class SuffixIndex:
         def scan(batches):
             for n, owner, base, own in _whole_anchors(batches):
                 family = SuffixFamily(length)
-                for lo in range(0, len(own), 2048):
-                    family.add(own[lo : lo + 2048])
+                for lo in range(0, len(own), 1024):
+                    family.add(own[lo : lo + 1024])
                 some = np.flatnonzero((family.high >= 0) & (np.array(n) == 1))  # the others are wholly known already
                 rows = [owner[k] for k in some.tolist()]
                 shift = np.array(base, np.int64)[some]
@@ -284,20 +284,33 @@ _PIECE = {"anchor": pa.int64(), "sub": pa.binary(), "n": pa.int64(), "owner": _O
 _PIECE_TYPE = "anchor long, sub binary, n long, owner struct<anchor:long,content:binary>, base int, place int, bytes binary"
 
 
-def _whole_anchors(batches, least: int = 4096):
-    """(n, owner, base, bytes) of some thousand rows, never with a part of an anchor's rows only."""
-    held: list[list] = [[] for _ in range(5)]
+def _whole_anchors(batches, most: int = 2048):
+    """(n, owner, base, bytes) of up to `most` rows, never with a part of an anchor's rows only (so more if one anchor has more)."""
+    held: pa.Table | None = None
     for batch in batches:
-        for x, column in zip(held, batch.columns, strict=True):
-            x += column.to_pylist()
-        if len(held[0]) >= least:
-            keys = np.array(held[0], np.int64)
-            end = int(np.searchsorted(keys, keys[-1]))
-            if end:
-                yield tuple(x[:end] for x in held[1:])
-                held = [x[end:] for x in held]
-    if held[0]:
-        yield tuple(held[1:])
+        rows = pa.Table.from_batches([batch])
+        held = rows if held is None else pa.concat_tables([held, rows])
+        held, ready = _cut_before_last(held)
+        yield from _in_parts(ready, most)
+    if held is not None:
+        yield from _in_parts(held, most)
+
+
+def _cut_before_last(rows: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """The rows of the last anchor, which may go on in the next batch, and those before."""
+    keys = rows.column("anchor").to_numpy()
+    end = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+    return rows.slice(end), rows.slice(0, end)
+
+
+def _in_parts(rows: pa.Table, most: int):
+    keys = rows.column("anchor").to_numpy()
+    ends = np.append(np.flatnonzero(np.diff(keys)) + 1, len(keys)) if len(keys) else np.zeros(0, np.int64)
+    at = 0
+    while at < len(keys):
+        end = int(ends[max(np.searchsorted(ends, at, "right"), np.searchsorted(ends, at + most, "right") - 1)])
+        yield tuple(rows.column(c).slice(at, end - at).to_pylist() for c in ("n", "owner", "base", "bytes"))
+        at = end
 
 
 def repeats(docs: DataFrame, length: int = 200, text_col: str = "text", most_contents: int = MOST_CONTENTS, batches: int = BATCHES) -> DataFrame:
