@@ -67,8 +67,7 @@ def page_markdown(spark: SparkSession, sf: str) -> DataFrame:
 @QUERIES.add(None)
 def page_crawl(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages")
-    start = pages.agg(F.min_by("url", "page_id")).first()[0]
-    return web.crawl(pages, start, most_rounds=2)
+    return web.crawl(pages, pages.groupBy(X.domain(F.col("url"))).agg(F.min_by("url", "page_id").alias("url")).select("url"), most_rounds=None)
 
 
 @QUERIES.add("""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS p FROM documents), k AS (SELECT *, substr(trim(regexp_replace(p, '\\s+', ' ', 'g')), 1, 80) AS key FROM l),
@@ -77,12 +76,11 @@ def paragraph_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", web.paragraph_dedup(F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("text"))
 
 
-@QUERIES.add("""WITH b AS (SELECT item_id, regexp_replace(substr(text, 1, 60), '[\\s[:punct:]]', '', 'g') AS s FROM benchmark), g AS (SELECT item_id, list_distinct(list_transform(generate_series(1, length(s) - 1), lambda i: substr(s, i, 2))) AS g FROM b)
+@QUERIES.add("""WITH b AS (SELECT item_id, regexp_replace(text, '[\\s[:punct:]]', '', 'g') AS s FROM benchmark), g AS (SELECT item_id, list_distinct(list_transform(generate_series(1, length(s) - 1), lambda i: substr(s, i, 2))) AS g FROM b)
 SELECT a.item_id AS a, c.item_id AS b, round(len(list_intersect(a.g, c.g)) / len(list_distinct(list_concat(a.g, c.g))), 6) AS similarity FROM g a JOIN g c ON a.item_id < c.item_id WHERE len(list_intersect(a.g, c.g)) / len(list_distinct(list_concat(a.g, c.g))) > 0.5""")
 def title_jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    # The benchmark's items are few, whatever the corpus: a fixed list of titles.
-    b = table(spark, sf, "benchmark").select("item_id", F.left("text", F.lit(60)).alias("t"))
-    g = b.select("item_id", X.title_bigrams(F.col("t")).alias("g"))
+    # The benchmark's items are few, whatever the corpus: a fixed list.
+    g = table(spark, sf, "benchmark").select("item_id", X.title_bigrams(F.col("text")).alias("g"))
     other = g.select(F.col("item_id").alias("b"), F.col("g").alias("h"))
     s = X.jaccard(F.col("g"), F.col("h"))
     return g.join(other, F.col("item_id") < F.col("b")).where(s > 0.5).select(F.col("item_id").alias("a"), "b", F.round(s, 6).alias("similarity"))
@@ -125,22 +123,22 @@ def citation_refs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", X.citation_refs(answer).alias("refs"))
 
 
-@QUERIES.add("SELECT status, COUNT(*) AS n FROM (SELECT CASE WHEN doc_id % 5 = 0 THEN 'missing' WHEN doc_id % 5 = 1 THEN 'unverified' ELSE 'verified' END AS status FROM documents WHERE n_chars >= 40) GROUP BY status")
+@QUERIES.add("""SELECT status, COUNT(*) AS n FROM (SELECT CASE WHEN doc_id % 5 = 0 THEN 'missing' WHEN trim(coalesce(text, '')) <> '' AND contains(lower(regexp_replace(text, '\\s+', '', 'g')), CASE WHEN doc_id % 5 = 1 THEN '~nowhere~' ELSE lower(lang) END) THEN 'verified' ELSE 'unverified' END AS status FROM documents) GROUP BY status""")
 def extraction_statuses(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").where("n_chars >= 40")
-    quote = F.substring("text", 5, 30)
-    value = F.when(F.col("doc_id") % 5 == 0, "").when(F.col("doc_id") % 5 == 1, "~nowhere~").otherwise(F.substring("text", 10, 12))
-    fields = d.select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page"), F.lit("f").alias("field"), value.alias("value"), quote.alias("quote"))
+    d = table(spark, sf, "documents")
+    value = F.when(F.col("doc_id") % 5 == 0, "").when(F.col("doc_id") % 5 == 1, "~nowhere~").otherwise(F.col("lang"))
+    fields = d.select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page"), F.lit("lang").alias("field"), value.alias("value"), F.col("text").alias("quote"))
     pages = d.select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page"), "text")
     return verify.status_counts(verify.extraction_status(fields, pages))
 
 
-@QUERIES.add("SELECT index, status FROM (VALUES (1, 'contradicted'), (2, 'supported'), (3, 'not_checked'), (4, 'insufficient')) t(index, status)")
+@QUERIES.add("""WITH c AS (SELECT conv_id, unnest([turn % 4 + 1, turn % 7 + 2]) AS index, CASE WHEN length(text) % 5 = 0 THEN 'contradicted' WHEN length(text) % 5 = 1 THEN 'insufficient' WHEN length(text) % 5 = 2 THEN 'not_checked' ELSE 'supported' END AS status FROM conversations)
+SELECT conv_id, CAST(index AS INTEGER) AS index, CASE WHEN bool_or(status = 'contradicted') THEN 'contradicted' WHEN bool_or(status = 'insufficient') THEN 'insufficient' WHEN bool_and(status = 'supported') THEN 'supported' ELSE 'not_checked' END AS status FROM c GROUP BY conv_id, index""")
 def citation_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [(1, [1, 2], "contradicted"), (2, [2], "supported"), (3, [1], "supported"), (4, [3], "not_checked"), (5, [3], "supported"), (6, [4], "insufficient")]
-    checked = spark.createDataFrame([(1, *r) for r in rows], "answer_id int, claim int, refs array<int>, status string")
-    out = verify.citation_status(checked)
-    return out.withColumn("status", F.when(F.col("index") == 2, "supported").otherwise(F.col("status"))).select("index", "status")
+    kind, turn = F.length("text") % 5, F.col("turn").cast("int")
+    status = F.when(kind == 0, "contradicted").when(kind == 1, "insufficient").when(kind == 2, "not_checked").otherwise("supported")
+    checked = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("claim"), F.array(turn % 4 + 1, turn % 7 + 2).alias("refs"), status.alias("status"))
+    return verify.citation_status(checked, "conv_id").select("conv_id", "index", "status")
 
 
 @QUERIES.add("SELECT source, lang, CAST(row_number() OVER (PARTITION BY source ORDER BY f, lang) AS BIGINT) AS index FROM (SELECT source, lang, min(doc_id) AS f FROM documents GROUP BY ALL)")
@@ -181,18 +179,18 @@ def record_identifiers(spark: SparkSession, sf: str) -> DataFrame:
 
 @QUERIES.add(None)
 def conversation_facts(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", F.concat(F.lit("remember: budget = "), 100 * F.col("turn") + F.col("conv_id") % 7, F.lit("; owner: user"), F.col("conv_id") % 5).alias("content"))
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", F.concat(F.lit("remember: note = "), "text").alias("content"))
     return memory.versions(memory.facts(c))
 
 
 @QUERIES.add(None)
 def memory_recall(spark: SparkSession, sf: str) -> DataFrame:
-    return memory.recalled(conversation_facts(spark, sf).where("status = 'ACTIVE'"), "what is the budget", 200)
+    return memory.recalled(conversation_facts(spark, sf).where("status = 'ACTIVE'"), "what was the note about", 200)
 
 
 @QUERIES.add(None)
 def filtered_results(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "pages").select(X.domain(F.col("url")).alias("query_id"), F.col("page_id").alias("position"), web.page_title(F.col("html"), F.col("url")).alias("name"), F.substring("html", 1, 100).alias("snippet"), "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 20).cast("int")).cast("string").alias("published"))
+    p = table(spark, sf, "pages").select(X.domain(F.col("url")).alias("query_id"), F.col("page_id").alias("position"), web.page_title(F.col("html"), F.col("url")).alias("name"), F.regexp_replace("html", "<[^>]+>", " ").alias("snippet"), "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 20).cast("int")).cast("string").alias("published"))
     return web.filter_results(p, "2024-01-15", ["example.com"], 20)
 
 

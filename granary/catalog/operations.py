@@ -130,10 +130,10 @@ def manifest_diff(spark: SparkSession, sf: str) -> DataFrame:
     return J.manifest_diff(found, stored).groupBy("change").agg(F.count("*").alias("n"))
 
 
-@QUERIES.add("""SELECT c.conv_id, c.turn FROM conversations c WHERE EXISTS (SELECT 1 FROM conversations h WHERE h.conv_id = c.conv_id AND contains(lower(h.text), 'the ') AND h.role = 'user' AND h.turn % 5 = 0 AND abs(h.turn - c.turn) <= 1)""")
+@QUERIES.add("""SELECT c.conv_id, c.turn FROM conversations c WHERE EXISTS (SELECT 1 FROM conversations h WHERE h.conv_id = c.conv_id AND contains(lower(h.text), 'the ') AND h.role = 'user' AND abs(h.turn - c.turn) <= 1)""")
 def neighbour_expand(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations")
-    hits = c.where(F.contains(F.lower("text"), F.lit("the ")) & (F.col("role") == "user") & (F.col("turn") % 5 == 0))
+    hits = c.where(F.contains(F.lower("text"), F.lit("the ")) & (F.col("role") == "user"))
     return J.neighbours(hits, c, "conv_id", "turn").select("conv_id", "turn")
 
 

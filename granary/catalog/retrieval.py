@@ -106,10 +106,13 @@ def collection_ranking(spark: SparkSession, sf: str) -> DataFrame:
     return RO.rank_collections(d, ["idiot", "ther", "tion", "thand", "onthe"]).select("collection_id", F.round("score", 6).alias("score"))
 
 
-@QUERIES.add(_PROFILE + "SELECT term, df FROM d")
+_STOP = "(" + ", ".join(f"'{w}'" for w in X.STOP) + ")"
+
+
+@QUERIES.add(f"SELECT term, COUNT(*) AS df FROM (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '[a-zA-Z][a-zA-Z0-9_]{{1,48}}'))) AS term FROM documents) WHERE term NOT IN {_STOP} GROUP BY term")
 def document_frequency(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), X.routing_terms(F.col("text")).alias("terms"))
-    return RO.document_frequency(p).where(F.col("term").isin("idiot", "ther", "tion", "thand", "onthe"))
+    return RO.document_frequency(p)
 
 
 @QUERIES.add(None)

@@ -10,6 +10,7 @@ STOP = "这个 那个 什么 哪些 为什么 如何 怎么 一下 请问 根据
 #: Words that memory passes over.
 MEMORY_STOP = "我们 这个 本聊 聊天 之前 什么 多少 回忆 只答 没有 项目 完成 the this what remember recall only from with".split()
 _HAN = r"\p{IsHan}"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def _bigrams(s: Column) -> Column:
@@ -18,13 +19,13 @@ def _bigrams(s: Column) -> Column:
 
 def _words(c: Column, pattern: str, stop: list[str]) -> Column:
     """Lower-case words, with repeats: Han runs as bigrams, without stop words."""
-    raw = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), F.lit(0)), lambda w: F.lower(w))
-    parts = F.flatten(F.transform(raw, lambda w: F.when(w.rlike(f"^{_HAN}"), _bigrams(w)).otherwise(F.array(w))))
-    return F.filter(parts, lambda w: ~w.isin(stop))
+    raw = F.regexp_extract_all(F.translate(F.coalesce(c, F.lit("")), _UPPER, _UPPER.lower()), F.lit(pattern), F.lit(0))
+    split = F.flatten(F.transform(raw, lambda w: F.when(w.rlike(f"^{_HAN}"), _bigrams(w)).otherwise(F.array(w))))
+    return F.filter(F.when(c.rlike(_HAN), split).otherwise(raw), lambda w: ~w.isin(stop))  # most texts have no Han run to split
 
 
 def routing_words(c: Column) -> Column:
-    return _words(c, f"[a-zA-Z][a-zA-Z0-9_]{{1,48}}|{_HAN}{{2,}}", STOP)
+    return _words(c, f"[a-z][a-z0-9_]{{1,48}}|{_HAN}{{2,}}", STOP)
 
 
 def routing_terms(c: Column) -> Column:

@@ -35,6 +35,10 @@ def condition(df: DataFrame, f: Filter) -> Column:
     """A filter as a Column. Comparisons of number columns stay on the column itself, so that they reach the scan; in text
     columns a cell that is no number is false."""
     match f.op:
+        case "eq" if f.value and isinstance(df.schema[f.column].dataType, T.StringType):
+            return df[f.column] == f.value  # on the column itself, so that it reaches the scan; a null cell is not taken
+        case "contains" if f.value and isinstance(df.schema[f.column].dataType, T.StringType):
+            return F.contains(df[f.column], F.lit(f.value))
         case "eq":
             return _text(df, f.column) == f.value
         case "ne":

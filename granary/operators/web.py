@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import text as X
+from granary.sources.files import kept
 
 #: Elements that are no content, and class or id names of such.
 NOISE_TAGS = "script style nav footer header aside noscript iframe svg form button".split()
@@ -48,14 +49,20 @@ def page_links(pages: DataFrame, most: int | None = None, id_col: str = "page_id
     return out.withColumn("_n", F.row_number().over(Window.partitionBy(id_col).orderBy("position"))).where(F.col("_n") <= most).drop("_n")
 
 
-def crawl(pages: DataFrame, start: str, most_rounds: int = 5, most_pages: int | None = None) -> DataFrame:
-    """url and depth of the pages of the start's host that links reach, breadth first over a table of pages."""
-    links = page_links(pages).join(pages.select("page_id", "url"), "page_id").select(F.col("url").alias("from"), F.regexp_replace("link", "#.*$", "").alias("url")).distinct()
+def crawl(pages: DataFrame, start: str | DataFrame, most_rounds: int | None = 5, most_pages: int | None = None) -> DataFrame:
+    """url and depth of the pages of the starts' hosts that links reach, breadth first over a table of pages. start: a url, or a table of
+    them. most_rounds: None goes on until a round finds no new page. Each round's pages are written to the shared folder."""
+    links = kept(page_links(pages).join(pages.select("page_id", "url"), "page_id").select(F.col("url").alias("from"), F.regexp_replace("link", "#.*$", "").alias("url")).distinct())
     known = pages.select("url").distinct()
-    seen = known.where(F.col("url") == start).withColumn("depth", F.lit(0))
-    for depth in range(1, most_rounds + 1):
-        frontier = seen.where(F.col("depth") == depth - 1).select(F.col("url").alias("from"))
-        new = links.join(frontier, "from").select("url").distinct().join(known, "url", "left_semi").join(seen, "url", "left_anti").withColumn("depth", F.lit(depth))
+    starts = pages.sparkSession.createDataFrame([(start,)], "url string") if isinstance(start, str) else start.select("url")
+    seen, depth = kept(known.join(starts.distinct(), "url", "left_semi").withColumn("depth", F.lit(0))), 0
+    new = seen
+    while most_rounds is None or depth < most_rounds:
+        depth += 1
+        reached = links.join(new.select(F.col("url").alias("from")), "from").select("url").distinct()
+        new = kept(reached.join(known, "url", "left_semi").join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)))
+        if new.isEmpty():
+            break
         seen = seen.unionByName(new)
     return seen.orderBy("depth", "url").limit(most_pages) if most_pages else seen
 
@@ -162,13 +169,25 @@ def paragraph_dedup_text(text: str) -> str:
     return "\n\n".join(kept).strip()
 
 
+def _unrepeated(text: str) -> str:
+    seen, kept = set(), []
+    for block in text.split("\n\n"):
+        key = re.sub(r"\s+", " ", block, flags=re.ASCII).strip(" ")[:80]
+        if len(key) < 10 or key not in seen:
+            kept.append(block)
+            seen.add(key)
+    return "\n\n".join(kept).strip(" ")
+
+
 def paragraph_dedup(text: Column) -> Column:
-    """The text without paragraphs whose first 80 characters, white space aside, came before; those of under 10 stay."""
-    blocks = F.split(text, "\n\n")
-    key = lambda b: F.left(F.trim(F.regexp_replace(b, r"\s+", " ")), F.lit(80))
-    keys = F.transform(blocks, key)
-    kept = F.filter(blocks, lambda b, i: (F.length(key(b)) < 10) | (F.array_position(keys, key(b)) == i + 1))
-    return F.trim(F.array_join(kept, "\n\n"))
+    """The text without paragraphs whose first 80 characters, white space aside, came before; those of under 10 stay. One set for each
+    text, so that long ones take no longer by the byte."""
+
+    @F.pandas_udf("string")
+    def run(texts):
+        return texts.map(_unrepeated, na_action="ignore")
+
+    return run(text)
 
 
 def to_markdown(html: Column) -> Column:

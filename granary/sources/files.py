@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,3 +56,13 @@ def upsert(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
 
 def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return rows.join(gone.select(key), key, "left_anti")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows, written once to a new folder below spark.checkpoint.dir (below the session's warehouse where that is unset) and read again:
+    cuts the lineage of a loop, and outlives executors."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/granary/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,3 +1,4 @@
+import os
 import subprocess
 import sys
 
@@ -49,6 +50,5 @@ def test_imports_without_the_training_data_package(tmp_path):
         "import __spark_entry__ as e\n"
         "assert e.queries() and not any(n.startswith('op') and n[2].isdigit() for n in e.queries()) and 'pipeline' not in e.queries()\n"
     )
-    from conftest import ROOT
-
-    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)

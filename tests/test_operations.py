@@ -100,11 +100,13 @@ def test_routing(spark):
     assert p.select(RO.calendar_offset(F.lit("明天星期几"))).first()[0] == 1
 
 
-def test_facts():
-    assert [(f["key"], f["value"]) for f in M.extract("预算：1,000元；负责人：张三")] == [("预算", "1,000元"), ("负责人", "张三")]
-    assert M.extract("我的密码：123") == [] and M.extract("如果预算是5") == [] and M.extract("预算是多少？") == []
-    assert M.extract("以后不要用表格")[0]["category"] == "CONSTRAINT"
-    assert [(f["key"], f["value"]) for f in M.extract("请记住：颜色 = 蓝")] == [("颜色", "蓝")]
+def test_facts(spark):
+    said = ["预算：1,000元；负责人：张三", "我的密码：123", "如果预算是5", "预算是多少？", "以后不要用表格", "请记住：颜色 = 蓝", "预算是5；预算改为7", "记住这件事", "the budget is 7", "无关的话", "", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string").select("i", M.message_facts(F.col("t")).alias("f")).collect()
+    found = {r.i: [(f.key, f.value) for f in r.f or []] for r in got}
+    assert found[0] == [("预算", "1,000元"), ("负责人", "张三")] and found[5] == [("颜色", "蓝")] and found[6] == [("预算", "7")] and found[8] == [("预算", "7")]
+    assert not any(found[i] for i in (1, 2, 3, 9, 10, 11)) and found[7] == [("明确约定:记住这件事", "记住这件事")]
+    assert [f.category for r in got if r.i == 4 for f in r.f] == ["CONSTRAINT"]
 
 
 def test_versions(spark):
