@@ -120,26 +120,34 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
-#: Bits of the bitmap of a key filter: 8 MB, whatever the number of keys.
-FILTER_BITS = 26
-
-
-def key_filter(keys: DataFrame, column: str, bits: int = FILTER_BITS):
-    """A function of a column of 64-bit hashes: false only where no row of keys has the hash in `column`. What it holds is a bitmap of
-    2 ** bits bits, made in the cluster; with very many keys it lets everything through, and the join that follows does all."""
-    low = F.col(column).bitwiseAND((1 << bits) - 1)
-    words = keys.where(F.col(column).isNotNull()).select(F.shiftright(low, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast({column} & 63L as int))").alias("bit"))
-    made = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
-    held = np.zeros(1 << (bits - 6), np.uint64)
-    held[made.column("word").to_numpy()] = made.column("bit").to_numpy().view(np.uint64)
-    sent = keys.sparkSession.sparkContext.broadcast(held)
-
-    @F.arrow_udf("boolean")
-    def known(hashes: pa.Array) -> pa.Array:
-        return pa.array(in_filter(sent.value, hashes.to_numpy(zero_copy_only=False)))
-
-    known.held = sent
-    return known
+#: Bits of the bitmap of a key filter: 4 MB, whatever the number of keys.
+FILTER_BITS = 25
+
+
+class KeyFilter:
+    """A bitmap of 2 ** FILTER_BITS bits of the 64-bit hashes in a column of keys: rows whose hash it lacks are certain to have none of
+    the keys. With very many keys it lets everything through, and the join that follows does all. The bitmap is a table of at
+    most 2 ** (FILTER_BITS - 6) words, which is what bounds the broadcasts of it."""
+
+    def __init__(self, keys: DataFrame, column: str) -> None:
+        low = F.col(column).bitwiseAND((1 << FILTER_BITS) - 1)
+        words = keys.where(F.col(column).isNotNull()).select(F.shiftright(low, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(`{column}` & 63L as int))").alias("bits"))
+        self.words = stored(words.groupBy("word").agg(F.bit_or("bits").alias("bits")), "bitmap")
+
+    def split(self, df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+        """The rows of df whose hash in `column` may be one of the keys, and those whose hash is none."""
+        word, bits = fresh(df, "bitmap_word"), fresh(df, "bitmap_bits")
+        at = F.shiftright(F.col(column).bitwiseAND((1 << FILTER_BITS) - 1), 6).cast("int")
+        marked = df.join(F.broadcast(self.words.toDF(word, bits)), at == F.col(word), "left")
+        hit = F.expr(f"coalesce(shiftright(`{bits}`, cast(`{column}` & 63L as int)) & 1L, 0L) = 1L")
+        return marked.where(hit).select(df.columns), marked.where(~hit).select(df.columns)
+
+    def sent(self):
+        """The bitmap as a broadcast array of 64-bit words, for in_filter()."""
+        made = self.words.toArrow()
+        held = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+        held[made.column("word").to_numpy()] = made.column("bits").to_numpy().view(np.uint64)
+        return self.words.sparkSession.sparkContext.broadcast(held)
 
 
 def in_filter(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:

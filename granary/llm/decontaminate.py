@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, byte_set, covered, fresh, in_filter, key_filter, per_row, pick, slices, stored, text_column, utf8, windows
+from .common import KeyFilter, Words, byte_set, covered, fresh, in_filter, per_row, pick, slices, stored, text_column, utf8, windows
 
 #: A-Z count as a-z; words are runs of ASCII letters, digits and any other characters beyond ASCII.
 OUTSIDE = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -151,7 +151,7 @@ def joined_hits(docs: DataFrame, items: DataFrame, n: int, item_col: str = "item
 
     grams = pick(items, item=item_col, text=item_text).where(F.octet_length("text") > 0).select(F.col("item").cast("string").alias("item"), "text")
     grams = stored(grams.mapInArrow(item_rows, "item string, hash long, words string").distinct(), "grams")
-    held = key_filter(grams, "hash").held
+    held = KeyFilter(grams, "hash").sent()
 
     def doc_rows(batches):
         for batch in batches:
@@ -236,10 +236,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 13, remove: str =
 def _decontaminate_joined(docs: DataFrame, hits: DataFrame, remove: str, text_col: str) -> DataFrame:
     names = [fresh(docs, c) for c in ("text_hash", "text_sum", "n_hit", "spans")]
     hits = hits.select("text_hash", "text_sum", "n_hit", "spans").toDF(*names)
-    known = key_filter(hits, names[0])
     keyed = docs.withColumns(dict(zip(names, _keys(docs[text_col]), strict=False)))
-    rest = keyed.where(~known(F.col(names[0]))).select(docs.columns)
-    met = keyed.where(known(F.col(names[0]))).join(hits, names[:2], "left")
+    met, rest = KeyFilter(hits, names[0]).split(keyed, names[0])
+    rest, met = rest.select(docs.columns), met.join(hits, names[:2], "left")
     if remove == "documents":
         words = text_column("long", lambda t: pa.array(np.diff(_words(t).bounds)))(F.col(text_col))
         return rest.union(met.where(F.col(names[2]).isNull() | (20 * F.col(names[2]) < words)).select(docs.columns))

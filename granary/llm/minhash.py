@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .common import SPACE_BYTES, Words, byte_set, fresh, in_filter, key_filter, mix, pick, rng_table, slices, stored, utf8, windows
+from .common import SPACE_BYTES, KeyFilter, Words, byte_set, fresh, in_filter, mix, pick, rng_table, slices, stored, utf8, windows
 
 IS_WORD = byte_set(SPACE_BYTES)
 #: A pair of similarity 0.8 misses all of 32 bands of 4 coordinates with probability 5e-8; one of 0.2 meets with 5e-2.
@@ -110,7 +110,7 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
 def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """cid and shingles (sorted 64-bit hashes) of the wanted classes (cid, content, at), from the rows they name. Texts do not move: a
     task makes the sets of the rows in a bitmap of `at`, and only sets are joined."""
-    held = key_filter(wanted, "at").held
+    held = KeyFilter(wanted, "at").sent()
 
     def make(batches):
         for batch in batches:
@@ -293,10 +293,9 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_
     rows = found.groupBy("doc_id", "at").agg(F.count("*").alias("n"), F.bool_and(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
     marked = stored(rows.where("n > 1 or not kept").select(F.col("doc_id").alias(name), F.col("at").alias(key), "kept"), "verdicts")
     gone, again = (stored(marked.where(c).drop("kept"), "verdicts") for c in ("not kept", "kept"))
-    known = key_filter(marked, key)  # rows outside it, most of them, stay where they are
-    keyed = docs.withColumn(key, F.xxhash64(docs[id_col], docs[text_col]))
-    met = keyed.where(known(F.col(key)))
+    # Rows outside the bitmap, most of them, stay where they are.
+    met, rest = KeyFilter(marked, key).split(docs.withColumn(key, F.xxhash64(docs[id_col], docs[text_col])), key)
     same = lambda other: [met[key] == other[key], met[id_col].eqNullSafe(other[name])]
     repeated = met.join(again, same(again), "left_semi").dropDuplicates([id_col, text_col])
     left = met.join(gone, same(gone), "left_anti").join(again, same(again), "left_anti")
-    return keyed.where(~known(F.col(key))).union(left).union(repeated).select(docs.columns)
+    return rest.union(left).union(repeated).select(docs.columns)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import key_filter, pick, slices, stored
+from .common import KeyFilter, pick, slices, stored
 
 
 def combinations(lengths: np.ndarray, width: int) -> np.ndarray:
@@ -176,8 +176,8 @@ def pack(docs: DataFrame, tokenizer: str, width: int = 1024, end_id: int = 0, id
     whole = placed.where("first_part = 0").select(names)
     split = placed.where("first_part > 0")
     split = stored(split.drop("doc_id", "ids_crc32").withColumn("key", F.xxhash64("part", "length", "at")), "split")
-    known = key_filter(split, "key")  # only the ids of pieces that are cut move
-    again = pieces.where((F.col("length") < width) & known(F.xxhash64("part", "length", "at"))).select("part", "length", "at", "doc_id", "ids").join(split, ["part", "length", "at"])
+    shorter = pieces.where(F.col("length") < width).select("part", "length", "at", "doc_id", "ids", F.xxhash64("part", "length", "at").alias("key"))
+    again = KeyFilter(split, "key").split(shorter, "key")[0].drop("key").join(split, ["part", "length", "at"])
     columns = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "first_part", "ids"]
 
     def halves(batches):

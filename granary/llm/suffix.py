@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Runs, covered, fresh, key_filter, mix, pick, slices, stored, utf8, windows
+from .common import KeyFilter, Runs, covered, fresh, mix, pick, slices, stored, utf8, windows
 
 KMER = 80
 #: Unlike contents under one anchor beyond which they are cut in two, with longer anchors.
@@ -197,8 +197,7 @@ class SuffixIndex:
         text that is needed moves."""
         wanted = doubts.select(*[F.col(f"rep.{c}").alias(c) for c in _KEYS], F.struct("anchor", "content", "n", "rep.start", "rep.count", "rep.place").alias("w"))
         wanted = stored(wanted.groupBy(_KEYS).agg(F.collect_list("w").alias("wanted")), "wanted")  # of one text each
-        known = key_filter(wanted, "text_hash")
-        texts = _keyed(_all([x for _, _, x in self.levels])).where(known(F.col("text_hash"))).groupBy(_KEYS).agg(F.first("text").alias("text"))
+        texts = KeyFilter(wanted, "text_hash").split(_keyed(_all([x for _, _, x in self.levels])), "text_hash")[0].groupBy(_KEYS).agg(F.first("text").alias("text"))
         length = self.length
 
         def cut(batches):
@@ -224,10 +223,10 @@ class SuffixIndex:
             hot = stored(pieces.groupBy("anchor").count().where(F.col("count") > self.most_contents), "hot")
             if not hot.count():
                 break
-            is_hot = key_filter(hot, "anchor")
-            found.append(self._scanned(pieces.where(~is_hot(F.col("anchor")))))
+            crowded, calm = KeyFilter(hot, "anchor").split(pieces, "anchor")
+            found.append(self._scanned(calm))
             cuts = [c for lo, hi in cuts for c in (((lo + hi) // 2, hi), (lo, (lo + hi) // 2)) if c[0] < c[1]]
-            halves = stored(self._halves(pieces.where(is_hot(F.col("anchor"))), cuts), "halves")
+            halves = stored(self._halves(crowded, cuts), "halves")
             # Halves of equal bytes are repeats; one of each goes on.
             per = stored(halves.groupBy("anchor", "sub").agg(F.count("*").alias("k"), F.max("n").alias("n"), *[F.first(c).alias(c) for c in ("owner", "base", "place", "bytes")]), "halves")
             equal = halves.join(per.where("k > 1").select("anchor", "sub"), ["anchor", "sub"])
@@ -344,10 +343,11 @@ def _with_spans(docs: DataFrame, length: int, text_col: str, most_contents: int,
     fixed size lets through."""
     found = stored(repeats(docs, length, text_col, most_contents, batches), "spans")
     names = [fresh(docs, c) for c in (*_KEYS, "spans")]
-    known, found = key_filter(found, "text_hash"), found.toDF(*names)
+    known, found = KeyFilter(found, "text_hash"), found.toDF(*names)
     keyed = docs.withColumns({names[0]: F.xxhash64(docs[text_col]), names[1]: F.crc32(docs[text_col].cast("binary"))})
-    met = keyed.where(known(F.col(names[0]))).join(found, names[:2], "left").select(*docs.columns, names[2])
-    rest = keyed.where(~known(F.col(names[0]))).select(*docs.columns, F.lit(None).cast(found.schema[names[2]].dataType).alias(names[2]))
+    met, rest = known.split(keyed, names[0])
+    met = met.join(found, names[:2], "left").select(*docs.columns, names[2])
+    rest = rest.select(*docs.columns, F.lit(None).cast(found.schema[names[2]].dataType).alias(names[2]))
     return rest.union(met), names[2]
 
 
@@ -367,7 +367,7 @@ def repeat_digests(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     id_type = cut.schema["doc_id"].dataType.simpleString()
 
     def digest(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             n, removed, count, sha = [], [], [], []
             for text, spans in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 raw = text.as_buffer().to_pybytes()
@@ -388,6 +388,10 @@ def remove_repeats(docs: DataFrame, length: int = 200, text_col: str = "text", m
 
     @F.arrow_udf("string")
     def keep(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        return pa.array([t if s is None else _kept(t.encode(), s).decode(errors="ignore") for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
+        out = []
+        for part in slices(pa.RecordBatch.from_arrays([texts, spans], names=["text", "spans"]), "text"):
+            own = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+            out.append(pa.array([t if s is None else _kept(t.encode(), s).decode(errors="ignore") for t, s in own], pa.string()))
+        return pa.concat_arrays(out) if out else texts
 
     return cut.select(*[F.when(cut[name].isNull(), cut[c]).otherwise(keep(cut[c], cut[name])).alias(c) if c == text_col else cut[c] for c in docs.columns])

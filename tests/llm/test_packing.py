@@ -44,8 +44,7 @@ def test_cases(spark, width):
     library = Tokenizer.from_file(tokenizer_path())
     ids = lambda t: np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], np.uint32)
     data = [(r[0], r[1]) for r in rows()]
-    for sent in (1000, 0):
-        assert check(pack(table(spark), tokenizer_path(), width, most_sent=sent), data, width, ids) < width
+    assert check(pack(table(spark), tokenizer_path(), width), data, width, ids) < width
     assert pack(empty(spark), tokenizer_path(), width).collect() == []
 
 
