@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import hashlib
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -51,12 +53,40 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/granary/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """A stretch of work whose stored tables are deleted when it ends, but for those stored with keep=True (they go with the stretch
+    around it, if there is one). What is kept must not need the others. An error leaves the tables where they are."""
+    _scopes.append([])
+    try:
+        yield
+    except BaseException:
+        _scopes.pop()
+        raise
+    for path in _scopes.pop():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    tidy(spark)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes the rows to the shared folder and reads them again: cuts the lineage, and a lost executor costs nothing
     that was already written."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
+    at = -2 if keep else -1
+    if len(_scopes) >= -at:
+        _scopes[at].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

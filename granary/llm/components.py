@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import scratch, stored
 
 #: A node with more than this share of all edges is a hub. Ends of edges are twice as many as edges, so there are at most
 #: twice 1 / HUB_SHARE hubs, whatever the number of edges.
@@ -29,21 +29,22 @@ def components(edges: DataFrame) -> DataFrame:
     logarithm of a component's width, and it goes on until a round changes nothing. A node of many edges is only ever
     aggregated with partial sums or met by a broadcast.
     """
-    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    nodes = now.select("u").union(now.select("v")).distinct()
-    state, last = _state(now), None
-    while state[0] and state != last:
-        most = max(1.0, HUB_SHARE * state[0])
-        # Large star: every greater neighbour of a node is put below the node's least neighbour.
-        both = now.union(now.select("v", "u").toDF("u", "v"))
-        least = stored(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
-        large = stored(_with_least(both.where("v > u"), least, most).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        # Small star: a node and its lesser neighbours are put below the least of them.
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
-        small = _with_least(large, least, most).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(small.union(least.select("u", "m")).distinct(), "edges")
-        state, last = _state(now), state
-    return stored(nodes.join(now, "u", "left").select(F.col("u").alias("node"), F.coalesce("v", "u").alias("label")), "components")
+    with scratch(edges.sparkSession):
+        now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+        nodes = now.select("u").union(now.select("v")).distinct()
+        state, last = _state(now), None
+        while state[0] and state != last:
+            most = max(1.0, HUB_SHARE * state[0])
+            # Large star: every greater neighbour of a node is put below the node's least neighbour.
+            both = now.union(now.select("v", "u").toDF("u", "v"))
+            least = stored(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+            large = stored(_with_least(both.where("v > u"), least, most).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+            # Small star: a node and its lesser neighbours are put below the least of them.
+            least = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+            small = _with_least(large, least, most).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            now = stored(small.union(least.select("u", "m")).distinct(), "edges")
+            state, last = _state(now), state
+        return stored(nodes.join(now, "u", "left").select(F.col("u").alias("node"), F.coalesce("v", "u").alias("label")), "components", keep=True)
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .common import SPACE_BYTES, KeyFilter, Words, byte_set, fresh, in_filter, mix, pick, rng_table, slices, stored, utf8, windows
+from .common import SPACE_BYTES, KeyFilter, Words, byte_set, fresh, in_filter, mix, pick, rng_table, scratch, slices, stored, utf8, windows
 
 IS_WORD = byte_set(SPACE_BYTES)
 #: A pair of similarity 0.8 misses all of 32 bands of 4 coordinates with probability 5e-8; one of 0.2 meets with 5e-2.
@@ -236,32 +236,34 @@ def _open_jobs(large: DataFrame, labels: DataFrame, block: int) -> DataFrame:
 
 def _labelled(docs: DataFrame, width: int, percent: int, hot: int, block: int) -> DataFrame:
     """doc_id, at, n_shingles and component_id of each row of docs (doc_id, text)."""
-    made = stored(sketched(docs, width), "sketches")
-    classes = made.where("content is not null").groupBy("content").agg(F.min("doc_id").alias("min_id"), F.min(F.struct("doc_id", "at")).alias("rep"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")  # numbers that stay: they are written
-    banded = classes.select("cid", F.col("n").cast("int").alias("n"), F.explode("bands").alias("bucket"))
-    counts = banded.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n").alias("total")).where("members > 1")
-    members = stored(banded.join(counts, "bucket"), "buckets")
-    large = members.where(F.col("members") > hot)
-
-    small = members.where(F.col("members") <= hot).select("bucket", "cid", "n")
-    other = small.select("bucket", F.col("cid").alias("b"), F.col("n").alias("m"))
-    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    pairs = stored(small.join(other, "bucket").where((F.col("cid") < F.col("b")) & fits).select(F.col("cid").alias("a"), "b").distinct(), "pairs")
-
-    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(large.select("cid")).distinct()
-    wanted = stored(wanted.join(classes.select("cid", "content", "rep.at"), "cid"), "wanted")
-    sets = stored(whole_sets(docs, wanted, width), "sets")
-    near = components(_check_pairs(pairs, sets, percent).union(_check_blocks(_star_jobs(large, block), sets, percent)))
-    labels = near.select(F.col("node").alias("cid"), "label")
-    # What is left of hot buckets links whole components.
-    more = stored(_check_blocks(_open_jobs(large, labels, block), sets, percent), "links")
-    end = lambda c: more.join(labels.toDF(c, "to"), c, "left").select("a", "b", F.coalesce("to", c).alias("to"))
-    joined = end("a").toDF("a", "b", "x").join(end("b").toDF("a", "b", "y"), ["a", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    outer = components(joined).toDF("label", "outer")
-
-    known = classes.select("cid", "content", "min_id").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    linked = stored(known.join(outer, "label", "left").select("content", "min_id", F.coalesce("outer", "label").alias("label")), "linked")
+    with scratch(docs.sparkSession):
+        made = stored(sketched(docs, width), "sketches")
+        classes = made.where("content is not null").groupBy("content").agg(F.min("doc_id").alias("min_id"), F.min(F.struct("doc_id", "at")).alias("rep"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
+        classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")  # numbers that stay: they are written
+        banded = classes.select("cid", F.col("n").cast("int").alias("n"), F.explode("bands").alias("bucket"))
+        counts = banded.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n").alias("total")).where("members > 1")
+        members = stored(banded.join(counts, "bucket"), "buckets")
+        large = members.where(F.col("members") > hot)
+
+        small = members.where(F.col("members") <= hot).select("bucket", "cid", "n")
+        other = small.select("bucket", F.col("cid").alias("b"), F.col("n").alias("m"))
+        fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+        pairs = stored(small.join(other, "bucket").where((F.col("cid") < F.col("b")) & fits).select(F.col("cid").alias("a"), "b").distinct(), "pairs")
+
+        wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(large.select("cid")).distinct()
+        wanted = stored(wanted.join(classes.select("cid", "content", "rep.at"), "cid"), "wanted")
+        sets = stored(whole_sets(docs, wanted, width), "sets")
+        near = components(_check_pairs(pairs, sets, percent).union(_check_blocks(_star_jobs(large, max(1, block // 8)), sets, percent)))
+        labels = near.select(F.col("node").alias("cid"), "label")
+        # What is left of hot buckets links whole components.
+        more = stored(_check_blocks(_open_jobs(large, labels, block), sets, percent), "links")
+        end = lambda c: more.join(labels.toDF(c, "to"), c, "left").select("a", "b", F.coalesce("to", c).alias("to"))
+        joined = end("a").toDF("a", "b", "x").join(end("b").toDF("a", "b", "y"), ["a", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        outer = components(joined).toDF("label", "outer")
+
+        known = classes.select("cid", "content", "min_id").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        linked = stored(known.join(outer, "label", "left").select("content", "min_id", F.coalesce("outer", "label").alias("label")), "linked", keep=True)
+        made = stored(made.select("doc_id", "at", "content", "n_shingles"), "rows", keep=True)
     least = linked.groupBy("label").agg(F.min("min_id").alias("component_id"))
     found = linked.join(least, "label").select("content", "component_id")
     return made.select("doc_id", "at", "content", "n_shingles").join(found, "content", "left").select("doc_id", "at", "n_shingles", F.when(F.col("content").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
@@ -288,10 +290,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hot: int = 40, block: int = 512) -> DataFrame:
     """The rows of docs, with all their columns, without those that near_duplicates() doesn't keep: the document of the least
     id of each component stays. Of rows with the same id and text one stays."""
-    found = _labelled(pick(docs, doc_id=id_col, text=text_col), width, percent, hot, block)
     key, name = fresh(docs, "row_key"), fresh(docs, "row_id")
-    rows = found.groupBy("doc_id", "at").agg(F.count("*").alias("n"), F.bool_and(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
-    marked = stored(rows.where("n > 1 or not kept").select(F.col("doc_id").alias(name), F.col("at").alias(key), "kept"), "verdicts")
+    with scratch(docs.sparkSession):
+        found = _labelled(pick(docs, doc_id=id_col, text=text_col), width, percent, hot, block)
+        rows = found.groupBy("doc_id", "at").agg(F.count("*").alias("n"), F.bool_and(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
+        marked = stored(rows.where("n > 1 or not kept").select(F.col("doc_id").alias(name), F.col("at").alias(key), "kept"), "verdicts", keep=True)
     gone, again = (stored(marked.where(c).drop("kept"), "verdicts") for c in ("not kept", "kept"))
     # Rows outside the bitmap, most of them, stay where they are.
     met, rest = KeyFilter(marked, key).split(docs.withColumn(key, F.xxhash64(docs[id_col], docs[text_col])), key)

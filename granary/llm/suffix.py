@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, Runs, covered, fresh, mix, pick, slices, stored, utf8, windows
+from .common import KeyFilter, Runs, covered, fresh, mix, pick, scratch, slices, stored, tidy, utf8, windows
 
 KMER = 80
 #: Unlike contents under one anchor beyond which they are cut in two, with longer anchors.
@@ -182,7 +182,9 @@ class SuffixIndex:
         seen = _all([fresh_rows.select("anchor", F.lit(1).alias("new")), *(x.select("anchor", F.lit(0).alias("new")) for x in older)])
         # Written first, so that the join below is of two tables and a hot anchor's rows can be split.
         shared = stored(seen.groupBy("anchor").agg(F.count("*").alias("n"), F.max("new").alias("new")).where("n > 1 and new = 1").select("anchor"), "shared")
-        members = stored(_all([fresh_rows, *older]).join(shared, "anchor"), "members")
+        some, _ = KeyFilter(shared, "anchor").split(_all([fresh_rows, *older]), "anchor")
+        members = stored(some.join(shared, "anchor"), "members")
+        tidy(docs.sparkSession)
         contents = stored(members.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct(*_KEYS, "start", "count", "place")).alias("rep")), "contents")
         anchors = contents.groupBy("anchor").agg(F.count("*").alias("contents"), F.min("n").alias("least"))
         # Contents that occur once, under anchors with others: is a part of their strings in one of these?
@@ -217,6 +219,7 @@ class SuffixIndex:
     def _resolved(self, doubts: DataFrame) -> DataFrame:
         """anchor, content, low and high of the contents of which some strings occur elsewhere, by their bytes."""
         pieces, found = stored(self._pieces(doubts), "pieces"), []
+        tidy(doubts.sparkSession)
         low, high = 0, self.length - KMER + 1
         cuts = [(low, high)]
         while True:
@@ -341,7 +344,8 @@ def _merged(spans: list[dict]) -> list[dict]:
 def _with_spans(docs: DataFrame, length: int, text_col: str, most_contents: int, batches: int) -> tuple[DataFrame, str]:
     """docs with a column of spans, null where there are none, and its name. Texts without spans do not move, but for a few that a bitmap of
     fixed size lets through."""
-    found = stored(repeats(docs, length, text_col, most_contents, batches), "spans")
+    with scratch(docs.sparkSession):
+        found = stored(repeats(docs, length, text_col, most_contents, batches), "spans", keep=True)
     names = [fresh(docs, c) for c in (*_KEYS, "spans")]
     known, found = KeyFilter(found, "text_hash"), found.toDF(*names)
     keyed = docs.withColumns({names[0]: F.xxhash64(docs[text_col]), names[1]: F.crc32(docs[text_col].cast("binary"))})
