@@ -43,7 +43,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("decontaminate", benchmark_free), ("packing", packing)]
 
-#: SQL cannot express the stages; tests/llm/test_pipeline.py holds run() against a plain version.
+#: SQL cannot express the stages. tests/llm holds the operator of each against brute force; test_pipeline.py tests what the stages keep.
 ORACLE_SQL = None
 
 
