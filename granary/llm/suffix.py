@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from .common import KeyFilter, Runs, covered, fresh, mix, pick, scratch, slices, stored, tidy, utf8, windows
 
 KMER = 80
-#: Unlike contents under one anchor beyond which they are cut in two, with longer anchors.
+#: Unlike contents under one anchor beyond which they are cut in WAYS parts, with longer anchors.
 MOST_CONTENTS = 1024
+WAYS = 8
 #: Parts that texts are added in.
 BATCHES = 2
 _POSITION = 22
@@ -155,6 +156,12 @@ def _segment_rows(docs: DataFrame, length: int) -> DataFrame:
     return _keyed(docs).mapInArrow(make, "anchor long, content binary, text_hash long, text_sum long, start int, count int, place int")
 
 
+def _cut(lo: int, hi: int) -> list[tuple[int, int]]:
+    """The range in up to WAYS others."""
+    step = -(-(hi - lo) // WAYS)
+    return [(at, min(at + step, hi)) for at in range(lo, hi, step)]
+
+
 def _all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, frames)
 
@@ -190,7 +197,7 @@ class SuffixIndex:
         # Contents that occur once, under anchors with others: is a part of their strings in one of these?
         doubt = stored(anchors.where("contents > 1 and least = 1").select("anchor"), "doubt")
         known = contents.where("n > 1").select("anchor", "content", F.lit(0).alias("low"), (F.col("rep.count") - 1).alias("high"))
-        known = known.union(self._resolved(stored(contents.join(doubt, "anchor"), "doubts")))
+        known = known.union(self._resolved(contents.join(doubt, "anchor")))
         got = members.join(known, ["anchor", "content"])
         return stored(got.select(*_KEYS, (F.col("start") + F.col("low")).alias("start"), (F.col("start") + F.col("high") + self.length).alias("end")).distinct(), "spans")
 
@@ -218,31 +225,27 @@ class SuffixIndex:
 
     def _resolved(self, doubts: DataFrame) -> DataFrame:
         """anchor, content, low and high of the contents of which some strings occur elsewhere, by their bytes."""
-        pieces, found = stored(self._pieces(doubts), "pieces"), []
+        pieces, found, calm = stored(self._pieces(doubts), "pieces"), [], []
         tidy(doubts.sparkSession)
-        low, high = 0, self.length - KMER + 1
-        cuts = [(low, high)]
-        while True:
-            hot = stored(pieces.groupBy("anchor").count().where(F.col("count") > self.most_contents), "hot")
-            if not hot.count():
+        cuts = [(0, self.length - KMER + 1)]
+        while any(hi - lo > 1 for lo, hi in cuts):  # else they are whole strings: those that are equal have been found
+            hot = KeyFilter(pieces.groupBy("anchor").count().where(F.col("count") > self.most_contents), "anchor")
+            if hot.words.isEmpty():
                 break
-            crowded, calm = KeyFilter(hot, "anchor").split(pieces, "anchor")
-            found.append(self._scanned(calm))
-            cuts = [c for lo, hi in cuts for c in (((lo + hi) // 2, hi), (lo, (lo + hi) // 2)) if c[0] < c[1]]
-            halves = stored(self._halves(crowded, cuts), "halves")
-            # Halves of equal bytes are repeats; one of each goes on.
-            per = stored(halves.groupBy("anchor", "sub").agg(F.count("*").alias("k"), F.max("n").alias("n"), *[F.first(c).alias(c) for c in ("owner", "base", "place", "bytes")]), "halves")
-            equal = halves.join(per.where("k > 1").select("anchor", "sub"), ["anchor", "sub"])
+            crowded, rest = hot.split(pieces, "anchor")
+            calm.append(rest)
+            cuts = [part for lo, hi in cuts for part in _cut(lo, hi)]
+            made = stored(self._parts(crowded, cuts), "cut")
+            # Parts of equal bytes are repeats; one of each goes on.
+            per = stored(made.groupBy("anchor", "sub").agg(F.count("*").alias("k"), F.max("n").alias("n"), *[F.first(c).alias(c) for c in ("owner", "base", "place", "bytes")]), "parts")
+            equal = made.join(per.where("k > 1").select("anchor", "sub"), ["anchor", "sub"])
             found.append(equal.select("owner.anchor", "owner.content", F.col("base").alias("low"), (F.col("base") + F.octet_length("bytes") - self.length).alias("high")))
-            pieces = stored(per.select("anchor", "sub", F.greatest("n", "k").alias("n"), "owner", "base", "place", "bytes"), "pieces")
-            if all(hi - lo == 1 for lo, hi in cuts):
-                break  # whole strings: those that are equal have been found
-        found.append(self._scanned(pieces))
-        return stored(_all(found), "parts")
-
-    def _halves(self, pieces: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
-        """Each piece's strings by how far before its k-mer they start, in the ranges of `cuts`. The anchor of a half is made of the bytes that
-        all strings of that range have in common, so equal strings are in halves of equal anchors. A half of one distance
+            pieces = per.select("anchor", "sub", F.greatest("n", "k").alias("n"), "owner", "base", "place", "bytes")
+        return stored(_all([*found, self._scanned(_all([*calm, pieces]))]), "resolved")
+
+    def _parts(self, pieces: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
+        """Each piece's strings by how far before its k-mer they start, in the ranges of `cuts`. The anchor of a part is made of the bytes that
+        all strings of that range have in common, so equal strings are in parts of equal anchors. A part of one distance
         has a whole string as its anchor."""
         length = self.length
 
