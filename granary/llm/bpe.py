@@ -24,7 +24,9 @@ from .common import Runs
 MARGIN = 64
 CHUNK = 1 << 16
 OVERLAP = 1 << 9
-CACHE = 1 << 20
+#: Pre-tokens that are kept, and characters of them.
+CACHE = 1 << 19
+CACHE_CHARACTERS = 1 << 23
 LETTER, NUMBER, WHITE, OTHER = 1, 2, 3, 4
 
 
@@ -37,6 +39,25 @@ def splits_as_assumed(description: dict) -> bool:
     return plain and not any(t.get(k) for t in description.get("added_tokens", ()) for k in ("lstrip", "rstrip", "single_word"))
 
 
+class Growing:
+    """An array that grows at its end, in place while there is room. What all() gave before stays as it was."""
+
+    def __init__(self, kind: type, spare: int = 0) -> None:
+        self.data, self.n, self.spare = np.zeros(1024, kind), 0, spare
+
+    def add(self, more: np.ndarray) -> None:
+        n = self.n + len(more)
+        if n + self.spare > len(self.data):
+            data = np.zeros(max(n + self.spare, len(self.data) * 3 // 2), self.data.dtype)
+            data[: self.n] = self.all()
+            self.data = data
+        self.data[self.n : n] = more
+        self.n = n
+
+    def all(self) -> np.ndarray:
+        return self.data[: self.n]
+
+
 class Pieces:
     """Pre-tokens of one or more texts: rows, starts (characters within the row's text), and ids by CSR bounds."""
 
@@ -71,9 +92,9 @@ class Encoder:
             self.classify(np.arange(0x250))
 
     def forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.first = self.count = self.begin = self.size = np.zeros(0, np.int64)
-        self.pool, self.texts = np.zeros(0, np.uint32), Runs(np.zeros(0, np.uint32))
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted hashes, and where the rest of each is
+        self.first, self.count, self.begin, self.size = (Growing(np.int64) for _ in range(4))
+        self.pool, self.texts = Growing(np.uint32), Growing(np.uint32, spare=2)
 
     def classify(self, points: np.ndarray) -> None:
         split = self.library.pre_tokenizer.pre_tokenize_str
@@ -116,9 +137,13 @@ class Encoder:
 
     def _library_ids(self, text: str, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(counts, ids) of pre-tokens."""
-        ids = [x.ids for x in self.library.encode_batch_fast([text[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], add_special_tokens=False)]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        return counts, np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum()))
+        counts, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for at in range(0, len(starts), 1 << 13):  # the library's results take many times the room of their ids
+            spans = zip(starts[at : at + (1 << 13)].tolist(), ends[at : at + (1 << 13)].tolist(), strict=True)
+            part = [x.ids for x in self.library.encode_batch_fast([text[s:e] for s, e in spans], add_special_tokens=False)]
+            counts.append(np.fromiter(map(len, part), np.int64, len(part)))
+            ids.append(np.fromiter((i for x in part for i in x), np.uint32, int(counts[-1].sum())))
+        return np.concatenate(counts), np.concatenate(ids)
 
     def lookup(self, text: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(counts, first places in the pool, pool) of the pre-tokens' ids. What the cache holds under a hash counts only if its
@@ -126,25 +151,27 @@ class Encoder:
         runs, sizes = Runs(points), ends - starts
         keys = runs.hashes(starts, sizes)
         distinct, where, back = np.unique(keys, return_index=True, return_inverse=True)
-        found = np.searchsorted(self.keys, distinct)
-        new = np.ones(len(distinct), bool)
-        new[found < len(self.keys)] = self.keys[found[found < len(self.keys)]] != distinct[found < len(self.keys)]
+        place = np.searchsorted(self.keys, distinct)
+        new, inside = np.ones(len(distinct), bool), place < len(self.keys)
+        new[inside] = self.keys[place[inside]] != distinct[inside]
         if new.any():
-            if len(self.keys) + new.sum() > self.cache and len(self.keys):
+            if len(self.keys) and (len(self.keys) + new.sum() > self.cache or self.texts.n + sizes[where[new]].sum() > CACHE_CHARACTERS):
                 self.forget()
-                new[:] = True
+                new[:], place[:] = True, 0
             at = where[new]
             counts, ids = self._library_ids(text, starts[at], ends[at])
-            first, begin = len(self.pool) + np.cumsum(counts) - counts, len(self.texts.symbols) + np.cumsum(sizes[at]) - sizes[at]
-            self.pool = np.concatenate([self.pool, ids])
-            shift = np.repeat(starts[at] - (np.cumsum(sizes[at]) - sizes[at]), sizes[at])
-            self.texts = Runs(np.concatenate([self.texts.symbols, points[np.arange(len(shift)) + shift]]))
-            order = np.argsort(keys := np.concatenate([self.keys, distinct[new]]), kind="stable")
-            fresh = ((self.first, first), (self.count, counts), (self.begin, begin), (self.size, sizes[at]))
-            self.keys, (self.first, self.count, self.begin, self.size) = keys[order], (np.concatenate(x)[order] for x in fresh)
-        at = np.searchsorted(self.keys, distinct)[back]
-        counts, first, pool = self.count[at], self.first[at], self.pool
-        other = np.flatnonzero(~runs.equal(starts, sizes, self.texts, self.begin[at], self.size[at]))
+            self.slot = np.insert(self.slot, place[new], self.size.n + np.arange(len(at), dtype=np.int32))
+            self.keys = np.insert(self.keys, place[new], distinct[new])
+            begin = np.cumsum(sizes[at]) - sizes[at]
+            for kept, more in ((self.first, self.pool.n + np.cumsum(counts) - counts), (self.count, counts), (self.begin, self.texts.n + begin), (self.size, sizes[at])):
+                kept.add(more)
+            self.pool.add(ids)
+            shift = np.repeat(starts[at] - begin, sizes[at])
+            self.texts.add(points[np.arange(len(shift)) + shift])
+        at = self.slot[np.searchsorted(self.keys, distinct)][back]
+        counts, first, pool = self.count.all()[at], self.first.all()[at], self.pool.all()
+        known = Runs.over(self.texts.data, self.texts.n)
+        other = np.flatnonzero(~runs.equal(starts, sizes, known, self.begin.all()[at], self.size.all()[at]))
         if len(other):
             own, ids = self._library_ids(text, starts[other], ends[other])
             counts[other], first[other] = own, len(pool) + np.cumsum(own) - own
@@ -165,7 +192,7 @@ class Encoder:
         bounds = np.zeros(len(segments) + 1, np.int64)
         np.cumsum(np.fromiter(map(len, segments), np.int64, len(segments)), out=bounds[1:])
         starts = self.split(points, bounds)
-        counts, first, pool = self.lookup(joined, points, starts, np.append(starts[1:], len(points))) if len(starts) else (starts, starts, self.pool)
+        counts, first, pool = self.lookup(joined, points, starts, np.append(starts[1:], len(points))) if len(starts) else (starts, starts, self.pool.all())
         seg = np.searchsorted(bounds, starts, "right") - 1
         rows = np.asarray(rows_of, np.int64)[seg] if len(starts) else starts
         made = Pieces(rows, starts - bounds[seg], counts, first, pool)

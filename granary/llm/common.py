@@ -209,9 +209,19 @@ class Runs:
     _LONG = 32  # steps after which a stretch is left to a library's digest
 
     def __init__(self, symbols: np.ndarray) -> None:
-        self.symbols, self.size = np.ascontiguousarray(symbols), symbols.itemsize
+        self._over(np.append(symbols, np.zeros(8 // symbols.itemsize, symbols.dtype)), len(symbols))
+
+    @classmethod
+    def over(cls, buffer: np.ndarray, n: int) -> Runs:
+        """Of the first n symbols of a contiguous array that goes on for eight bytes more; nothing is copied."""
+        made = cls.__new__(cls)
+        made._over(buffer, n)
+        return made
+
+    def _over(self, buffer: np.ndarray, n: int) -> None:
+        self.symbols, self.size = buffer[:n], buffer.itemsize
         self.per = 8 // self.size
-        self.loads = np.ndarray((len(symbols) + 1,), "<u8", np.append(self.symbols, np.zeros(self.per, symbols.dtype)).tobytes(), strides=(self.size,))
+        self.loads = np.ndarray((n + 1,), "<u8", buffer, strides=(self.size,))
         self.masks = np.array([(1 << (8 * self.size * k)) - 1 for k in range(self.per + 1)], np.uint64)
 
     def _bytes(self, start: int, length: int) -> bytes:

@@ -50,3 +50,24 @@ def test_ids_of_structured_words(monkeypatch):
     assert split(*encoder.encode(texts)) == want
     monkeypatch.setattr(Runs, "hashes", lambda self, starts, lengths: np.zeros(len(starts), np.uint64))  # every hash is the same
     assert split(*Encoder(tokenizer_path()).encode(texts)) == want
+
+
+def test_encoder_that_forgets_gives_the_same_ids(monkeypatch):
+    """Batches that overflow the number of kept pre-tokens, or their characters, between and within long texts."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    from granary.llm import bpe
+    from granary.llm.queries import tokenizer_path
+
+    library, rng = Tokenizer.from_file(tokenizer_path()), random.Random(5)
+    word = lambda: "".join(rng.choices("abcdeéß漢1", k=rng.randint(1, 9)))
+    batches = [[" ".join(word() for _ in range(rng.randint(0, 60))) for _ in range(5)] for _ in range(12)]
+    batches[6].append(" ".join(word() for _ in range(900)))
+    for cache, characters in ((40, 1 << 23), (1 << 19, 100), (1 << 19, 1 << 23)):
+        monkeypatch.setattr(bpe, "CACHE_CHARACTERS", characters)
+        encoder = bpe.Encoder(tokenizer_path(), cache)
+        for batch in batches:
+            ids, bounds = encoder.encode(batch, chunk=256, overlap=16)
+            assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [library.encode(t, add_special_tokens=False).ids for t in batch]
