@@ -7,6 +7,7 @@ import gc
 import hashlib
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -53,20 +54,22 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/granary/{name}-{uuid.uuid4().hex}"
 
 
-_scopes: list[list[str]] = []
+#: The stretches of work that are open in this thread (or task of an event loop), each with the tables it stored.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("open stretches", default=())
 
 
 @contextmanager
 def scratch(spark: SparkSession):
     """A stretch of work whose stored tables are deleted when it ends, but for those stored with keep=True (they go with the stretch
-    around it, if there is one). What is kept must not need the others. An error leaves the tables where they are."""
-    _scopes.append([])
+    around it, if there is one). What is kept must not need the others. An error leaves the tables where they are. Each
+    thread has stretches of its own, so queries that run side by side in one driver leave each other's tables alone."""
+    mine: list[str] = []
+    before = _open.set((*_open.get(), mine))
     try:
         yield
-    except BaseException:
-        _scopes.pop()
-        raise
-    for path in _scopes.pop():
+    finally:
+        _open.reset(before)
+    for path in mine:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     tidy(spark)
@@ -84,9 +87,9 @@ def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    at = -2 if keep else -1
-    if len(_scopes) >= -at:
-        _scopes[at].append(path)
+    around = _open.get()[: -1 if keep else None]
+    if around:
+        around[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
