@@ -153,6 +153,23 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
+def met(rows: DataFrame, groups: DataFrame, key: str, count: str) -> DataFrame:
+    """The rows with the columns of their group. groups has one row for each key of the rows (null is a key) and in `count` how many rows
+    it is of. Keys of over a thousandth of all rows, of which there are fewer than a thousand, are met by a broadcast, all others by a
+    shuffle in which no key is hot. Both tables are read twice, so they should be stored."""
+    total = groups.agg(F.sum(count)).first()[0] or 0
+    hot, is_hot = groups.where(F.col(count) * 1000 > total), F.col(count) * 1000 <= total
+    other, seen = fresh(rows, "other_key"), fresh(rows, "is_hot")
+
+    def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        return left.join(right, left[key].eqNullSafe(right[other]), how)
+
+    marked = joined(rows, F.broadcast(hot.withColumnRenamed(key, other).withColumn(seen, F.lit(True))), "left")
+    columns = [*rows.columns, *[c for c in groups.columns if c != key]]
+    cold = joined(marked.where(F.col(seen).isNull()).select(rows.columns), groups.where(is_hot).withColumnRenamed(key, other), "inner")
+    return marked.where(F.col(seen)).select(columns).unionByName(cold.select(columns))
+
+
 #: Bits of the bitmap of a key filter: 4 MB, whatever the number of keys.
 FILTER_BITS = 25
 
