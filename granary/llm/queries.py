@@ -83,6 +83,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path()).withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive
+
+    return archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .codes import books_digest, compress
 

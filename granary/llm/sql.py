@@ -58,6 +58,12 @@ p(doc_id, leaf, tree, level, i, n, sub, h, proof) AS (SELECT doc_id, leaf, CASE
  FROM (SELECT p.*, p.tree >= 0 AND p.n <= 16 AS up, trees.n AS total, array_to_string(hs[1 : p.i % 16], '') AS before, array_to_string(hs[p.i % 16 + 2 :], '') AS after FROM p JOIN runs ON runs.tree = p.tree AND runs.level = p.level AND runs.run = p.i // 16, trees WHERE p.n > 1))
 SELECT doc_id, leaf, b.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, p.h AS folded_root, p.h = r.h AS verified FROM p JOIN top b ON b.level = 0 AND b.i = p.sub, (SELECT h FROM top WHERE n = 1) r WHERE p.tree = -1 AND p.n = 1"""
 
+#: Base32 of a hexadecimal digest: every five bits lie within two digits of four.
+_BASE32 = "list_aggregate(list_transform(range(32), lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[CAST(((strpos('0123456789abcdef', h[5 * k // 4 + 1]) - 1) * 16 + greatest(strpos('0123456789abcdef', h[5 * k // 4 + 2]) - 1, 0)) // (8 >> (5 * k % 4)) % 32 + 1 AS INTEGER)]), 'string_agg', '')"
+_WARC = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS t, row_number() OVER (ORDER BY page_id) AS i FROM pages), d AS (SELECT page_id, i, t, CAST(strlen(t) AS BIGINT) AS payload_bytes, sha1(t) AS h FROM p),
+w AS (SELECT *, first_value(page_id) OVER o AS top, first_value(i) OVER o AS first FROM d WINDOW o AS (PARTITION BY t ORDER BY page_id DESC NULLS LAST, i DESC))
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN i = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN i <> first THEN top END AS refers_to FROM w"""
+
 _NEAREST = "SELECT p.id, p.part, p.v, arg_min(c.entry, {{'d': list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': c.entry}}) AS entry, min(list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS error FROM p JOIN c{r} c USING (part) GROUP BY p.id, p.part, p.v"
 
 
@@ -74,4 +80,4 @@ f AS (SELECT id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CA
 SELECT vec_id, code, error, CAST(SUM(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM f JOIN e USING (id), s"""
 
 #: The strings of 200 bytes take SQL over a minute on the second smallest tables; op6 is tested by brute force instead.
-SQL: dict[str, str] = {"op1_near_duplicates": _NEAR, "op3_decontaminate": _CLEAN, "op8_quality_rules": _RULES, "op12_vector_codes": _CODES, "op13_merkle_manifest": _MERKLE}
+SQL: dict[str, str] = {"op1_near_duplicates": _NEAR, "op3_decontaminate": _CLEAN, "op8_quality_rules": _RULES, "op11_warc": _WARC, "op12_vector_codes": _CODES, "op13_merkle_manifest": _MERKLE}
