@@ -133,15 +133,32 @@ def test_claims(spark):
     assert "does not establish" in V.rewritten("Fact one [1].", [("Fact one [1].", "insufficient", [1])])
 
 
-TABLE = "| ID | Amount (USD) | Rate |\n| --- | --- | --- |\n| R1 | 1,200.00 | 5 |\n| R2 | (200) | 7 |\n\nR3 Amount: 50"
+TABLE = "| ID | Amount (USD) | Rate |\n| --- | --- | --- |\n| R1 | 1,200.00 | 5 |\n| R2 | (200) | 7 |\n\nR3 Amount: 50\nR4 Amount = 9, like X-7"
+INVOICES = {
+    1: "| ID | Amount | Tax |\n| --- | --- | --- |\n| INV-A1 | 100.00 | 10.00 |\n| INV-A2 | 10.00 | 100.00 |", 2: "| ID | Amount | Tax |\n| --- | --- | --- |\n| INV-A3 | -10.00 | 100.00 |",
+    3: "INV-A4 continuation: Amount = 321.09 CNY. This is one invoice, not two.", 4: "| Description | Note | 2024/25 £000 | 2023/24 £000 |\n| --- | --- | --- | --- |\n| Income | 5 | (21,190) | (25,496) |",
+    5: "| ID | Amount |\n| --- | --- |\n| INV-A1 | 100.00 |\n| ID | Tax |\n| --- | --- |\n| INV-A2 | 100.00 |", 6: "| ID | Amount Tax |\n| --- | --- |\n| INV-A2 | 100.00 |",
+    7: TABLE, 8: "ID\tAmount\tAmount\nB1\t5\t5", 9: "ID\tAmount\nB1\t5\nB1\t6", 10: "ID\tAmount\nB1\t5\nB1\t5.0",
+}
 
 
 def test_bound_arithmetic(spark):
-    rec = lambda k, r, v, f="Amount": {"key": k, "source_index": 1, "record_id": r, "field": f, "value": v}
-    assert V.bound_calculation("(v1 + v2 + v3) / 3", [rec("v1", "R1", "1200"), rec("v2", "R2", "-200"), rec("v3", "R3", "50")], {1: TABLE}) == Decimal(350)
-    for expression, records in (("v1 + 5", [rec("v1", "R1", "1200")]), ("v1", [rec("v1", "R1", "1")]), ("v1 + v2", [rec("v1", "R1", "1200"), rec("v2", "R1", "1200")]), ("v2", [rec("v1", "R1", "1200")]), ("v1", [rec("v1", "R9", "1200")])):
-        with pytest.raises(ValueError):
-            V.bound_calculation(expression, records, {1: TABLE})
+    """Cases: expression, bindings (key, source, record, field, value) and the value, or None where it must be refused."""
+    cases = [
+        ("(v1 + v2 + v3) / 3", [("v1", 7, "R1", "Amount", "1200"), ("v2", 7, "R2", "Amount", "-200"), ("v3", 7, "R3", "Amount", "50")], "350"),
+        ("v1+v2", [("v1", 1, "INV-A1", "Tax", "10.00"), ("v2", 2, "INV-A3", "Amount", "-10.00")], "0"), ("v1", [("v1", 1, "INV-A1", "Amount", "10.00")], None), ("v1", [("v1", 2, "INV-A3", "Amount", "10.00")], None),
+        ("v1", [("v1", 4, "Income", "2024/25", "-21190")], "-21190"), ("v1", [("v1", 4, "Income", "2024/25", "5")], None), ("v1", [("v1", 3, "INV-A4", "Amount", "321.09")], "321.09"),
+        ("v1 / 100", [("v1", 1, "inv-a1", "AMOUNT", "100")], "1"), ("v1+100", [("v1", 1, "INV-A1", "Amount", "100.00")], None), ("100+10", [], None), ("v1 * 3", [("v1", 1, "INV-A1", "Amount", "100")], None),
+        ("v1+v2", [("v1", 1, "INV-A1", "Amount", "100.00"), ("v2", 1, "INV-A1", "Amount", "100.00")], None), ("v1", [("v1", 5, "INV-A2", "Amount", "100.00")], None), ("v1", [("v1", 5, "INV-A2", "Tax", "100")], "100"),
+        ("v1", [("v1", 6, "INV-A2", "Amount", "100.00")], None), ("v2", [("v1", 7, "R1", "Amount", "1200")], None), ("v1", [("v1", 7, "R9", "Amount", "1200")], None), ("v1", [("v1", 7, "R4", "Amount", "9")], None),
+        ("v1", [("v1", 8, "B1", "Amount", "5")], None), ("v1", [("v1", 9, "B1", "Amount", "5")], None), ("v1", [("v1", 10, "B1", "Amount", "5.00")], "5"), ("v1", [("v1", 77, "B1", "Amount", "5")], None),
+        ("v1/(v1-v2)", [("v1", 1, "INV-A1", "Amount", "100"), ("v2", 1, "INV-A2", "Tax", "100")], None), ("1 + v1 * 2 / v2", [("v1", 1, "INV-A1", "Amount", "100"), ("v2", 1, "INV-A2", "Amount", "10")], "21"), ("x", None, None), (None, [], None),
+    ]
+    evidence = [(k, t) for k, t in INVOICES.items()]
+    schema = "task_id int, expression string, records array<struct<key:string,source_index:int,record_id:string,field:string,value:string>>, evidence array<struct<index:int,text:string>>"
+    got = {r.task_id: r for r in V.check_calculations(spark.createDataFrame([(i, e, r, evidence) for i, (e, r, _) in enumerate(cases)], schema)).collect()}
+    for i, (expression, records, value) in enumerate(cases):
+        assert got[i].value == value and (got[i].reason is None) == (value is not None), (expression, records, got[i])
 
 
 def test_identifiers(spark):
