@@ -58,11 +58,19 @@ def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return rows.join(gone.select(key), key, "left_anti")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors reach. Where that is unset, below the session's warehouse if that was set or
+    Spark runs on one machine; else it is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        if not spark.sparkContext.getConf().contains("spark.sql.warehouse.dir") and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{base.rstrip('/')}/granary/{name}-{uuid.uuid4().hex}"
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """The rows, written once to a new folder below spark.checkpoint.dir (below the session's warehouse where that is unset) and read again:
-    cuts the lineage of a loop, and outlives executors."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/granary/kept-{uuid.uuid4().hex}"
+    """The rows, written once to a shared folder and read again: cuts the lineage of a loop, and outlives executors."""
+    path = shared_folder(df.sparkSession, "kept")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
