@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from granary.catalog import Catalog, table
 from granary.functions import text as X
+from granary.operators import names as NM
+from granary.operators import postings as P
 from granary.operators import retrieval as R
 from granary.operators import routing as RO
+from granary.sources.files import shared_folder
 
 QUERIES = Catalog()
 #: A fixed query vector: 64 numbers by a rule.
@@ -42,7 +45,54 @@ SELECT query_id, id, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() O
 def vec_queries_topk(spark: SparkSession, sf: str) -> DataFrame:
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     queries = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
-    return R.brute_force_topk(v, queries, 5).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
+    return R.blocked_topk(v, queries, 5).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
+
+
+@QUERIES.add("""WITH q AS (SELECT vec_id AS question_id, 0 AS branch, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 100 = 0 UNION ALL SELECT vec_id, 1, list_reverse(CAST(embedding AS DOUBLE[])) FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT question_id, branch, vec_id AS id, list_dot_product(CAST(embedding AS DOUBLE[]), v) / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_dot_product(v, v))) AS score FROM embeddings CROSS JOIN q),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id, branch ORDER BY score DESC, id) AS place FROM s WHERE score >= 0.2), o AS (SELECT question_id, id, min({'p': place, 'b': branch}) AS w FROM r WHERE place <= 6 GROUP BY ALL)
+SELECT question_id, rank, id FROM (SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY w.p, w.b, id) AS BIGINT) AS rank, id FROM o) WHERE rank <= 8""")
+def vec_fan_out(spark: SparkSession, sf: str) -> DataFrame:
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = v.where("id % 100 = 0").select(F.col("id").alias("question_id"), F.posexplode(F.array("embedding", F.reverse("embedding"))).alias("branch", "q"))
+    return R.fan_out(v, asked, 8, per_branch=6, min_score=0.2).select("question_id", F.col("rank").cast("long").alias("rank"), "id")
+
+
+#: Bigrams that don't overlap themselves, so that SQL can count them by replacing them.
+_PAIRS = ["th", "he", "in", "ng", "an", "nd", "er", "ou"]
+
+
+@QUERIES.add(f"""WITH t AS (SELECT unnest({_PAIRS}) AS term), i AS (SELECT doc_id AS id, term, (length(text) - length(replace(lower(text), term, ''))) // 2 AS tf FROM documents, t), f AS (SELECT * FROM i WHERE tf > 0),
+d AS (SELECT term, COUNT(*) AS df FROM f GROUP BY term) SELECT id, round(SUM(3 * (1 + ln(1 + (SELECT COUNT(*) FROM documents) / df)) * tf), 6) AS score FROM f JOIN d USING (term) GROUP BY id ORDER BY score DESC, id LIMIT 20""")
+def bigram_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Three batches of documents are indexed one after another, due merges made, and the blocks of eight bigrams searched."""
+    index = P.Postings(spark, shared_folder(spark, "bigrams"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    for part in range(3):
+        index.add(docs.where(F.pmod("id", F.lit(3)) == part), P.bigrams)
+        index.merge()
+    return index.topk(_PAIRS, 20).select("id", F.round("score", 6).alias("score"))
+
+
+_NAMED_DOCS = "SELECT doc_id AS document_id, source AS collection_id, lower(regexp_extract(text, '[A-Za-z]{5,}')) AS filename, CASE WHEN doc_id % 7 = 0 THEN 'FAILED' ELSE 'READY' END AS status FROM documents"
+
+
+@QUERIES.add(f"""WITH d AS MATERIALIZED ({_NAMED_DOCS}), q AS (SELECT conv_id, turn, lower(text) AS t FROM conversations WHERE role = 'user'), f AS MATERIALIZED (SELECT DISTINCT filename FROM d WHERE filename <> ''),
+c AS MATERIALIZED (SELECT collection_id, min(filename) AS name FROM d WHERE filename <> '' GROUP BY 1), h AS MATERIALIZED (SELECT conv_id, turn, filename FROM q, f WHERE contains(t, filename)), k AS (SELECT DISTINCT conv_id, turn, collection_id FROM q, c WHERE contains(t, name)),
+x AS MATERIALIZED (SELECT conv_id, turn, d.* FROM h JOIN d USING (filename)), m AS (SELECT conv_id, turn, COUNT(*) AS n, COUNT(DISTINCT filename) AS names, COUNT(*) FILTER (status = 'READY') AS ready, list(document_id ORDER BY document_id) AS docs, any_value(status) AS status FROM x GROUP BY ALL),
+u AS (SELECT conv_id, turn, COUNT(*) AS n, any_value(document_id) AS doc, any_value(status) AS status FROM x SEMI JOIN k USING (conv_id, turn, collection_id) GROUP BY ALL), p AS (SELECT conv_id, turn, COUNT(*) AS n, any_value(document_id) AS doc, any_value(status) AS status FROM x WHERE document_id BETWEEN conv_id AND conv_id + 20 GROUP BY ALL),
+n AS (SELECT DISTINCT conv_id, turn FROM k SEMI JOIN (SELECT collection_id FROM d WHERE status = 'READY') USING (collection_id)),
+r AS (SELECT q.conv_id, q.turn, CASE WHEN m.n = m.names AND m.n > 1 THEN CASE WHEN m.ready = m.n THEN 'document' ELSE 'not_ready' END WHEN coalesce(CASE WHEN m.n = 1 THEN m.status END, CASE WHEN u.n = 1 THEN u.status END, CASE WHEN p.n = 1 THEN p.status END) = 'READY' THEN 'document'
+ WHEN m.n = 1 OR u.n = 1 OR p.n = 1 THEN 'not_ready' WHEN m.n > 1 THEN 'ambiguous' WHEN n.conv_id IS NOT NULL THEN 'collection_topic' ELSE 'semantic' END AS reason, m.n > 1 AND m.n = m.names AS several, m.docs AS all_docs, CASE WHEN m.n = 1 THEN m.docs[1] WHEN u.n = 1 THEN u.doc ELSE p.doc END AS one
+ FROM q LEFT JOIN m USING (conv_id, turn) LEFT JOIN u USING (conv_id, turn) LEFT JOIN p USING (conv_id, turn) LEFT JOIN n USING (conv_id, turn))
+SELECT conv_id, turn, reason, reason IN ('document', 'not_ready', 'ambiguous') AS strict, CASE WHEN reason <> 'document' THEN '' WHEN several THEN array_to_string(all_docs, ',') ELSE CAST(one AS VARCHAR) END AS documents FROM r""")
+def named_routing(spark: SparkSession, sf: str) -> DataFrame:
+    """Every user turn against a catalogue of all documents, named by their first long words, and of their sources."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("collection_id"), F.lower(F.regexp_extract("text", "[A-Za-z]{5,}", 0)).alias("filename"), F.when(F.col("doc_id") % 7 == 0, "FAILED").otherwise("READY").alias("status"))
+    collections = docs.where("filename <> ''").groupBy("collection_id").agg(F.min("filename").alias("name"))
+    asked = table(spark, sf, "conversations").where("role = 'user'").select(F.struct("conv_id", "turn").alias("question_id"), F.col("text").alias("question"), F.lit("").alias("previous"), F.sequence("conv_id", F.col("conv_id") + 20).alias("prior_documents"), F.array().cast("array<string>").alias("prior_collections"), F.lit(False).alias("prior_strict"))
+    found = NM.named_scope(asked, docs, collections)
+    return found.select("question_id.conv_id", "question_id.turn", "reason", "strict", F.array_join(F.transform("documents", lambda d: d.cast("string")), ",").alias("documents"))
 
 
 @QUERIES.add("SELECT label, COUNT(*) AS vectors, COUNT(*) FILTER (len(embedding) = 64) AS valid FROM embeddings GROUP BY label")

@@ -5,12 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as X
 from granary.operators.joins import neighbours
 from granary.plans.table_plan import PlanError
+from granary.sources.files import kept
 
 
 @dataclass(frozen=True)
@@ -141,7 +144,91 @@ def document_evidence(chunks: DataFrame, ranked: DataFrame, identifiers: list[st
     return within_budget(chosen, "document_id", ["ordinal"], "size", budget).drop("size")
 
 
-def brute_force_topk(vectors: DataFrame, queries: DataFrame, k: int, min_score: float = 0.3) -> DataFrame:
-    """query_id, id, score and rank for each row of queries (query_id, q): a stated query set against all vectors."""
-    scored = vectors.crossJoin(F.broadcast(queries)).select("query_id", "id", X.cosine(F.col("embedding"), F.col("q")).alias("score")).where(F.col("score") >= min_score)
-    return topk_by_group(scored, "query_id", k)
+#: Bytes of query vectors that one pass over the vectors takes along, and numbers of one product of blocks.
+MOST_BYTES = 32 << 20
+_PRODUCT = 1 << 21
+
+
+def blocked_topk(vectors: DataFrame, queries: DataFrame, k: int, min_score: float = 0.3, keys: tuple[str, ...] = ("query_id",), id_col: str = "id", vector_col: str = "embedding", query_col: str = "q", most_bytes: int = MOST_BYTES) -> DataFrame:
+    """keys, id, score (to 12 decimals) and rank of the k nearest vectors of every query by exact cosine, from min_score on; ties by id.
+
+    Queries are taken in groups of up to about most_bytes. A pass over the vectors multiplies its batches with a group's matrix, block by
+    block, and each task keeps the k best of a query as it goes, so tasks send k rows for a query and no pair is ever a row. With
+    several groups each pass is stored before the next. Rows and queries without a finite vector of the queries' length are left out.
+    """
+    asked = queries.where(X.valid_vector(F.col(query_col))).select(*keys, F.transform(query_col, lambda x: x.cast("double")).alias("_q"))
+    shape = asked.agg(F.count("*").alias("n"), F.min(F.size("_q")).alias("least"), F.max(F.size("_q")).alias("most")).first()
+    if shape["least"] != shape["most"]:
+        raise PlanError("queries must have vectors of one length")
+    groups = max(1, -(-shape["n"] * (shape["most"] or 1) * 8 // most_bytes))
+    rows = vectors.where(X.valid_vector(F.col(vector_col), shape["most"] or 1)).select(F.col(id_col).alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"))
+    found = []
+    for g in range(groups):
+        mine = asked.where(F.pmod(F.xxhash64(*keys), F.lit(groups)) == g) if groups > 1 else asked
+        sent = vectors.sparkSession.sparkContext.broadcast(_matrix(mine.toArrow()))
+        part = rows.mapInArrow(_nearest(sent, k, min_score), _nearest_schema(rows, queries, keys))
+        if groups > 1:
+            part = kept(part)
+            sent.destroy()
+        found.append(part)
+    best = Window.partitionBy(*keys).orderBy(F.desc("score"), "id")
+    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def _matrix(queries: pa.Table):
+    names = [c for c in queries.schema.names if c != "_q"]
+    flat = queries.column("_q").combine_chunks()
+    flat = (flat.flatten() if len(flat) else pa.array([], pa.float64())).to_numpy(zero_copy_only=False)
+    matrix = flat.reshape(queries.num_rows, -1 if queries.num_rows else 0)
+    norm = np.sqrt((matrix * matrix).sum(1))
+    return queries.select(names).combine_chunks(), matrix / np.where(norm == 0, 1, norm)[:, None]
+
+
+def _nearest_schema(rows: DataFrame, queries: DataFrame, keys: tuple[str, ...]) -> str:
+    kinds = [f"`{c}` {queries.schema[c].dataType.simpleString()}" for c in keys]
+    return ", ".join([*kinds, f"id {rows.schema['id'].dataType.simpleString()}", "score double"])
+
+
+def _nearest(sent, k: int, min_score: float):
+    """The k best of each query among a task's rows: candidates of a batch beat the k-th best so far, and are cut to k after each block."""
+
+    def run(batches):
+        keys, matrix = sent.value
+        n = len(matrix)
+        query, score, ids = np.zeros(0, np.int64), np.zeros(0), None
+        least = np.full(n, min_score)
+        for batch in batches:
+            if not batch.num_rows or not n:
+                continue
+            points = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            norm = np.sqrt((points * points).sum(1))
+            points = points / np.where(norm == 0, 1, norm)[:, None]
+            names = batch.column(0).to_numpy(zero_copy_only=False)
+            width = max(1, _PRODUCT // batch.num_rows)
+            for a in range(0, n, width):
+                cos = np.round(points @ matrix[a : a + width].T, 12)
+                row, at = np.nonzero(cos >= least[a : a + width])
+                if len(row):
+                    query, score = np.append(query, at + a), np.append(score, cos[row, at])
+                    ids = names[row] if ids is None else np.append(ids, names[row])
+            order = np.lexsort((ids if ids is not None else query, -score, query))
+            place = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+            order = order[place < k]
+            query, score = query[order], score[order]
+            ids = ids[order] if ids is not None else None
+            full = np.flatnonzero(np.bincount(query, minlength=n) == k)
+            least[full] = score[np.searchsorted(query, full, "right") - 1]
+        if ids is not None:
+            at = pa.array(query)
+            yield pa.RecordBatch.from_arrays([*(c.combine_chunks().take(at) if isinstance(c, pa.ChunkedArray) else c.take(at) for c in keys.columns), pa.array(ids), pa.array(score)], names=[*keys.schema.names, "id", "score"])
+
+    return run
+
+
+def fan_out(vectors: DataFrame, branches: DataFrame, k: int, per_branch: int | None = None, min_score: float = 0.3, **how) -> DataFrame:
+    """question_id, rank and id: the sub-questions of each question (question_id, branch, q) searched together, in one pass over the vectors, and
+    their lists taken rank by rank and branch by branch, each id once, k in all."""
+    found = blocked_topk(vectors, branches, per_branch or k, min_score, keys=("question_id", "branch"), **how)
+    once = found.groupBy("question_id", "id").agg(F.min(F.struct("rank", "branch")).alias("at"))
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy("at.rank", "at.branch", "id"))
+    return once.select("question_id", place.alias("rank"), "id").where(F.col("rank") <= k)
