@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from granary.operators.guard import Masker
+from granary.operators.said import Memory
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 100) -> DataFrame:
@@ -110,6 +111,30 @@ def latest_facts(found: DataFrame) -> DataFrame:
     return found.groupBy("session_id", "key").applyInPandasWithState(step, "session_id long, key string, seq long, value string, superseded string, late boolean", "seq long, value string", "append", GroupStateTimeout.NoTimeout)
 
 
+def remembered(found: DataFrame, most: int = 128) -> DataFrame:
+    """session_id, seq, position, key, value, outcome and replaced of a stream of facts (memory.facts()): what becomes of each, in the order of
+    messages, by said.Memory. A session's state is its active facts, at most `most`; facts of messages before the last one taken are
+    LATE: they are told as such and change nothing."""
+
+    def step(key, frames: Iterator, state: GroupState):
+        import json
+
+        import pandas as pd
+
+        last, held = state.get if state.exists else (-1, "{}")
+        memory, out = Memory(json.loads(held), most), []
+        for row in pd.concat(list(frames)).sort_values(["seq", "position"]).itertuples():
+            outcome, replaced = ("LATE", None) if row.seq < last else memory.step(row.key, row.value, row.scope, row.field, bool(row.correction))
+            last = max(last, row.seq)
+            out.append((key[0], row.seq, row.position, row.key, row.value, outcome, replaced))
+        state.update((int(last), json.dumps(memory.active)))
+        yield pd.DataFrame(out, columns=["session_id", "seq", "position", "key", "value", "outcome", "replaced"])
+
+    return found.groupBy("session_id").applyInPandasWithState(
+        step, "session_id long, seq long, position int, key string, value string, outcome string, replaced string", "last long, held string", "append", GroupStateTimeout.NoTimeout
+    )
+
+
 def ingest(stream: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
     """Runs `work` over each batch and writes its rows under the batch's number, over what an interrupted try left: so that a
     batch counts once. Ends when the stream's present files are done."""
