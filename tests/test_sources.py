@@ -94,6 +94,27 @@ def test_folder_scan(spark, tmp_path):
     assert sorted(r.relative_path for r in rows) == ["a.md", "sub/b.TXT"] and all(len(r.fingerprint) == 64 for r in rows)
 
 
+def test_folder_limits_and_changes(spark, tmp_path):
+    root = tmp_path / "root's"
+    for name, text in (("a.md", "1"), ("b.md", "22"), ("c.txt", "3"), ("sub/d.txt", "x" * 50), ("node_modules/e.md", "5"), ("sub/.GIT/f.md", "6"), ("noext", "7"), ("sub/deep/g.csv", "8")):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    rows = {r.relative_path: r for r in files.scan_folder(spark, str(root), most_bytes=40).collect()}
+    assert set(rows) == {"a.md", "b.md", "c.txt", "sub/d.txt", "sub/deep/g.csv"} and rows["sub/d.txt"].reason == "too large" and rows["sub/d.txt"].fingerprint is None and rows["a.md"].fingerprint
+    for limits in ({"most_depth": 2}, {"most_entries": 5}, {"most_files": 4}):
+        with pytest.raises(PlanError):
+            files.scan_folder(spark, str(root), **limits)
+    (tmp_path / "none").mkdir()
+    assert files.scan_folder(spark, str(tmp_path / "none")).collect() == []
+    found = files.scan_folder(spark, str(root), most_bytes=40)
+    key = lambda p: rows[p].source_key
+    stored = [(key("a.md"), "a.md", rows["a.md"].fingerprint, "READY"), (key("b.md"), "b.md", "old", "READY"), (key("c.txt"), "c.txt", rows["c.txt"].fingerprint, "FAILED"), (key("sub/d.txt"), "sub/d.txt", "q", "READY"), ("gone", "gone.md", "z", "READY"), ("busy", "busy.md", "z", "PROCESSING")]
+    plan = files.sync_plan(found, spark.createDataFrame(stored, "source_key string, relative_path string, fingerprint string, status string"))
+    assert {r.relative_path: (r.change, r.reason) for r in plan.collect()} == {
+        "a.md": ("unchanged", None), "b.md": ("updated", None), "c.txt": ("updated", None), "sub/d.txt": ("skipped", "too large"), "sub/deep/g.csv": ("added", None), "gone.md": ("removed", None), "busy.md": ("skipped", "being worked on"),
+    }
+
+
 def test_pages_within_a_budget(spark):
     d = spark.createDataFrame([(1, "x" * 13000), (2, ""), (3, None)], "doc_id long, text string")
     pages = files.text_pages(d, 6000)
