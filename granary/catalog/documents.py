@@ -179,13 +179,8 @@ def record_identifiers(spark: SparkSession, sf: str) -> DataFrame:
 
 @QUERIES.add(None)
 def conversation_facts(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", F.concat(F.lit("remember: note = "), "text").alias("content"))
-    return memory.versions(memory.facts(c))
-
-
-@QUERIES.add(None)
-def memory_recall(spark: SparkSession, sf: str) -> DataFrame:
-    return memory.recalled(conversation_facts(spark, sf).where("status = 'ACTIVE'"), "what was the note about", 200)
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", F.col("text").alias("content"))
+    return memory.remembered(c)
 
 
 @QUERIES.add(None)

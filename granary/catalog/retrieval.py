@@ -140,7 +140,9 @@ def scoped_load(spark: SparkSession, sf: str) -> DataFrame:
     return R.load(hits, chunks, ready, 40, R.Scope(collections=("src1", "src2", "src3", "src4", "src5"))).limit(10).select("id", "rank")
 
 
-@QUERIES.add(None)
+@QUERIES.add("""WITH RECURSIVE o AS (SELECT conv_id, turn, CAST(length(text) AS BIGINT) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(text)) AS n FROM conversations),
+r AS (SELECT conv_id, turn, size, n, size <= 1500 AS taken, CASE WHEN size <= 1500 THEN size ELSE 0 END AS used FROM o WHERE n = 1 UNION ALL SELECT o.conv_id, o.turn, o.size, o.n, used + o.size <= 1500, used + CASE WHEN used + o.size <= 1500 THEN o.size ELSE 0 END FROM r JOIN o ON o.conv_id = r.conv_id AND o.n = r.n + 1)
+SELECT conv_id, turn, size FROM r WHERE taken""")
 def evidence_budget(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("size"))
     return R.within_budget(c, "conv_id", ["turn"], "size", 1500)
@@ -165,12 +167,23 @@ def document_frequency(spark: SparkSession, sf: str) -> DataFrame:
     return RO.document_frequency(p)
 
 
-@QUERIES.add(None)
+@QUERIES.add(f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z][a-z0-9_]{{1,48}}')) AS term FROM documents), c AS (SELECT doc_id, term, COUNT(*) AS n FROM w WHERE term NOT IN {_STOP} GROUP BY ALL)
+SELECT doc_id AS document_id, list(term ORDER BY n DESC, term)[1:1800] AS terms FROM c GROUP BY doc_id""")
 def document_profiles(spark: SparkSession, sf: str) -> DataFrame:
     return RO.document_profile(table(spark, sf, "documents"), id_col="doc_id")
 
 
-@QUERIES.add(None)
+def _has(pattern: str) -> str:
+    return f"regexp_matches(m, '{pattern}')"
+
+
+_SCORE = f"2 * {_has(RO.TIME_WORDS)}::INT + 2 * {_has(RO.LIVE_WORDS)}::INT + {_has(RO.RESEARCH_WORDS)}::INT + {_has(RO.SEVERAL_WORDS)}::INT + (length(m) > 80)::INT + (len(regexp_extract_all(m, '[?？]')) >= 2)::INT"
+
+
+@QUERIES.add(f"""WITH t AS (SELECT conv_id, turn, text, trim(text) AS m FROM conversations), s AS (SELECT *, {_SCORE} AS score FROM t)
+SELECT conv_id, turn, CASE WHEN m = '' THEN 'NONE' WHEN {_has(RO.LIVE_WORDS)} THEN 'STANDARD' WHEN length(m) < 4 AND NOT {_has("[?？]")} THEN 'NONE' WHEN {_has(RO.TRIVIAL_WORDS)} AND length(m) < 50 THEN 'NONE' WHEN score <= 1 THEN 'LIGHT' WHEN score <= 3 THEN 'STANDARD' ELSE 'DEEP' END AS budget,
+CASE {" ".join(f"WHEN regexp_matches(text, '{words}') THEN '{name}'" for name, words in RO.TYPE_WORDS.items())} ELSE 'GENERAL' END AS kind, CASE {" ".join(f"WHEN regexp_matches(m, '{words}') THEN '{name}'" for name, words in RO.PLAN_WORDS.items() if name != "ARITHMETIC")} WHEN regexp_matches(m, '^[0-9.() +*/=?-]+$') AND regexp_matches(m, '[+*/-]') AND regexp_matches(m, '[0-9]') THEN 'ARITHMETIC' ELSE 'FULL' END AS plan,
+CASE WHEN regexp_matches(text, '{X.PRIVATE}') THEN 'PRIVATE' WHEN regexp_matches(text, '{RO.LOCAL_WORDS}') THEN 'LOCAL_ONLY' WHEN regexp_matches(text, '{RO.WEB_WORDS}') THEN 'WEB' ELSE 'LOCAL_FIRST' END AS policy FROM s""")
 def search_budgets(spark: SparkSession, sf: str) -> DataFrame:
     q = F.col("text")
     return table(spark, sf, "conversations").select("conv_id", "turn", RO.search_budget(q).alias("budget"), RO.query_type(q).alias("kind"), RO.simple_plan(q).alias("plan"), RO.evidence_policy(q, F.lit(True), F.lit(True)).alias("policy"))
