@@ -239,13 +239,13 @@ def _hits(words: Words, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return at, of, place
 
 
-def fitted_part(got):
-    """All toxic rows, and of the others every n-th by length, so that MOST_FITTED or more are left."""
-    others = got[got["y"] != 1].sort_values("length")
-    return pd.concat([got[got["y"] == 1].sort_values("length"), others.iloc[:: max(1, len(others) // MOST_FITTED)]])
+def fitted_part(got, most: int = MOST_FITTED):
+    """All toxic rows, and of the others every n-th by length, so that `most` or more are left; rows of one length stay in their order."""
+    others = got[got["y"] != 1].sort_values("length", kind="stable")
+    return pd.concat([got[got["y"] == 1].sort_values("length", kind="stable"), others.iloc[:: max(1, len(others) // most)]])
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINED, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Field:
+def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINED, most_fitted: int = MOST_FITTED, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Field:
     """Features first, then the field, then the scale, from about `most` labelled documents outside the held-out
     fifth (the most toxic of repeated labels; null labels and ids are left out).
 
@@ -253,13 +253,14 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINED, label_co
     documents are over LEAST_ODDS, the likelihood ratio against chance over e ** SURPRISE, and it is in 3 toxic documents and 1
     in 400 of them. Copies would make any token of theirs look like evidence, so documents of the same features count once
     (toxic if any is). Which tokens of a toxic document are toxic is nowhere labelled: see loss(). The field is fitted on every
-    toxic document and on MOST_FITTED to twice as many of the others, evenly by length (on all, if they are fewer).
+    toxic document and on most_fitted to twice as many of the others, evenly by length (on all, if they are fewer). Rows are put in
+    an order of their own first, so the same rows give the same field however they are partitioned.
     """
     marked = pick(labels, doc_id=id_col, y=label_col).where(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     n = marked.count()
     if n > most:
         marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * most / n))
-    known = pick(docs, doc_id=id_col, text=text_col).join(F.broadcast(marked), "doc_id").select("y", "text")  # about `most` rows
+    known = pick(docs, doc_id=id_col, text=text_col).join(F.broadcast(marked), "doc_id").select("y", "text", F.xxhash64("text").alias("mark"))  # about `most` rows
 
     def bags(batches):
         """(labels, rows and hashes of the distinct features, text by text; a hash of each text's set)."""
@@ -309,9 +310,10 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINED, label_co
                 cut = lambda x, r: pa.array([v.tolist() for v in np.split(x, np.searchsorted(r, np.arange(1, n)))], pa.list_(pa.int64()))
                 order = np.argsort(of, kind="stable")
                 own = of[order] - np.searchsorted(rows, rows[of[order]])  # which hit of its text
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int32()), pa.array(np.diff(words.bounds)), cut(at - words.bounds[rows], rows), cut(own, rows[of[order]]), cut(place[order], rows[of[order]])], names=["y", "length", "at", "of", "key"])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int32()), pa.array(np.diff(words.bounds)), cut(at - words.bounds[rows], rows), cut(own, rows[of[order]]), cut(place[order], rows[of[order]]), part.column(2)], names=["y", "length", "at", "of", "key", "mark"])
 
-    got = known.mapInArrow(sequences, "y int, length long, at array<long>, of array<long>, key array<long>").toPandas()  # about `most` rows
+    got = known.mapInArrow(sequences, "y int, length long, at array<long>, of array<long>, key array<long>, mark long").toPandas()  # about `most` rows
+    got = got.sort_values(["length", "mark", "y"], ignore_index=True)
 
     def columns(rows):
         size, many = (rows[c].map(len).to_numpy(np.int64) for c in ("at", "of"))
@@ -321,7 +323,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINED, label_co
     chain = np.array([-2.0, 0.0, 1.0, -6.0])
     if not len(got):
         return Field(keys, first, chain, (1.0, -3.0))
-    fitted = fitted_part(got)
+    fitted = fitted_part(got, most_fitted)
     start = np.concatenate([chain, first])
     data, toxic = columns(fitted), fitted["y"].to_numpy() == 1
     w = _minimise(lambda w: loss(w, data, toxic, start, RIDGE), start)
