@@ -88,3 +88,17 @@ def test_one_row_of_each_group_stays(spark):
     kept = drop_near_duplicates(table(spark), 5)
     assert kept.columns == table(spark).columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 1, 2, 3, 5, 6, 10, 11, 12, 13, 15, 16, 17, 18]
+
+
+def test_two_runs_in_one_driver(spark):
+    """Each run has its own stored tables, and neither changes the session's settings for the other's result."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from granary.llm.suffix import repeat_digests
+
+    want = brute([(r[0], r[1]) for r in rows()], 4, 80)
+    digests = sorted(map(str, repeat_digests(table(spark), 200).collect()))
+    with ThreadPoolExecutor(4) as pool:
+        near = [pool.submit(lambda: got(near_duplicates(table(spark), 4))) for _ in range(2)]
+        same = [pool.submit(lambda: sorted(map(str, repeat_digests(table(spark), 200).collect()))) for _ in range(2)]
+        assert all(f.result() == want for f in near) and all(f.result() == digests for f in same)
