@@ -163,7 +163,7 @@ def accounting_numbers(spark: SparkSession, sf: str) -> DataFrame:
 @QUERIES.add("SELECT CAST(COUNT(*) AS BIGINT) AS rows, COUNT(DISTINCT s_suppkey) AS suppliers, CAST(CAST(SUM(CAST(s_acctbal AS DECIMAL(18,2))) AS DECIMAL(38,10)) AS VARCHAR) AS total FROM supplier")
 def document_tables(spark: SparkSession, sf: str) -> DataFrame:
     line = F.concat(F.lit("| "), "s_suppkey", F.lit(" | "), "s_name", F.lit(" | "), F.col("s_acctbal").cast("decimal(18,2)"), F.lit(" |"))
-    docs = table(spark, sf, "supplier").groupBy((F.col("s_suppkey") % 7).alias("doc_id")).agg(F.concat(F.lit("Accounts\n\n| ID | Name | Balance |\n| --- | --- | --- |\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n"), F.lit("\nEnd.")).alias("text"))
+    docs = table(spark, sf, "supplier").groupBy(F.floor(F.col("s_suppkey") / 1000).alias("doc_id")).agg(F.concat(F.lit("Accounts\n\n| ID | Name | Balance |\n| --- | --- | --- |\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n"), F.lit("\nEnd.")).alias("text"))
     rows = delimited.extract_tables(docs)
     return rows.agg(F.count("*").alias("rows"), F.count_distinct(F.col("cells")[0]).alias("suppliers"), F.sum(N.number(F.col("cells")[2])).cast(N.DECIMAL).cast("string").alias("total"))
 

@@ -107,9 +107,13 @@ def public_url(c: Column) -> Column:
 PRIVATE = r"(?is)(sk-[A-Za-z0-9_-]{8,}|bearer\s+\S+|密码|密钥|api.?key|\bpassword\b|我们公司的|我司|[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}|1[3-9][0-9]{9})"
 
 
+#: Names of files, which such a search is not told.
+FILE_NAME = r"(?i)[\p{L}\p{N}_-]+\.(pdf|docx?|xlsx?|txt|md)"
+
+
 def safe_query(c: Column, most: int = 400) -> Column:
     """A query that may go to an outside search: empty if private; without file names; one line of up to `most` characters."""
-    s = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)[\p{L}\p{N}_-]+\.(pdf|docx?|xlsx?|txt|md)", " ")
+    s = F.regexp_replace(F.coalesce(c, F.lit("")), FILE_NAME, " ")
     return F.when(F.coalesce(c, F.lit("")).rlike(PRIVATE), "").otherwise(F.left(F.trim(F.regexp_replace(s, r"\s+", " ")), F.lit(most)))
 
 
@@ -137,16 +141,20 @@ def table_reference(c: Column) -> Column:
     return F.when(F.size(found) == 1, found[0])
 
 
+#: How a question begins that only says where to look; what asks for a language; what numbers of tables look like.
+ACCORDING = r"^(请)?(根据|结合)(我)?(上传的|提供的)?(文档|资料|知识库)[，,：:\s]*"
+IN_ENGLISH, IN_CHINESE = r"(?i)用英文|in english", r"(?i)用中文|in chinese"
+
+
 def normal_query(c: Column) -> Column:
     """A question without `according to my documents`."""
-    s = F.trim(F.regexp_replace(c, r"^(请)?(根据|结合)(我)?(上传的|提供的)?(文档|资料|知识库)[，,：:\s]*", ""))
+    s = F.trim(F.regexp_replace(c, ACCORDING, ""))
     return F.when(s == "", c).otherwise(s)
 
 
 def english_answer(c: Column) -> Column:
     """Whether to answer in English: no Han and ten Latin letters at least, unless the text says otherwise."""
-    says = c.rlike(r"(?i)用英文|in english")
-    other = c.rlike(r"(?i)用中文|in chinese")
+    says, other = c.rlike(IN_ENGLISH), c.rlike(IN_CHINESE)
     return F.when(other, False).when(says, True).otherwise((F.regexp_count(c, F.lit(_HAN)) == 0) & (F.regexp_count(c, F.lit("[A-Za-z]")) >= 10))
 
 

@@ -6,10 +6,11 @@ import json
 import re
 from html.parser import HTMLParser
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as X
+from granary.operators.similar import first_unlike
 from granary.sources.files import kept
 
 #: Elements that are no content, and class or id names of such.
@@ -44,8 +45,6 @@ def page_links(pages: DataFrame, most: int | None = None, id_col: str = "page_id
     out = found.select(id_col, "position", "link")
     if most is None:
         return out
-    from pyspark.sql import Window
-
     return out.withColumn("_n", F.row_number().over(Window.partitionBy(id_col).orderBy("position"))).where(F.col("_n") <= most).drop("_n")
 
 
@@ -235,26 +234,16 @@ LOW_QUALITY = r"(?i)(广告|推广|下载\s*APP|点击.*领|免费.*领取|充
 
 
 def filter_results(results: DataFrame, today: str, trusted: list[str], most: int, group: str = "query_id", threshold: float = 0.8) -> DataFrame:
-    """Search results (query_id, position, name, snippet, url, published) without blank, advertising and near-duplicate ones,
-    best first: 3 for a trusted domain and up to 3 for recency, then by position. A result goes if its title is like one
-    that stayed before it; each query's list is folded in order."""
+    """Search results (query_id, position, name, snippet, url, published) without blank, advertising and near-duplicate ones, best first:
+    3 for a trusted domain and up to 3 for recency, then by position. A result goes if its title is like one that stayed before it.
+    Titles alone are compared, see similar.first_unlike(); a position is one result of its query. Snippets join the results that stay."""
     blank = (F.trim("name") == "") & (F.trim("snippet") == "")
     good = results.where(~blank & ~F.col("snippet").rlike(LOW_QUALITY) & ~F.col("name").rlike(LOW_QUALITY))
     score = F.when(X.domain(F.col("url")).isin(trusted), 3).otherwise(0) + X.recency(X.iso_date(F.col("published")), F.to_date(F.lit(today)))
-    scored = good.withColumns({"score": score, "_bigrams": F.array_sort(X.title_bigrams(F.col("name")))})
-    fields = ["position", "name", "snippet", "url", "published", "score", "_bigrams"]
-    kinds = ",".join(f"`{c}`:{scored.schema[c].dataType.simpleString()}" for c in fields)
-    alike = lambda a, b: F.when(a["name"] == b["name"], 1.0).otherwise(X.jaccard(a["_bigrams"], b["_bigrams"])) > threshold
-    kept = F.aggregate(
-        F.array_sort(F.collect_list(F.struct(*fields))),
-        F.array().cast(f"array<struct<{kinds}>>"),
-        lambda done, x: F.when(F.exists(done, lambda y: alike(x, y)), done).otherwise(F.concat(done, F.array(x))),
-    )
-    out = scored.groupBy(group).agg(kept.alias("kept")).select(group, F.explode("kept").alias("x")).select(group, "x.*").drop("_bigrams")
-    from pyspark.sql import Window
-
-    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), "position")))
-    return ranked.where(F.col("rank") <= most)
+    titles = good.select(group, F.col("position").alias("place"), "name", F.array_sort(X.title_bigrams(F.col("name"))).alias("tokens"))
+    stay = first_unlike(titles, group, threshold).withColumnRenamed("place", "position")
+    ranked = good.select(group, "position", score.alias("score")).join(stay, [group, "position"], "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), "position")))
+    return good.select(group, "position", "name", "snippet", "url", "published").join(ranked.where(F.col("rank") <= most), [group, "position"])
 
 
 def parse_results(raw: DataFrame, column: str = "raw", least: int = 40, most: int = 4) -> DataFrame:
@@ -297,7 +286,5 @@ def parse_results(raw: DataFrame, column: str = "raw", least: int = 40, most: in
 
     keyed = raw.withColumn("_answer", F.monotonically_increasing_id())
     rows = keyed.select("_answer", F.explode(read(column)).alias("x")).select("_answer", "x.*").withColumn("url", X.public_url(F.col("url"))).where(F.col("url").isNotNull() & (F.length("text") >= least))
-    from pyspark.sql import Window
-
     once = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_answer", "url").orderBy("position"))).where("_n = 1")
     return once.withColumn("_k", F.row_number().over(Window.partitionBy("_answer").orderBy("position"))).where(F.col("_k") <= most).drop("_n", "_k", "_answer")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -188,12 +189,14 @@ def document_tables(text: str, escaped: bool = False) -> list[dict]:
 def extract_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, table_id, headers, row, start, end, cells, ragged and issues of the rows of all tables in documents."""
     kind = "array<struct<table_id:string,headers:array<string>,row:int,start:int,end:int,cells:array<string>,ragged:boolean,issues:array<string>>>"
-
-    @F.udf(kind, useArrow=True)
-    def read(text):
-        return [
-            {"table_id": t["id"], "headers": t["headers"], **r, "ragged": len(r["cells"]) != len(t["headers"]), "issues": t["issues"]} for t in document_tables(text or "") for r in t["rows"]
-        ]
+    texts = pa.list_(pa.string())
+    row = pa.struct([("table_id", pa.string()), ("headers", texts), ("row", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("cells", texts), ("ragged", pa.bool_()), ("issues", texts)])
+
+    @F.arrow_udf(kind)
+    def read(texts: pa.Array) -> pa.Array:
+        tables = ([] if t is None else document_tables(t) for t in texts.to_pylist())
+        found = [[{"table_id": t["id"], "headers": t["headers"], **r, "ragged": len(r["cells"]) != len(t["headers"]), "issues": t["issues"]} for t in of for r in t["rows"]] for of in tables]
+        return pa.array(found, pa.list_(row))
 
     return docs.select(F.col(id_col).alias("doc_id"), F.explode(read(F.col(text_col))).alias("x")).select("doc_id", "x.*")
 
