@@ -214,7 +214,9 @@ def delta(messages: DataFrame, cursor: Column | int, most: int, session: str = "
 
 
 def task_status(active: DataFrame, session: str = "session_id", seq: str = "seq", most: int = 6) -> DataFrame:
-    """session, label and up to `most` values of the task fields, in order."""
-    tasks = active.where(F.col("label").isin("目标", "已完成", "下一步", "待解决"))
+    """session, label and up to `most` values of the task fields, in order; a project's tasks are under its own label. active may lack `field`: then
+    a fact's label is its field."""
+    field = F.col("field") if "field" in active.columns else F.col("label")
+    tasks = active.where(F.when(field.startswith("已完成"), "已完成").otherwise(field).isin("目标", "已完成", "下一步", "待解决"))
     ranked = tasks.withColumn("_n", F.row_number().over(Window.partitionBy(session, "label").orderBy(seq, "position"))).where(F.col("_n") <= most)
     return ranked.groupBy(session, "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "value"))), lambda x: x["value"]).alias("values"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 
 def _entries() -> dict:
-    from granary.catalog import documents, evidence, operations, retrieval, tables
+    from granary.catalog import details, documents, evidence, operations, retrieval, tables
 
     found: dict = {}
-    for module in (tables, operations, retrieval, documents, evidence):
+    for module in (tables, operations, retrieval, documents, evidence, details):
         found.update(module.QUERIES)
     return found
 

@@ -10,6 +10,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from granary.operators.guard import Masker
 from granary.operators.said import Memory
+from granary.sources.commits import Commits
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 100) -> DataFrame:
@@ -145,6 +146,18 @@ def ingest(stream: DataFrame, work: Callable[[DataFrame], DataFrame], path: str,
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_documents(stream: DataFrame, work: Callable[[DataFrame], DataFrame], into: Commits, checkpoint: str, status: str = "READY"):
+    """Runs `work` over each batch of documents and commits what it gives (rows with the key of `into`) together with a status for every document of
+    the batch, those without rows too: staged first, then pointed to, so a batch that is killed shows neither rows nor status. A
+    batch that is taken again after that commits under its old version and counts once. Ends when the present files are done."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        attempt = into.stage(work(batch))
+        into.commit(batch.select(*into.key).distinct().withColumn("status", F.lit(status)), attempt, version=number)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def document_state(documents: DataFrame, chunks: DataFrame, vectors: DataFrame, now: str, failed: DataFrame | None = None, timeout_minutes: int = 15) -> DataFrame:
     """document_id, chunks, vectors, progress and status by what is there: PENDING without chunks (FAILED once it is older than the
     timeout), VECTORIZING with some vectors missing, READY with all; FAILED where an error is on record."""
