@@ -11,6 +11,7 @@ from granary.operators import chunking, joins, memory, repair, splitting, web
 from granary.operators import retrieval as R
 from granary.operators import routing as RO
 from granary.operators import statistics as ST
+from granary.operators import tables as TB
 from granary.operators.verify import citation_audit
 from granary.sources import blocks, files
 from granary.sources.commits import Commits
@@ -141,6 +142,25 @@ def resumable_documents(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.resumable(chunks, d.select(F.col("doc_id").alias("document_id"), "text"), vectors)
 
 
+@QUERIES.add("SELECT conv_id, turn, turn % 3 = 0 AND text <> '' AND NOT contains(text, '”') AS literal, CASE turn % 5 WHEN 0 THEN 'postgresql.org' WHEN 1 THEN '' WHEN 2 THEN 'docs.python.org' ELSE '' END AS site FROM conversations")
+def translations_and_sites(spark: SparkSession, sf: str) -> DataFrame:
+    t, turn = F.col("text"), F.col("turn")
+    asked = F.concat(F.lit("把“"), t, F.lit("”翻译成"), F.when(turn % 3 == 0, "英文，只给译文。").when(turn % 3 == 1, "诗").otherwise("英文，再解释"))
+    site = F.when(turn % 5 == 0, "PostgreSQL upsert").when(turn % 5 == 1, "postgresql in docker").when(turn % 5 == 2, "the default of Python's sort").when(turn % 5 == 3, "python lists").otherwise("none")
+    return table(spark, sf, "conversations").select("conv_id", "turn", X.literal_translation(asked).alias("literal"), X.preferred_domain(site).alias("site"))
+
+
+@QUERIES.add("SELECT conv_id, turn FROM conversations WHERE role = 'user' AND length(text) <= 1000 AND (contains(lower(text), 'tion') OR contains(lower(text), 'erthe') OR contains(lower(text), 'keit'))")
+def recall_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "conversations").withColumnRenamed("text", "content")
+    return memory.recall_candidates(c, "Tion erthe KEIT, what").select("conv_id", "turn")
+
+
+@QUERIES.add("SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority, o_orderkey LIMIT 5")
+def table_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return TB.sample_rows(table(spark, sf, "orders"), ["o_orderpriority", "o_orderkey"]).select("o_orderkey", "o_orderpriority")
+
+
 def _streamed(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """What a stream gives when its present files are done, by way of the shared folder."""
     path, checkpoint = files.shared_folder(spark, "stream"), files.shared_folder(spark, "stream-checkpoint")

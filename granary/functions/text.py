@@ -158,6 +158,29 @@ def english_answer(c: Column) -> Column:
     return F.when(other, False).when(says, True).otherwise((F.regexp_count(c, F.lit(_HAN)) == 0) & (F.regexp_count(c, F.lit("[A-Za-z]")) >= 10))
 
 
+#: Languages that a quoted text may be asked in, what may be said about the answer, and the sites of products.
+LANGUAGES = "中文 汉语 英文 英语 日文 日语 韩文 韩语 法文 法语 德文 德语 西班牙语".split()
+ANSWER_ONLY = "只给译文 仅给译文 只输出译文 不要解释".split()
+SITES = {"postgresql": "postgresql.org", "spring boot": "spring.io", "docker": "docs.docker.com", "deepseek": "api-docs.deepseek.com"}
+PYTHON_SITE, ABOUT_PYTHON = "docs.python.org", "官方|documentation|默认|default|版本|version"
+
+
+def literal_translation(c: Column) -> Column:
+    """Whether a question is nothing but a request to translate a quoted text: what is quoted is no search."""
+    quoted = "(?:“[^“”]+”|\"[^\"]+\")"
+    ending = f"(?:[，,]\\s*(?:{'|'.join(ANSWER_ONLY)}))?[。.!！]?"
+    return F.coalesce(F.trim(c).rlike(f"(?s)^把{quoted}翻译成(?:{'|'.join(LANGUAGES)}){ending}$"), F.lit(False))
+
+
+def preferred_domain(c: Column) -> Column:
+    """The site of the one product that a question names; empty for none and for several."""
+    q = F.lower(F.coalesce(c, F.lit("")))
+    named = [F.when(F.contains(q, F.lit(product)), site) for product, site in SITES.items()]
+    named.append(F.when(F.contains(q, F.lit("python")) & q.rlike(ABOUT_PYTHON), PYTHON_SITE))
+    found = F.array_compact(F.array(*named))
+    return F.when(F.size(found) == 1, found[0]).otherwise("")
+
+
 def outline_snippet(c: Column, n: int = 60) -> Column:
     """One line of a message without marks and tags."""
     s = F.regexp_replace(without_code(c), r"<[^>]+>", " ")

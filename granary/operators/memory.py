@@ -177,6 +177,14 @@ def unclear_projects(active: DataFrame, query: str, session: str = "session_id")
     return named.groupBy(session).agg(F.array_sort(F.collect_list("scope")).alias("scopes")).where(F.size("scopes") > 1)
 
 
+def recall_candidates(messages: DataFrame, query: str, most_chars: int = 1000, content: str = "content") -> DataFrame:
+    """The user messages of up to most_chars characters with any term of the question in them, in whatever case: all that recalled_messages()
+    could find. Terms are compared as they are; a question of many terms needs no way of its own, as one pass tests them all."""
+    terms = X.memory_terms(F.lit(query))
+    low = F.lower(F.col(content))
+    return messages.where((F.col("role") == "user") & (F.length(content) <= most_chars) & F.exists(terms, lambda t: F.contains(low, t)))
+
+
 def recalled_messages(messages: DataFrame, query: str, withheld: DataFrame, recent: int = 0, budget: int = 3600, most: int = 4, session: str = "session_id", seq: str = "seq", content: str = "content") -> DataFrame:
     """session, rank, seq and content of up to `most` earlier user messages that hold no fact but share terms with the question (a score of 2 or
     more), best first, newer first among equals, each if it still fits. Messages in `withheld` (session, seq), unsafe ones, long ones, the

@@ -89,6 +89,14 @@ def test_sentence_ends_and_headings():
     assert [b.title for b in blocks] == ["body", "A", "B"]
 
 
+def test_long_books_are_cut_wider():
+    page = ("A plain sentence of prose stands here. Another one follows it directly, and goes on.\n" * 14)[:-1]
+    blocks = [C.Block(0, len(page), "page 1", 1)]
+    cuts = lambda pages, text=page: [e - s for s, e, *_ in C.located_chunks(text, blocks, pages=pages)]
+    assert cuts(80)[0] <= 1000 < len(page) and cuts(79) == cuts(0) and cuts(80) != cuts(79) and cuts(79)[0] > 1000  # English prose
+    assert C.long_form(page) and not C.long_form("\n".join(f"- {line}" for line in page.split("\n"))) and not C.long_form(page[:300]) and not C.long_form(page.replace(". ", ", ").replace(".\n", "\n"))
+
+
 def test_tables_repeat_their_header():
     table = "Cap\n| a | b |\n|----|---|\n" + "\n".join(f"| {i} | {'x' * 40} |" for i in range(80))
     groups = C.table_groups(table)
@@ -110,6 +118,14 @@ def test_source_view():
     assert not C.source_view(text, blocks, 8, 13, "other")["verified"]
 
 
+def test_literal_translations_and_sites(spark):
+    said = ["把“你好”翻译成英文", '把"a b"翻译成日语，只给译文。', "把你好翻译成英文", "把“你好”翻译成诗", "请把“你好”翻译成英文", None, "把“a”翻译成法语! 再说"]
+    got = spark.createDataFrame([(t,) for t in said], "t string").select(X.literal_translation(F.col("t")), X.preferred_domain(F.col("t"))).collect()
+    assert [r[0] for r in got] == [True, True, False, False, False, False, False] and {r[1] for r in got} == {""}
+    asked = {"Docker compose": "docs.docker.com", "docker and Spring Boot": "", "python": "", "python 版本": "docs.python.org", "DeepSeek": "api-docs.deepseek.com"}
+    assert {q: one(spark, X.preferred_domain, q) for q in asked} == asked
+
+
 def test_masker_is_split_invariant(spark):
     keys = ["ab", "abc", "cab", "x"]
     rnd = random.Random(5)
