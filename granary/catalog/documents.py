@@ -9,7 +9,7 @@ from granary.catalog import Catalog, table
 from granary.functions import numbers as N
 from granary.functions import text as X
 from granary.functions.arithmetic import evaluated
-from granary.operators import chunking, guard, memory, verify, web
+from granary.operators import chunking, guard, memory, similar, verify, web
 from granary.sources import delimited, files
 
 QUERIES = Catalog()
@@ -44,7 +44,10 @@ def text_pages(spark: SparkSession, sf: str) -> DataFrame:
     return files.text_pages(table(spark, sf, "documents")).select("doc_id", F.col("page").cast("long").alias("page"), "content")
 
 
-@QUERIES.add("""SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), ''), nullif(trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '\\s+', ' ', 'g')), ''), url) AS title FROM pages""")
+_TITLE = r"coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), ''), nullif(trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '\s+', ' ', 'g')), ''), url)"
+
+
+@QUERIES.add(f"SELECT page_id, {_TITLE} AS title FROM pages")
 def page_titles(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", web.page_title(F.col("html"), F.col("url")).alias("title"))
 
@@ -79,11 +82,8 @@ def paragraph_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @QUERIES.add("""WITH b AS (SELECT item_id, regexp_replace(text, '[\\s[:punct:]]', '', 'g') AS s FROM benchmark), g AS (SELECT item_id, list_distinct(list_transform(generate_series(1, length(s) - 1), lambda i: substr(s, i, 2))) AS g FROM b)
 SELECT a.item_id AS a, c.item_id AS b, round(len(list_intersect(a.g, c.g)) / len(list_distinct(list_concat(a.g, c.g))), 6) AS similarity FROM g a JOIN g c ON a.item_id < c.item_id WHERE len(list_intersect(a.g, c.g)) / len(list_distinct(list_concat(a.g, c.g))) > 0.5""")
 def title_jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    # The benchmark's items are few, whatever the corpus: a fixed list.
-    g = table(spark, sf, "benchmark").select("item_id", X.title_bigrams(F.col("text")).alias("g"))
-    other = g.select(F.col("item_id").alias("b"), F.col("g").alias("h"))
-    s = X.jaccard(F.col("g"), F.col("h"))
-    return g.join(other, F.col("item_id") < F.col("b")).where(s > 0.5).select(F.col("item_id").alias("a"), "b", F.round(s, 6).alias("similarity"))
+    items = table(spark, sf, "benchmark").select(F.lit(0).alias("list"), F.col("item_id").alias("place"), X.title_bigrams(F.col("text")).alias("tokens"))
+    return similar.like_pairs(items, "list", 0.5).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 _KEYS = ["idiot", "trash", "the ", "stupid"]
@@ -183,7 +183,15 @@ def conversation_facts(spark: SparkSession, sf: str) -> DataFrame:
     return memory.remembered(c)
 
 
-@QUERIES.add(None)
+_BAD = f"regexp_matches(name, '{web.LOW_QUALITY}') OR regexp_matches(snippet, '{web.LOW_QUALITY}')"
+_LIKE = "k.name = g.name OR (len(k.tokens) > 0 AND len(g.tokens) > 0 AND len(list_intersect(k.tokens, g.tokens)) / len(list_distinct(list_concat(k.tokens, g.tokens))) > 0.8)"
+
+
+@QUERIES.add(rf"""WITH RECURSIVE p AS (SELECT page_id, url, {_TITLE} AS name, regexp_replace(html, '<[^>]+>', ' ', 'g') AS snippet, CAST(page_id % 20 AS INTEGER) AS day, lower(split_part(regexp_replace(url, '^https?://', ''), '/', 1)) AS host FROM pages),
+b AS (SELECT *, regexp_replace(name, '[\s[:punct:]]', '', 'g') AS bare FROM p WHERE NOT (trim(name) = '' AND trim(snippet) = '') AND NOT ({_BAD})), g AS (SELECT *, list_distinct(list_transform(range(1, length(bare)), lambda i: substr(bare, i, 2))) AS tokens, row_number() OVER (PARTITION BY host ORDER BY page_id) AS n FROM b),
+r AS (SELECT host, n, page_id, true AS stay, [{{'name': name, 'tokens': tokens}}] AS kept FROM g WHERE n = 1 UNION ALL SELECT host, n, page_id, NOT dup, CASE WHEN dup THEN kept ELSE list_append(kept, {{'name': name, 'tokens': tokens}}) END FROM (SELECT g.host, g.n, g.page_id, g.name, g.tokens, r.kept, len(list_filter(r.kept, lambda k: {_LIKE})) > 0 AS dup FROM r JOIN g ON g.host = r.host AND g.n = r.n + 1)),
+s AS (SELECT g.*, CASE WHEN host = 'example.com' THEN 3 ELSE 0 END + CASE WHEN 14 - day <= 1 THEN 3 WHEN 14 - day <= 3 THEN 2 WHEN 14 - day <= 7 THEN 1 ELSE 0 END AS score FROM g JOIN r USING (host, n) WHERE stay), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY host ORDER BY score DESC, page_id) AS INTEGER) AS rank FROM s)
+SELECT host AS query_id, page_id AS position, name, snippet, url, CAST(DATE '2024-01-01' + day AS VARCHAR) AS published, CAST(score AS INTEGER) AS score, rank FROM k WHERE rank <= 20""")
 def filtered_results(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "pages").select(X.domain(F.col("url")).alias("query_id"), F.col("page_id").alias("position"), web.page_title(F.col("html"), F.col("url")).alias("name"), F.regexp_replace("html", "<[^>]+>", " ").alias("snippet"), "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 20).cast("int")).cast("string").alias("published"))
     return web.filter_results(p, "2024-01-15", ["example.com"], 20)

@@ -60,7 +60,7 @@ def lexical_scores(chunks: DataFrame, terms: list[str], id_col: str = "id", text
     """id and score: the sum over query terms of weight * (1 + ln(1 + N / df)) * tf. Only rows of the query's terms leave the
     scan; document frequencies are of at most as many terms as the query has."""
     wanted = F.filter(X.routing_words(F.col(text_col)), lambda w: w.isin(sorted(set(terms))))  # before they become rows
-    index = chunks.select(F.col(id_col).alias("id"), F.explode(wanted).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    index = kept(chunks.select(F.col(id_col).alias("id"), F.explode(wanted).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf")))  # texts are read once
     df = index.groupBy("term").agg(F.count("*").alias("df"))
     n = chunks.agg(F.count("*").alias("n"))
     weights = df.crossJoin(n).select("term", (X.term_weight(F.col("term")) * (1 + F.log(1 + F.col("n") / F.col("df")))).alias("weight"))

@@ -11,7 +11,7 @@ from granary.sources.files import kept
 
 
 def like_pairs(items: DataFrame, group: str, threshold: float) -> DataFrame:
-    """group, a and b (places, a before b) of the items (group, place, tokens) whose sets have a Jaccard similarity over the threshold.
+    """group, a, b (places, a before b) and similarity of the items (group, place, tokens) whose sets have a Jaccard similarity over the threshold.
 
     Two such sets share a token among their rarest, size - ceil(threshold * size) + 1 each, so only those are met by equality; pairs whose sizes
     can't do are dropped at once, the others are compared in full. Items without tokens are like nothing.
@@ -26,7 +26,8 @@ def like_pairs(items: DataFrame, group: str, threshold: float) -> DataFrame:
     met = heads.withColumnRenamed("place", "a").join(other, [group, "t"]).where(fits).select(group, "a", "b", "n", "m").distinct()
     left, right = (sized.select(group, F.col("place").alias(p), F.col("tokens").alias(f"t{p}")) for p in ("a", "b"))
     shared = F.size(F.array_intersect("ta", "tb"))
-    return met.join(left, [group, "a"]).join(right, [group, "b"]).where(shared / (F.col("n") + F.col("m") - shared) > threshold).select(group, "a", "b")
+    compared = met.join(left, [group, "a"]).join(right, [group, "b"]).withColumn("similarity", shared / (F.col("n") + F.col("m") - shared))
+    return compared.where(F.col("similarity") > threshold).select(group, "a", "b", "similarity")
 
 
 def first_unlike(items: DataFrame, group: str, threshold: float) -> DataFrame:
@@ -39,7 +40,7 @@ def first_unlike(items: DataFrame, group: str, threshold: float) -> DataFrame:
     """
     key = F.when(F.size("tokens") > 0, F.to_json("tokens")).otherwise(F.concat(F.lit("name:"), "name"))
     first = kept(items.withColumn("_key", key).groupBy(group, "_key").agg(F.min_by(F.struct("place", "tokens"), "place").alias("x")).select(group, "x.*"))
-    pairs = kept(like_pairs(first, group, threshold))
+    pairs = kept(like_pairs(first, group, threshold).drop("similarity"))
     left, gone = pairs, []
     while not left.isEmpty():
         later = left.select(group, F.col("b").alias("a"))
