@@ -148,6 +148,42 @@ def test_permutations(n):
         assert (image != Permutation(n, seed=10)(np.arange(n))).any() and abs(np.corrcoef(image, np.arange(n))[0, 1]) < 0.2
 
 
+def plain_place(x, n, seed):
+    """The permutation by its definition, in Python's own integers: six rounds on two halves, walked until below n."""
+    m = (1 << 64) - 1
+
+    def mixed(v):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            v = (v ^ v >> shift) * factor & m
+        return v
+
+    half = max(1, ((n - 1).bit_length() + 1) // 2)
+    keys = [mixed((k * 0x9E3779B97F4A7C15 + seed) & m) for k in range(1, 7)]
+    while True:
+        left, right = x >> half, x & (1 << half) - 1
+        for key in keys:
+            left, right = right, left ^ mixed(right + key & m) & (1 << half) - 1
+        x = right << half | left
+        if x < n:
+            return x
+
+
+@pytest.mark.parametrize("n, seed", [(1, 0), (2, 5), (1000, 0), (4097, 77)])
+def test_places_by_definition(n, seed):
+    assert Permutation(n, seed)(np.arange(n)).tolist() == [plain_place(x, n, seed) for x in range(n)]
+
+
+def test_query_of_shards(spark, sf="/root/testdata/sf0.001"):
+    """op9's rows against the definition: rows in the order of ids, places by the permutation, shards and slots from the place."""
+    from granary.llm.queries import op9_sharding
+
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    assert len({d for d, _ in docs}) == len(docs)
+    places = [plain_place(x, len(docs), 0) for x in range(len(docs))]
+    want = [(d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), "rows", p % 16, p // 16, None) for (d, t), p in zip(docs, places, strict=True)]
+    assert sorted(map(tuple, op9_sharding(spark, sf).collect())) == want
+
+
 def test_shards(spark):
     out = shard_rows(table(spark), 4, seed=3)
     got = sorted(((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in out.collect()), key=str)
