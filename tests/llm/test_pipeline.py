@@ -29,3 +29,19 @@ def test_run_is_reproducible(spark):
 
 def test_five_stages_in_order():
     assert [n for n, _ in P.STAGES] == ["quality", "near_dedup", "suffix_dedup", "decontaminate", "packing"]
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Null ids and texts, repeated rows, ties, clashing names and no rows, from stage to stage."""
+    from cases import SCHEMA, empty, rows, table
+
+    same = spark.createDataFrame([rows()[6]] * 20, SCHEMA)
+    nulls = spark.createDataFrame([(None,) * 10] * 3, SCHEMA)
+    for name, docs, least in (("odd", table(spark), 10), ("same", same, 1), ("nulls", nulls, 1), ("none", empty(spark), 0)):
+        columns, now = docs.columns, docs
+        for stage, run in P.STAGES:
+            now = run(spark, now, SF)
+            now.write.parquet(f"{tmp_path}/{name}-{stage}")
+            now = spark.read.parquet(f"{tmp_path}/{name}-{stage}")
+            assert (now.columns == columns or stage == "packing") and (least == 0) == now.isEmpty(), (name, stage)
+            assert stage == "packing" or now.count() >= least, (name, stage)
