@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 from decimal import Decimal
 
 import pytest
@@ -161,6 +162,17 @@ def test_bound_arithmetic(spark):
         assert got[i].value == value and (got[i].reason is None) == (value is not None), (expression, records, got[i])
 
 
+def test_bound_arithmetic_reads_its_tasks_once(spark):
+    """Records and evidence are made from a list whose order changes with each reading, as that of a collected list does."""
+    dealt = F.udf(lambda n: random.SystemRandom().sample(range(1, 21), 20), "array<int>").asNondeterministic()
+    q = spark.range(20).select(F.col("id").alias("task_id"), dealt("id").alias("q"))
+    row = lambda x, i: F.concat(F.lit("| L"), (i + 1).cast("string"), F.lit(" | "), x.cast("string"), F.lit(" |"))
+    text = F.concat(F.lit("| Line | Quantity |\n| --- | --- |\n"), F.array_join(F.transform("q", row), "\n"))
+    record = lambda x, i: F.struct(F.concat(F.lit("v"), (i + 1).cast("string")).alias("key"), F.lit(1).alias("source_index"), F.concat(F.lit("L"), (i + 1).cast("string")).alias("record_id"), F.lit("Quantity").alias("field"), x.cast("string").alias("value"))
+    tasks = q.select("task_id", F.lit(" + ".join(f"v{i}" for i in range(1, 21))).alias("expression"), F.transform("q", record).alias("records"), F.array(F.struct(F.lit(1).alias("index"), text.alias("text"))).alias("evidence"))
+    assert {(r.value, r.reason) for r in V.check_calculations(tasks).collect()} == {("210", None)}
+
+
 def test_identifiers(spark):
     df = spark.createDataFrame([("d", "| INV-001 | x |\ninv-001 | y |\nINV-002\tz\nsee INV-003 here")], "document_id string, content string")
     assert tuple(V.identifiers(df, "INV-").first())[1:] == (3, 2)
