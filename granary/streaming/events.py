@@ -92,24 +92,30 @@ def quota_decisions(requests: DataFrame, daily: int, monthly: int) -> DataFrame:
 
 def latest_facts(found: DataFrame) -> DataFrame:
     """Versions of facts in a stream (session_id, seq, key, value): a row for each change, with what it supersedes. Repeated messages
-    change nothing, and late ones are never dropped: they are told as such and don't replace what came after them."""
+    change nothing, and late ones are never dropped: they are told as such and don't replace what came after them.
+    The state is a session's last values: a call to Python costs more than a session's rows, so it is not made for each key."""
 
     def step(key, frames: Iterator, state: GroupState):
+        import json
+
         import pandas as pd
 
-        seq, value = state.get if state.exists else (-1, None)
-        out = []
-        for row in pd.concat(list(frames)).sort_values("seq").itertuples():
-            if row.seq > seq:
-                if row.value != value:
-                    out.append((key[0], key[1], row.seq, row.value, value, False))
-                seq, value = row.seq, row.value
-            elif row.seq < seq:
-                out.append((key[0], key[1], row.seq, row.value, None, True))
-        state.update((int(seq), value))
-        yield pd.DataFrame(out, columns=["session_id", "key", "seq", "value", "superseded", "late"])
-
-    return found.groupBy("session_id", "key").applyInPandasWithState(step, "session_id long, key string, seq long, value string, superseded string, late boolean", "seq long, value string", "append", GroupStateTimeout.NoTimeout)
+        held = {k: (seq, value) for k, seq, value in json.loads(state.get[0])} if state.exists else {}
+        rows, out = [row for f in frames for row in zip(f["seq"].tolist(), f["key"].tolist(), f["value"].tolist(), strict=True)], []
+        rows.sort(key=lambda row: row[0])
+        for now, name, said in rows:
+            seq, value = held.get(name, (-1, None))
+            if now > seq:
+                if said != value:
+                    out.append((key[0], name, now, said, value, False))
+                held[name] = (now, said)
+            elif now < seq:
+                out.append((key[0], name, now, said, None, True))
+        state.update((json.dumps([(k, *last) for k, last in held.items()]),))
+        if out:
+            yield pd.DataFrame(out, columns=["session_id", "key", "seq", "value", "superseded", "late"])
+
+    return found.groupBy("session_id").applyInPandasWithState(step, "session_id long, key string, seq long, value string, superseded string, late boolean", "held string", "append", GroupStateTimeout.NoTimeout)
 
 
 def remembered(found: DataFrame, most: int = 128) -> DataFrame:

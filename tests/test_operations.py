@@ -223,6 +223,16 @@ def test_streaming_facts(spark, tmp_path):
     assert len([r for r in out if not r.late]) >= 1 and len({(r.seq, r.late) for r in out}) == len(out)
 
 
+def test_streaming_facts_hold_a_state_for_each_session(spark, tmp_path):
+    rows = [[(1, "a", 1, "x"), (1, "b", 2, "x"), (1, None, 3, "x"), (2, "a", 4, None)], [(1, "a", 5, "y"), (1, "b", 6, "x"), (1, None, 7, None), (2, "a", 8, "z"), (1, "b", 1, "w")]]
+    stream = E.latest_facts(_stream(spark, tmp_path, rows, "session_id long, key string, seq long, value string"))
+    q = stream.writeStream.format("memory").queryName("session_facts").option("checkpointLocation", f"{tmp_path}/ck").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["numInputRows"]} == {2}
+    got = {(r.session_id, r.key, r.seq, r.value, r.superseded, r.late) for r in spark.table("session_facts").collect()}
+    assert got == {(1, "a", 1, "x", None, False), (1, "b", 2, "x", None, False), (1, None, 3, "x", None, False), (1, "a", 5, "y", "x", False), (1, None, 7, None, "x", False), (2, "a", 8, "z", None, False), (1, "b", 1, "w", None, True)}
+
+
 def test_record_identifiers_over_four_digits(spark, tmp_path):
     from granary.catalog import documents
 
