@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.sources.commits import Commits
+from granary.sources.files import kept
 
 #: Chunks of a document that make a step.
 STEP = 32
@@ -30,11 +31,14 @@ def steps(chunks: DataFrame, size: int = STEP) -> DataFrame:
 def remaining(chunks: DataFrame, log: DataFrame, size: int = STEP) -> DataFrame:
     """document_id, step and digest of the steps still to do: of each document those from the first on whose digest is not the one in the log
     (document_id, step, digest). What comes before is a prefix that was made from these very chunks and holds."""
-    now = steps(chunks, size)
+    return _remaining(steps(chunks, size), log)
+
+
+def _remaining(now: DataFrame, log: DataFrame) -> DataFrame:
     logged = log.select("document_id", "step", F.col("digest").alias("_was"))
-    judged = now.join(logged, ["document_id", "step"], "left").withColumn("_same", F.col("digest").eqNullSafe(F.col("_was")))
-    broken = judged.groupBy("document_id").agg(F.min(F.when(~F.col("_same"), F.col("step"))).alias("_from")).where("_from is not null")
-    return judged.join(broken, "document_id").where(F.col("step") >= F.col("_from")).select("document_id", "step", "digest")
+    changed = F.when(~F.col("digest").eqNullSafe(F.col("_was")), F.col("step"))
+    judged = now.join(logged, ["document_id", "step"], "left").withColumn("_from", F.min(changed).over(Window.partitionBy("document_id")))
+    return judged.where(F.col("step") >= F.col("_from")).select("document_id", "step", "digest")
 
 
 def resume(chunks: DataFrame, into: Commits, embed: Callable[[DataFrame], DataFrame], size: int = STEP, rounds: int = 8) -> int:
@@ -44,19 +48,22 @@ def resume(chunks: DataFrame, into: Commits, embed: Callable[[DataFrame], DataFr
     A round takes the documents of one hash class. Its vectors are staged, then a pointer for each step names them with the digest
     of the chunks they are of: an interruption loses a round at most, and never leaves vectors without their step or a step without its
     vectors. Pointers of steps beyond a document's present end are withdrawn. Run again, nothing remains and nothing changes.
+    The steps and what remains of them are stored (a digest each), so that rounds don't digest all contents again.
     """
     log = into.pointers().where("attempt is not null").select("document_id", "step", F.col("status").alias("digest"))
-    left = remaining(chunks, log, size)
-    gone = log.join(steps(chunks, size), ["document_id", "step"], "left_anti").select("document_id", "step", F.lit("GONE").alias("status"))
+    now = kept(steps(chunks, size))
+    left = kept(_remaining(now, log))
+    gone = log.join(now, ["document_id", "step"], "left_anti").select("document_id", "step", F.lit("GONE").alias("status"))
     if not gone.isEmpty():
         into.commit(gone, None)
     done = 0
     for r in range(rounds):
-        mine = left.where(F.pmod(F.xxhash64("document_id"), F.lit(rounds)) == r)
-        numbered = chunks.select("document_id", "ordinal", "content", F.floor((F.col("ordinal") - 1) / size).alias("step"))
+        of_round = F.pmod(F.xxhash64("document_id"), F.lit(rounds)) == r
+        mine = left.where(of_round)
+        numbered = chunks.where(of_round).select("document_id", "ordinal", "content", F.floor((F.col("ordinal") - 1) / size).alias("step"))
         wanted = numbered.join(mine, ["document_id", "step"])
-        made = embed(wanted.select("document_id", "ordinal", "content")).join(wanted.select("document_id", "ordinal", "step", "digest"), ["document_id", "ordinal"])
-        attempt = into.stage(made)
+        made = embed(wanted.select("document_id", "ordinal", "content")).withColumn("step", F.floor((F.col("ordinal") - 1) / size))
+        attempt = into.stage(made.join(mine, ["document_id", "step"]))
         own = into.staged().where(F.col("attempt") == attempt)
         finished = own.groupBy("document_id", "step").agg(F.first("digest").alias("status"), F.count("*").alias("n")).cache()
         if (n := finished.count()) > 0:

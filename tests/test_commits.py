@@ -68,3 +68,16 @@ def test_embedding_resumes_where_it_was_interrupted(spark, tmp_path):
     fresh = B.store(spark, str(tmp_path / "fresh"))
     B.resume(changed, fresh, vector, size=4, rounds=1)
     assert rows(half.rows()) == rows(fresh.rows()) and half.rows().where("document_id = 3").isEmpty()
+
+
+def test_embedding_digests_contents_once_for_all_rounds(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        read.add(1)
+        return f"text {x}"
+
+    chunks = spark.range(200).select((F.col("id") % 20).alias("document_id"), (F.floor(F.col("id") / 20) + 1).alias("ordinal"), F.udf(counted, "string")("id").alias("content"))
+    into = B.store(spark, str(tmp_path / "v"))
+    assert B.resume(chunks, into, lambda part: part.withColumn("vector", F.array(F.length("content").cast("double"))), rounds=4) == 20
+    assert into.rows().count() == 200 and 200 <= read.value <= 1000  # once for the digests, once at most in each round
