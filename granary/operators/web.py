@@ -236,14 +236,16 @@ LOW_QUALITY = r"(?i)(广告|推广|下载\s*APP|点击.*领|免费.*领取|充
 def filter_results(results: DataFrame, today: str, trusted: list[str], most: int, group: str = "query_id", threshold: float = 0.8) -> DataFrame:
     """Search results (query_id, position, name, snippet, url, published) without blank, advertising and near-duplicate ones, best first:
     3 for a trusted domain and up to 3 for recency, then by position. A result goes if its title is like one that stayed before it.
-    Titles alone are compared, see similar.first_unlike(); a position is one result of its query. Snippets join the results that stay."""
+    Titles alone are compared, see similar.first_unlike(); a position is one result of its query. Titles and scores are stored once, and
+    snippets are made again only for the results that stay."""
     blank = (F.trim("name") == "") & (F.trim("snippet") == "")
-    good = results.where(~blank & ~F.col("snippet").rlike(LOW_QUALITY) & ~F.col("name").rlike(LOW_QUALITY))
+    good = ~blank & ~F.col("snippet").rlike(LOW_QUALITY) & ~F.col("name").rlike(LOW_QUALITY)
     score = F.when(X.domain(F.col("url")).isin(trusted), 3).otherwise(0) + X.recency(X.iso_date(F.col("published")), F.to_date(F.lit(today)))
-    titles = good.select(group, F.col("position").alias("place"), "name", F.array_sort(X.title_bigrams(F.col("name"))).alias("tokens"))
-    stay = first_unlike(titles, group, threshold).withColumnRenamed("place", "position")
-    ranked = good.select(group, "position", score.alias("score")).join(stay, [group, "position"], "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), "position")))
-    return good.select(group, "position", "name", "snippet", "url", "published").join(ranked.where(F.col("rank") <= most), [group, "position"])
+    scored = kept(results.select(group, F.col("position").alias("place"), "name", score.alias("score"), good.alias("good"))).where("good")  # a column, as Spark would make names again for a filter
+    stay = first_unlike(scored.select(group, "place", "name", F.array_sort(X.title_bigrams(F.col("name"))).alias("tokens")), group, threshold)
+    ranked = scored.select(group, "place", "score").join(stay, [group, "place"], "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), "place")))
+    best = kept(ranked.where(F.col("rank") <= most).withColumnRenamed("place", "position"))
+    return results.select(group, "position", "name", "snippet", "url", "published").join(best, [group, "position"], "left_semi").join(best, [group, "position"])
 
 
 def parse_results(raw: DataFrame, column: str = "raw", least: int = 40, most: int = 4) -> DataFrame:

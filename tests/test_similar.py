@@ -42,3 +42,28 @@ def test_first_unlike(spark, seed):
         got.setdefault(r.q, []).append(r.place)
     assert {g: sorted(ps) for g, ps in got.items()} == {g: fold(ns, 0.8) for g, ns in lists.items()}
     assert similar.first_unlike(items.where("q = 77"), "q", 0.8).collect() == []
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 2 / 3, 0.8])
+def test_like_pairs_are_all_pairs(spark, threshold):
+    rnd = random.Random(int(threshold * 100))
+    sets = []
+    for base in ([f"t{i}" for i in range(12)], [f"u{i}" for i in range(40)], [f"v{i}" for i in range(600)]):  # of over 256 tokens too
+        sets += [sorted(rnd.sample(base, rnd.randint(len(base) // 2, len(base)))) for _ in range(40)] + [base, base[:-1]]
+    sets += [[], [], ["t1"], ["t1", "t2"]]
+    rows = [(k % 2, k, s) for k, s in enumerate(sets)]
+    items = spark.createDataFrame(rows, "q int, place int, tokens array<string>").repartition(3)
+    want = set()
+    for q, a, s in rows:
+        for p, b, t in rows:
+            if q == p and a < b and s and t and len(set(s) & set(t)) / len(set(s) | set(t)) > threshold:
+                want.add((q, a, b))
+    got = [(r.q, r.a, r.b) for r in similar.like_pairs(items, "q", threshold).collect()]
+    assert set(got) == want and len(got) == len(want) > 0
+
+
+def test_unlike_pairs_of_shared_tokens_are_not_compared(spark):
+    """A thousand sets of twenty out of forty tokens are unlike, but share rare ones: hundreds of thousands of pairs were compared in full."""
+    rnd = random.Random(3)
+    rows = [(0, k, rnd.sample([f"t{i}" for i in range(40)], 20)) for k in range(1000)]
+    assert similar.met_pairs(spark.createDataFrame(rows, "q int, place int, tokens array<string>"), "q", 0.8).count() < 100
